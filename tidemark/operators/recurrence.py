@@ -264,6 +264,16 @@ def add_run_lengths(df: DataFrame, keys, order, conditions: dict[str, Column], w
     return d.select(*df.columns, *conditions)
 
 
+def running_peak(df: DataFrame, keys, order, x: str, out: str, width: int) -> DataFrame:
+    """Largest value so far in the key's history, carried across blocks."""
+    keys, order = list(keys), list(order)
+    d, blocks = cut(df, keys, order[0], width)
+    ends = carried(blocks, d.groupBy(*keys, TB).agg(F.max(x).alias("_b")), keys, F.max, ["_b"])
+    w = Window.partitionBy(*keys, TB).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.join(ends, [*keys, TB]).withColumn(out, F.greatest(F.max(x).over(w), F.col("_b")))
+    return d.select(*df.columns, out)
+
+
 def sign_run(df: DataFrame, keys, order, x: str, out: str, width: int) -> DataFrame:
     """Length of the current run of one sign; 0 where the value is 0 or missing."""
     sg = F.signum(F.coalesce(c(x), F.lit(0.0)))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIGITS = 6
+# Values are scaled by this before rounding, so that exact halves go the same way in both engines.
+NUDGE = 1.000000000003
 
 
 @dataclass(frozen=True)
@@ -25,7 +27,7 @@ REGISTRY: dict[str, Query] = {}
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     return df.select(*[
-        F.round(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
+        F.round(F.col(f.name) * NUDGE, digits).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
         for f in df.schema.fields])
 
 
@@ -34,7 +36,7 @@ def query(name: str, covers: str, sql: str | None = None, doubles: str = "", dig
     def add(fn):
         text = sql
         if sql is not None and doubles:
-            fixes = ", ".join(f"round({d}, {digits}) + 0.0 AS {d}" for d in doubles.split())
+            fixes = ", ".join(f"round({d} * {NUDGE}::DOUBLE, {digits}) + 0.0 AS {d}" for d in doubles.split())
             head, body = ("", sql)
             text = f"SELECT * REPLACE ({fixes}) FROM ({body})"
         if name in REGISTRY:
