@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 DIGITS = 6
 # Values are scaled by this before rounding, so that exact halves go the same way in both engines.
-NUDGE = 1.000000000003
+NUDGE = 1.00000000000027183
 
 
 @dataclass(frozen=True)
@@ -36,7 +36,7 @@ def query(name: str, covers: str, sql: str | None = None, doubles: str = "", dig
     def add(fn):
         text = sql
         if sql is not None and doubles:
-            fixes = ", ".join(f"round({d} * {NUDGE}::DOUBLE, {digits}) + 0.0 AS {d}" for d in doubles.split())
+            fixes = ", ".join(f"round({d} * {NUDGE:.17f}::DOUBLE, {digits}) + 0.0 AS {d}" for d in doubles.split())
             head, body = ("", sql)
             text = f"SELECT * REPLACE ({fixes}) FROM ({body})"
         if name in REGISTRY:
