@@ -62,8 +62,9 @@ def panel(spark: SparkSession, folder: str) -> DataFrame:
         F.max_by("price", "place").alias("close"), F.sum("l_quantity").alias("volume"),
         F.sum("l_extendedprice").alias("qv"), F.count(F.lit(1)).cast("double").alias("cnt"),
         F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice")).otherwise(0.0)).alias("tbq"),
-        (F.avg("l_discount") - 0.05).alias("fund"), F.sum(F.col("l_extendedprice") * (1 + F.col("l_tax"))).alias("oi"),
-        (F.avg("l_tax") + 0.5).alias("ratio"), (F.max_by("l_tax", "place") + 0.4).alias("ratio2"), (F.avg("price") * 0.998).alias("spot"))
+        F.round(F.avg("l_discount") - 0.05, 9).alias("fund"), F.round(F.sum(F.col("l_extendedprice") * (1 + F.col("l_tax"))), 5).alias("oi"),
+        F.round(F.avg("l_tax") + 0.5, 9).alias("ratio"), F.round(F.max_by("l_tax", "place") + 0.4, 9).alias("ratio2"),
+        F.round(F.avg("price") * 0.998, 6).alias("spot"))
 
 
 PANEL = """src AS (SELECT CAST(l_shipdate AS DATE) - DATE '1970-01-01' AS day, 'P' || lpad(CAST(l_suppkey % 20 AS VARCHAR), 2, '0') AS symbol,
@@ -71,8 +72,8 @@ PANEL = """src AS (SELECT CAST(l_shipdate AS DATE) - DATE '1970-01-01' AS day, '
  l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag FROM lineitem),
 panel AS (SELECT CAST(day AS BIGINT) AS day, symbol, arg_min(price, place) AS open, max(price) AS high, min(price) AS low, arg_max(price, place) AS close,
  sum(l_quantity) AS volume, sum(l_extendedprice) AS qv, CAST(count(*) AS DOUBLE) AS cnt,
- sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0 END) AS tbq, avg(l_discount) - 0.05 AS fund,
- sum(l_extendedprice * (1 + l_tax)) AS oi, avg(l_tax) + 0.5 AS ratio, arg_max(l_tax, place) + 0.4 AS ratio2, avg(price) * 0.998 AS spot FROM src GROUP BY 1, 2)"""
+ sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0 END) AS tbq, round(avg(l_discount) - 0.05, 9) AS fund,
+ round(sum(l_extendedprice * (1 + l_tax)), 5) AS oi, round(avg(l_tax) + 0.5, 9) AS ratio, round(arg_max(l_tax, place) + 0.4, 9) AS ratio2, round(avg(price) * 0.998, 6) AS spot FROM src GROUP BY 1, 2)"""
 
 
 def decisions(spark: SparkSession, folder: str) -> DataFrame:
