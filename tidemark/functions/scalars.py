@@ -65,9 +65,13 @@ def row_hash(*cols: str | Column, sep: str = "|") -> Column:
 
 
 def draw(seed: int, *cols: str | Column) -> Column:
-    """A repeatable uniform number in [0, 1) for each row."""
-    h = F.xxhash64(F.lit(seed), *[c(x) for x in cols])
-    return F.pmod(h, F.lit(1 << 40)) / F.lit(float(1 << 40))
+    """A repeatable whole number in [0, 2**32) per row: the head of a digest of the seed and ``cols``."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[c(x).cast("string") for x in cols])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
+def uniform(seed: int, *cols: str | Column) -> Column:
+    return draw(seed, *cols) / F.lit(4294967296.0)
 
 
 # Coefficients of the rational approximation of the inverse normal law.

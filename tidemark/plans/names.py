@@ -287,21 +287,21 @@ def interaction_signals(spark, folder):
     return d.select("day", "symbol", (-(centred_rank("fund", "day") * centred_rank("g7", "day"))).alias("crowding"), (-(clip("zf", -3.0, 3.0) * clip("zo", -3.0, 3.0))).alias("crowding_z"))
 
 
-@query("basis_signals", "I13 I18 I19 I21", f"""WITH {_MKT}, y AS (SELECT *, close / spot - 1 AS b, 30 + day % 90 AS dte FROM x)
+@query("basis_signals", "I13 I18 I19 I21", f"""WITH {_MKT}, y AS (SELECT *, round(close / spot - 1, 6) AS b, 30 + day % 90 AS dte FROM x)
 SELECT day, symbol, {_XR('b')} AS rank_b, {_Z60('b')} AS z60, b - lag(b, 5) OVER {_SYM} AS chg5, b * 365 / dte * 100 AS annual, fund * 3 * 365 * 100 - b * 365 / dte * 100 AS disagreement FROM y""", "rank_b z60 chg5 annual disagreement", digits=4)
 def basis_signals(spark, folder):
     s = market_panel(spark, folder, 62)
-    s = s.add({"b": F.col("close") / F.col("spot") - 1, "dte": 30 + F.col("day") % 90})
+    s = s.add({"b": F.round(F.col("close") / F.col("spot") - 1, 6), "dte": 30 + F.col("day") % 90})
     annual = F.col("b") * 365 / F.col("dte") * 100
     d = s.add({"z60": R.z_full(s, "b", 60), "chg5": R.change(s, "b", 5), "annual": annual, "disagreement": F.col("fund") * 3 * 365 * 100 - annual}).result()
     return d.select("day", "symbol", centred_rank("b", "day").alias("rank_b"), "z60", "chg5", "annual", "disagreement")
 
 
-@query("forecast_combine", "I22 I23", f"""WITH {PANEL}, z AS (SELECT day, symbol, [{_Z60('fund')}, -{_Z60('oi')}, {_Z60('ratio')}] AS zs FROM panel), f AS (SELECT day, symbol, list_filter(zs, lambda q: q IS NOT NULL) AS h FROM z)
+@query("forecast_combine", "I22 I23", f"""WITH {PANEL}, z AS (SELECT day, symbol, [round({_Z60('fund')}, 7), round(-{_Z60('oi')}, 7), round({_Z60('ratio')}, 7)] AS zs FROM panel), f AS (SELECT day, symbol, list_filter(zs, lambda q: q IS NOT NULL) AS h FROM z)
 SELECT day, symbol, list_avg(h) AS score, CASE WHEN list_avg(h) > 0.5 THEN 'UP' WHEN list_avg(h) < -0.5 THEN 'DOWN' ELSE 'FLAT' END AS direction, len(list_filter(h, lambda q: sign(q) = sign(list_avg(h)))) / len(h)::DOUBLE AS agreement FROM f WHERE len(h) > 0""", "score agreement", digits=5)
 def forecast_combine(spark, folder):
     s = sequence(panel(spark, folder), ["symbol"], ["day"], back=60)
-    s = s.add({"h": F.array_compact(F.array(R.z_full(s, "fund", 60), -R.z_full(s, "oi", 60), R.z_full(s, "ratio", 60)))})
+    s = s.add({"h": F.array_compact(F.array(*[F.round(z, 7) for z in (R.z_full(s, "fund", 60), -R.z_full(s, "oi", 60), R.z_full(s, "ratio", 60))]))})
     d = s.result("day", "symbol", "h").where(F.size("h") > 0)
     d = d.withColumn("score", F.aggregate("h", F.lit(0.0), lambda a, v: a + v) / F.size("h"))
     direction = F.when(F.col("score") > 0.5, "UP").when(F.col("score") < -0.5, "DOWN").otherwise("FLAT")
