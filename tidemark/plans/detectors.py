@@ -84,7 +84,7 @@ def flow_ignition(spark, folder):
     return cooldown(oi_scores(spark, folder).where("zd >= 1.0 and zk >= 0.5 and r >= 0.003").select("symbol", "day", "zd", "zk", "r"), ["symbol"], "day", 4)
 
 
-@query("premium_dislocation", "K9", _kept(_OIZ + ", t AS (SELECT symbol, day, CASE WHEN zp < 0 THEN 'PANIC' ELSE 'FOMO' END AS kind, zp, prem FROM z WHERE abs(zp) >= 2 AND abs(prem) >= 10 AND sign(zp) = sign(prem))", 4), "zp prem", digits=5)
+@query("premium_dislocation", "K9", _kept(_OIZ + ", t AS (SELECT symbol, day, CASE WHEN zp < 0 THEN 'PANIC' ELSE 'FOMO' END AS kind, zp, prem FROM z WHERE abs(zp) >= 2 AND abs(prem) >= 10 AND sign(zp) = sign(prem))", 4), "zp prem", digits=3)
 def premium_dislocation(spark, folder):
     d = oi_scores(spark, folder).where("abs(zp) >= 2 and abs(prem) >= 10 and sign(zp) = sign(prem)")
     return cooldown(d.select("symbol", "day", F.when(F.col("zp") < 0, "PANIC").otherwise("FOMO").alias("kind"), "zp", "prem"), ["symbol"], "day", 4)
