@@ -116,7 +116,7 @@ def value_cells(df: DataFrame, keys: Sequence[str], x: str, rows: int = BLOCK_RO
     if top <= rows:
         return d.withColumn("cell", F.lit(0))
     cells = int(min(4096, max(8, 2 * top // rows)))
-    cuts = F.percentile_approx(x, F.array(*[F.lit(i / cells) for i in range(1, rows)]), 4 * cells)
+    cuts = F.percentile_approx(x, F.array(*[F.lit(i / cells) for i in range(1, cells)]), 4 * cells)
     edges = pin(d.groupBy(*keys).agg(cuts.alias("_edges")))
     if keys:
         d = d.join(edges, keys)
