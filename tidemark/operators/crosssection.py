@@ -172,3 +172,23 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, bounded: bool =
         d = global_rank(global_rank(d, keys, x, "_rx"), keys, y, "_ry")
     d = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("ic"))
     return d.withColumn("ic", F.when((F.col("n") >= min_n) & ~F.isnan("ic"), F.col("ic")))
+
+
+def lead_lag(df: DataFrame, keys: Sequence[str], at: str, member: str, value: str, members: Sequence, max_lag: int) -> DataFrame:
+    """(keys, leader, follower, lag, r): for each ordered pair the lag with the largest absolute correlation.
+
+    ``members`` is a short fixed list (venues); their series stand side by side as columns,
+    so no pair of rows is formed.
+    """
+    from tidemark.operators.blocks import sequence
+
+    keys, members = list(keys), list(members)
+    wide = df.groupBy(*keys, at).pivot(member, members).agg(F.first(value))
+    s = sequence(wide, keys, [at], back=max_lag)
+    s = s.add({f"l{k}_{m}": F.lag(str(m), k).over(s.by()) for m in members for k in range(1, max_lag + 1)})
+    pairs = [(a, b, k) for a in members for b in members if a != b for k in range(1, max_lag + 1)]
+    corr = [F.corr(f"l{k}_{a}", F.col(str(b))).alias(f"c{i}") for i, (a, b, k) in enumerate(pairs)]
+    d = s.result().groupBy(*keys).agg(*corr)
+    rows = F.array(*[F.struct(F.lit(a).alias("leader"), F.lit(b).alias("follower"), F.lit(k).alias("lag"), F.col(f"c{i}").alias("r")) for i, (a, b, k) in enumerate(pairs)])
+    d = d.select(*keys, F.explode(rows).alias("p")).select(*keys, "p.*").where(F.col("r").isNotNull() & ~F.isnan("r"))
+    return d.groupBy(*keys, "leader", "follower").agg(F.max_by("lag", F.struct(F.abs("r"), -F.col("lag"))).alias("lag"), F.max_by("r", F.struct(F.abs("r"), -F.col("lag"))).alias("r"))

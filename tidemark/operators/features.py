@@ -42,8 +42,9 @@ def recursive_columns(horizons: Sequence[int]) -> dict:
     return out
 
 
-def prepare(df: DataFrame, keys: Sequence[str], clock: str, horizons: Sequence[int], recursive: bool = True, complexity: Sequence[int] = ()) -> Seq:
-    s = sequence(df, keys, [clock], back=look_back(horizons, recursive))
+def prepare(df: DataFrame, keys: Sequence[str], clock: str, horizons: Sequence[int], recursive: bool = True, complexity: Sequence[int] = (),
+            bound: int | None = None) -> Seq:
+    s = sequence(df, keys, [clock], back=look_back(horizons, recursive), bound=bound)
     kernels = recursive_columns(horizons) if recursive else {}
     for n in complexity:
         x = ["close"]
@@ -280,7 +281,7 @@ def sessions(df: DataFrame, keys: Sequence[str], clock: str, day_us: int) -> Dat
     d = df.withColumns({"session_open": F.first("open").over(w), "session_high": F.max("high").over(w), "session_low": F.min("low").over(w), "session_volume": F.sum("volume").over(w),
                         "session_vwap": safe_div(F.sum(tp * V).over(w), F.sum("volume").over(w)), "session_bar": F.row_number().over(w)})
     first = F.when(F.col("session_bar") <= 4, F.col("high")), F.when(F.col("session_bar") <= 4, F.col("low"))
-    return d.withColumns({"opening_high": F.max(first[0]).over(w), "opening_low": F.min(first[1]).over(w), "session_return": C / F.col("session_open") - 1.0, "session_drawdown": C / F.col("session_high") - 1.0,
+    return d.withColumns({"opening_high": F.max(first[0]).over(w), "opening_low": F.min(first[1]).over(w), "session_return": div(C, "session_open") - 1.0, "session_drawdown": div(C, "session_high") - 1.0,
                           "vwap_distance": safe_div(C - F.col("session_vwap"), F.col("session_vwap"))})
 
 
@@ -327,9 +328,9 @@ def scores(s: Seq, n: int) -> Seq:
                   f"reversal_score_{n}": -squash(F.col(f"z_price_{n}") / 2.0), f"breakout_score_{n}": F.col(f"breakout_{n}") * F.col(f"volume_ratio_{n}")})
 
 
-def enriched(df: DataFrame, keys: Sequence[str], clock: str, horizons: Sequence[int], complexity: Sequence[int] = ()) -> DataFrame:
+def enriched(df: DataFrame, keys: Sequence[str], clock: str, horizons: Sequence[int], complexity: Sequence[int] = (), bound: int | None = None) -> DataFrame:
     """All families for all horizons; one shuffle for the Arrow pass, one for the windows."""
-    s = single_bar(prepare(df, keys, clock, horizons, True, complexity))
+    s = single_bar(prepare(df, keys, clock, horizons, True, complexity, bound))
     for n in horizons:
         for family in (returns, volatility, trend, momentum, reversion, volume, liquidity, levels, structure, directional, squeeze, statistics, risk, regimes, scores, patterns):
             s = family(s, n)

@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import c
+from tidemark.functions.scalars import c, div
 from tidemark.operators.blocks import Seq
 
 
@@ -19,7 +19,7 @@ def lead(s: Seq, x, k: int) -> Column:
 
 
 def forward_log_return(s: Seq, price, k: int) -> Column:
-    return F.ln(lead(s, price, k) / c(price))
+    return F.ln(div(lead(s, price, k), price))
 
 
 def forward_bps(s: Seq, price, k: int) -> Column:
@@ -62,7 +62,7 @@ def economic_side(rows: Column, n: int, price: Column, tp: float, sl: float, cos
         win = first_place(rows, lambda r: r["l"] <= price * (1 - tp))
         lose = first_place(rows, lambda r: r["h"] >= price * (1 + sl))
     out = F.when((win > 0) & ((lose == 0) | (win < lose)), math.log(1 + tp)).when(lose > 0, math.log(1 - sl))
-    out = out.otherwise(side * F.ln(F.element_at(rows, -1)["c"] / price))
+    out = out.otherwise(side * F.ln(div(F.try_element_at(rows, F.lit(-1))["c"], price)))
     return F.when(F.size(rows) == n, out - cost)
 
 
@@ -110,8 +110,19 @@ def net_carry(funding: Column, adverse: Column, hours: float, cost: float) -> Co
 
 
 def event_cost(price: Column, tick: float, fee: float) -> Column:
-    return 2.0 * fee + 2.0 * tick / price
+    return 2.0 * fee + div(F.lit(2.0 * tick), price)
 
 
 def split_by_year(year: Column, train_end: int, val: int, test_from: int) -> Column:
     return F.when(year <= train_end, "train").when(year == val, "val").when(year >= test_from, "test")
+
+
+def target(s: Seq, name: str, price: str, n: int) -> Column:
+    """A named forward target: return, bps, volatility or convergence."""
+    known = {
+        "forward_return": lambda: forward_log_return(s, price, n),
+        "forward_bps": lambda: forward_bps(s, price, n),
+        "future_volatility": lambda: future_volatility(s, "r", n),
+        "convergence": lambda: -(lead(s, price, n) - c(price)),
+    }
+    return known[name]()

@@ -23,7 +23,7 @@ def sorted_levels(price: str, qty: str, bid: Column, best_high: bool) -> Column:
 
 
 def depth_within(levels: Column, mid: Column, bps: float) -> Column:
-    return total(F.filter(levels, lambda v: F.abs(v["price"] / mid - 1.0) * 1e4 <= bps), lambda v: v["qty"])
+    return total(F.filter(levels, lambda v: F.abs(div(v["price"], mid) - 1.0) * 1e4 <= bps), lambda v: v["qty"])
 
 
 def queue_imbalance(bids: Column, asks: Column, n: int) -> Column:
@@ -36,10 +36,10 @@ def book_vector(bids: Column, asks: Column, band: float, move: float) -> dict[st
     b, a = F.try_element_at(bids, F.lit(1)), F.try_element_at(asks, F.lit(1))
     mid = (b["price"] + a["price"]) / 2.0
     micro = div(a["price"] * b["qty"] + b["price"] * a["qty"], b["qty"] + a["qty"])
-    dist = lambda v: F.abs(v["price"] / mid - 1.0) * 1e4
+    dist = lambda v: F.abs(div(v["price"], mid) - 1.0) * 1e4
     both = F.concat(bids, asks)
     return {
-        "mid": mid, "spread_bps": (a["price"] - b["price"]) / mid * 1e4, "micro_offset_bps": (micro / mid - 1.0) * 1e4,
+        "mid": mid, "spread_bps": div(a["price"] - b["price"], mid) * 1e4, "micro_offset_bps": (div(micro, mid) - 1.0) * 1e4,
         "imbalance_1": queue_imbalance(bids, asks, 1), "imbalance_5": queue_imbalance(bids, asks, 5),
         "bid_depth": depth_within(bids, mid, band), "ask_depth": depth_within(asks, mid, band),
         "notional_up": total(F.filter(asks, lambda v: v["price"] <= mid * (1 + move / 1e4)), lambda v: v["price"] * v["qty"]),
@@ -74,7 +74,7 @@ def trade_flow(df: DataFrame, keys: Sequence[str], clock: str, order: Sequence[s
     signed = F.when(F.col("_sell"), -F.col("_usd")).otherwise(F.col("_usd"))
     d = d.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.sum(signed).alias("signed"), F.sum("_usd").alias("gross"),
-        (1e4 * F.ln(F.max_by(price, o) / F.min_by(price, o))).alias("move_bps"), ((F.max(clock) - F.min(clock)) / 1e6).alias("_span"),
+        (1e4 * F.ln(div(F.max_by(price, o), F.min_by(price, o)))).alias("move_bps"), ((F.max(clock) - F.min(clock)) / 1e6).alias("_span"),
         div(F.stddev_pop("_gap"), F.avg("_gap")).alias("gap_cv"))
     return d.withColumns({
         "imbalance": F.coalesce(div("signed", "gross"), F.lit(0.0)), "impact_per_million": div(F.col("move_bps") * 1e6, F.abs("signed")),
@@ -134,7 +134,7 @@ def wallet_scores(trades: DataFrame, prices: DataFrame, *, by: str, wallet: str,
     t = trades.withColumn("_ripe", c(clock) + horizon)
     t = asof_join(t, prices, by=[by], left_clock="_ripe", right_clock=fair_clock, cols=[fair], prefix="m_")
     sign = F.when(c(sell), -1.0).otherwise(1.0)
-    t = t.withColumn("markout_bps", sign * 1e4 * (F.col(f"m_{fair}") / c(price) - 1.0)).drop(f"m_{fair}", f"m_{fair_clock}")
+    t = t.withColumn("markout_bps", sign * 1e4 * (div(f"m_{fair}", price) - 1.0)).drop(f"m_{fair}", f"m_{fair_clock}")
     ripe = t.where(F.col("markout_bps").isNotNull()).select(wallet, F.col("_ripe").alias("_clk"), F.lit(True).alias("_late"), F.col("markout_bps").alias("_ms"), F.lit(1).alias("_mn"))
     d = cumulative_at(t, ripe, by=[wallet], left_clock=c(clock), values=["_ms", "_mn"])
     return d.withColumn("score", F.col("_ms") / (F.col("_mn") + prior)).withColumnRenamed("_mn", "matured").drop("_ms", "_ripe")

@@ -164,14 +164,14 @@ def skewness(s, x, n):
     """Bias-corrected skewness over a full window, from the population form."""
     w, x = s.rows(-(n - 1), 0), c(x)
     k = F.count(x).over(w).cast("double")
-    return gate(F.skewness(x).over(w) * F.sqrt(k * (k - 1)) / (k - 2), x, w, n)
+    return gate(F.skewness(x).over(w) * F.try_divide(F.sqrt(k * (k - 1)), k - 2), x, w, n)
 
 
 def kurtosis(s, x, n):
     """Bias-corrected excess kurtosis over a full window."""
     w, x = s.rows(-(n - 1), 0), c(x)
     k = F.count(x).over(w).cast("double")
-    return gate((k - 1) / ((k - 2) * (k - 3)) * ((k + 1) * F.kurtosis(x).over(w) + 6), x, w, n)
+    return gate(F.try_divide(k - 1, (k - 2) * (k - 3)) * ((k + 1) * F.kurtosis(x).over(w) + 6), x, w, n)
 
 
 def sharpe(s, x, n, minp=None):
@@ -218,7 +218,7 @@ def two_factor_betas(s, y, x1, x2, n, minp) -> tuple[Column, Column]:
     a, b, d, p, q = t(x1 * x1), t(x1 * x2), t(x2 * x2), t(x1 * y), t(x2 * y)
     det = a * d - b * b
     good = (F.count(F.when(ok, 1)).over(w) >= minp) & (F.abs(det) > 1e-24)
-    return F.when(good, (d * p - b * q) / det), F.when(good, (a * q - b * p) / det)
+    return F.when(good, F.try_divide(d * p - b * q, det)), F.when(good, F.try_divide(a * q - b * p, det))
 
 
 def wma(s, x, n, minp=None):
@@ -229,7 +229,7 @@ def wma(s, x, n, minp=None):
     pairs = F.zip_with(got, F.sequence(F.lit(n) - k + 1, F.lit(n)), lambda v, i: v * i)
     top = F.aggregate(pairs, F.lit(0.0), lambda a, v: a + v)
     weight = k * (F.lit(n) - k + 1 + n) / 2.0
-    return gate(top / weight, x, w, min_periods(n) if minp is None else minp)
+    return gate(F.try_divide(top, weight), x, w, min_periods(n) if minp is None else minp)
 
 
 def max_drawdown(s, x, n):
@@ -239,7 +239,7 @@ def max_drawdown(s, x, n):
 
     def step(a, v):
         peak = F.greatest(a["peak"], v)
-        return F.struct(peak.alias("peak"), F.least(a["dd"], v / peak - 1.0).alias("dd"))
+        return F.struct(peak.alias("peak"), F.least(a["dd"], F.try_divide(v, peak) - 1.0).alias("dd"))
 
     return F.aggregate(got, start, step, lambda a: a["dd"])
 
@@ -250,7 +250,7 @@ def fractal_dimension(s, x, step_abs, n):
     k = F.count(c(x)).over(w).cast("double")
     path = F.sum(c(step_abs)).over(inner)
     net = F.abs(c(x) - F.first(c(x)).over(w))
-    dim = clip(F.ln(k) / (F.ln(k) + F.ln(net / path + 1e-12)), 1.0, 2.0)
+    dim = clip(F.ln(k) / (F.ln(k) + F.ln(div(net, path) + 1e-12)), 1.0, 2.0)
     return F.when(k >= min(n, 5), F.when((net <= 1e-12) | (path <= 1e-12), 1.0).otherwise(dim))
 
 
@@ -260,7 +260,7 @@ def katz_dimension(s, x, step_abs, n):
     path = F.sum(c(step_abs)).over(inner)
     start = F.first(c(x)).over(w)
     far = F.greatest(F.abs(F.max(c(x)).over(w) - start), F.abs(F.min(c(x)).over(w) - start))
-    dim = clip(F.log10(k) / (F.log10(far / path + 1e-12) + F.log10(k)), 1.0, 2.0)
+    dim = clip(F.log10(k) / (F.log10(div(far, path) + 1e-12) + F.log10(k)), 1.0, 2.0)
     return F.when(k >= min(n, 5), F.when((far <= 1e-12) | (path <= 1e-12), 1.0).otherwise(dim))
 
 

@@ -24,7 +24,7 @@ YEAR_US = 365.25 * 86_400 * 1e6
 def profit_factor(x: Column) -> Column:
     """Wins over losses as an aggregate; infinite without losses."""
     win, loss = F.sum(ind(x > 0, x)), -F.sum(ind(x < 0, x))
-    return F.when(loss > 0, win / loss).when(win > 0, F.lit(float("inf"))).otherwise(0.0)
+    return F.when(loss > 0, F.try_divide(win, loss)).when(win > 0, F.lit(float("inf"))).otherwise(0.0)
 
 
 def t_stat(x: Column) -> Column:
@@ -124,7 +124,7 @@ def newey_west(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str,
     var = F.col("_p0") / F.col("n")
     for k in range(1, lags + 1):
         var = var + 2.0 * (1.0 - k / (lags + 1.0)) * F.coalesce(F.col(f"_p{k}"), F.lit(0.0)) / F.col("n")
-    return d.select(*keys, "n", (F.col("_mu") / F.sqrt(F.greatest(var, F.lit(1e-18)) / F.col("n"))).alias("t"))
+    return d.select(*keys, "n", (F.try_divide(F.col("_mu"), F.sqrt(F.greatest(var, F.lit(1e-18)) / F.col("n")))).alias("t"))
 
 
 def effective_sample_size(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str, lags: int) -> DataFrame:
@@ -214,7 +214,7 @@ def cscv(df: DataFrame, strategy: str, block: str, value: str, n_blocks: int) ->
     parts = masks.withColumn(block, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))))
     parts = parts.withColumn("_train", F.shiftright(F.col("split"), 0).bitwiseAND(F.expr(f"shiftleft(1L, cast({block} as int))")) != 0)
     d = parts.join(m, block).groupBy("split", strategy, "_train").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
-    sd = F.sqrt(F.greatest((F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1), F.lit(0.0)))
+    sd = F.sqrt(F.greatest(div(F.col("q") - div(F.col("s") * F.col("s"), "n"), F.col("n") - 1), F.lit(0.0)))
     d = d.withColumn("sr", div(F.col("s") / F.col("n"), sd))
     d = d.groupBy("split", strategy).agg(F.max(F.when(F.col("_train"), F.col("sr"))).alias("tr"), F.max(F.when(~F.col("_train"), F.col("sr"))).alias("te"))
     best = d.groupBy("split").agg(F.max_by("te", F.struct("tr", strategy)).alias("_sel"))

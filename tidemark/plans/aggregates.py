@@ -8,7 +8,7 @@ from tidemark.functions.scalars import div, ind
 from tidemark.operators import resample as D
 from tidemark.operators import rolling as R
 from tidemark.operators.asof import asof_join
-from tidemark.operators.blocks import running_total, sequence
+from tidemark.operators.blocks import DAYS, HOURS, running_total, sequence
 from tidemark.operators.resample import HOUR_US
 from tidemark.plans.registry import query
 from tidemark.plans.tables import BARS, DAY_US, DECISIONS, PANEL, TICKS, bars, bars_sql, decisions, panel, read, ticks
@@ -39,7 +39,7 @@ f AS (SELECT symbol, hbar + {4 * HOUR_US} AS done, hc / lag(hc) OVER w - 1 AS re
 SELECT b.symbol, b.bar, f.ret4h, f.over_low FROM bars b ASOF LEFT JOIN f ON b.symbol = f.symbol AND b.bar >= f.done""", "ret4h over_low")
 def completed_context(spark, folder):
     b = bars(spark, folder)
-    s = sequence(D.coarser(b, keys=["symbol"], width=4 * HOUR_US), ["symbol"], ["bar"], back=6)
+    s = sequence(D.coarser(b, keys=["symbol"], width=4 * HOUR_US), ["symbol"], ["bar"], back=6, bound=HOURS)
     s = s.add({"ret4h": R.pct_change(s, "close"), "over_low": F.col("close") - R.low(s, "low", 6, 1), "done": F.col("bar") + 4 * HOUR_US})
     d = asof_join(b.select("symbol", "bar"), s.result(), by=["symbol"], left_clock="bar", right_clock="done", cols=["ret4h", "over_low"], prefix="c_")
     return d.select("symbol", "bar", F.col("c_ret4h").alias("ret4h"), F.col("c_over_low").alias("over_low"))
@@ -94,7 +94,7 @@ def options_daily_positioning(spark, folder):
         div(F.sum(F.when(put, prem)), F.sum(F.when(~put, prem))).alias("put_call"), div(F.sum(F.col("dir") * prem), F.sum(prem)).alias("net_flow"),
         div(F.sum(ind(F.col("is_block"), prem)), F.sum(prem)).alias("block_share"))
     top = o.groupBy("day", "strike").agg(F.sum("prem").alias("p")).groupBy("day").agg((F.max("p") / F.sum("p")).alias("top_share"))
-    s = sequence(d.join(top, "day").withColumn("market", F.lit("all")), ["market"], ["day"], back=1)
+    s = sequence(d.join(top, "day").withColumn("market", F.lit("all")), ["market"], ["day"], back=1, bound=DAYS)
     return s.add({"atm_iv_chg": R.change(s, "atm_iv"), "skew_chg": R.change(s, "skew")}).result().drop("market")
 
 
@@ -110,7 +110,7 @@ def options_daily_flow(spark, folder):
 @query("daily_realised_volatility", "D12", f"""WITH {BARS}, r AS (SELECT symbol, bar // {DAY_US} AS day, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY bar)) AS r FROM bars)
 SELECT symbol, day, sqrt(sum(r * r)) AS rv, stddev_samp(r) AS sd, count(r) AS n FROM r GROUP BY 1, 2""", "rv sd")
 def daily_realised_volatility(spark, folder):
-    s = sequence(bars(spark, folder), ["symbol"], ["bar"], back=1)
+    s = sequence(bars(spark, folder), ["symbol"], ["bar"], back=1, bound=HOURS)
     d = s.add({"r": F.ln(F.col("close") / R.lag(s, "close"))}).result()
     return d.groupBy("symbol", F.floor(F.col("bar") / DAY_US).alias("day")).agg(
         F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("rv"), F.stddev_samp("r").alias("sd"), F.count("r").alias("n"))
@@ -127,7 +127,7 @@ def liquidation_flow(spark, folder):
     return d.withColumn("imbalance", F.coalesce(div(F.col("short_usd") - F.col("long_usd"), F.col("short_usd") + F.col("long_usd")), F.lit(0.0)))
 
 
-@query("news_pivot", "D14", f"""WITH s AS (SELECT ts, unnest(string_split(CASE user_id % 4 WHEN 0 THEN 'BTC' WHEN 1 THEN 'ETH,BTC' WHEN 2 THEN 'SOL' ELSE 'SOL,ETH' END, ',')) AS sym, value FROM events)
+@query("news_pivot", "D14", f"""WITH s AS (SELECT ts, unnest(string_split(CASE user_id % 4 WHEN 0 THEN 'BTC' WHEN 1 THEN 'ETH,BTC' WHEN 2 THEN 'SOL' ELSE 'SOL,ETH' END, ',')) AS sym, value FROM events WHERE value > 0)
 SELECT epoch_us(ts) // {DAY_US} AS day, avg(value) FILTER (sym = 'BTC') AS btc_mean, count(*) FILTER (sym = 'BTC') AS btc_n, avg(value) FILTER (sym = 'ETH') AS eth_mean,
  count(*) FILTER (sym = 'ETH') AS eth_n, avg(value) FILTER (sym = 'SOL') AS sol_mean, count(*) FILTER (sym = 'SOL') AS sol_n FROM s GROUP BY 1""", "btc_mean eth_mean sol_mean")
 def news_pivot(spark, folder):

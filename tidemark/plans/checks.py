@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import div, ind
 from tidemark.operators import quality as Q
 from tidemark.operators import rolling as R
-from tidemark.operators.blocks import sequence
+from tidemark.operators.blocks import HOURS, sequence
 from tidemark.operators.resample import HOUR_US
 from tidemark.plans.registry import query
 from tidemark.plans.tables import BARS, DAY_US, DECISIONS, PANEL, TICKS, bars, decisions, panel, read, ticks
@@ -36,7 +36,7 @@ def gap_list(spark, folder):
     return Q.gaps(bars(spark, folder), key="symbol", clock="bar", step=HOUR_US)
 
 
-@query("unfillable_gaps", "P3 P4", f"""WITH {_GAPS}, m AS (SELECT DISTINCT user_id % 16 AS s, epoch_us(ts) // {DAY_US} AS day FROM events WHERE event_type = 'view'), d AS (SELECT symbol, gap_from, gap_to, unnest(generate_series(gap_from // {DAY_US}, gap_to // {DAY_US})) AS day FROM gp)
+@query("unfillable_gaps", "P3 P4", f"""WITH {_GAPS}, m AS (SELECT DISTINCT user_id % 16 AS s, epoch_us(ts) // {DAY_US} AS day FROM events WHERE event_type = 'view' AND value > 0), d AS (SELECT symbol, gap_from, gap_to, unnest(generate_series(gap_from // {DAY_US}, gap_to // {DAY_US})) AS day FROM gp)
 SELECT d.symbol, d.gap_from, count(*) AS n_days, count(*) FILTER (m.day IS NULL) AS n_absent, count(*) FILTER (m.day IS NULL) = count(*) AS confirmed FROM d LEFT JOIN m ON 'S' || lpad(CAST(m.s AS VARCHAR), 2, '0') = d.symbol AND m.day = d.day GROUP BY 1, 2""")
 def unfillable_gaps(spark, folder):
     g = Q.gaps(bars(spark, folder), key="symbol", clock="bar", step=HOUR_US)
@@ -65,7 +65,7 @@ def placeholder_flow(spark, folder):
 @query("bar_consistency", "P9 P10 P12", f"""WITH {BARS}, g AS (SELECT *, abs(close / lag(close) OVER {_BO} - 1) > 3 AS jump FROM bars) SELECT symbol, count(*) FILTER (high < greatest(open, close, low)) AS bad_high, count(*) FILTER (low > least(open, close, high)) AS bad_low, count(*) FILTER (open <= 0 OR low <= 0) AS not_positive,
  count(*) FILTER (volume < 0) AS negative_volume, count(*) FILTER (jump) AS jumps, avg(CASE WHEN close IS NULL THEN 1.0 ELSE 0 END) AS null_rate FROM g GROUP BY 1""", "null_rate")
 def bar_consistency(spark, folder):
-    s = sequence(bars(spark, folder), ["symbol"], ["bar"], back=1)
+    s = sequence(bars(spark, folder), ["symbol"], ["bar"], back=1, bound=HOURS)
     d = s.add({"jump": F.abs(R.pct_change(s, "close")) > 3}).result()
     return d.groupBy("symbol").agg(*[Q.count_if(v).alias(k) for k, v in Q.bar_checks().items()], Q.count_if(F.col("jump")).alias("jumps"), F.avg(ind(F.col("close").isNull())).alias("null_rate"))
 

@@ -8,7 +8,7 @@ from tidemark.functions.scalars import row_hash
 from tidemark.operators import pit
 from tidemark.operators import rolling as R
 from tidemark.operators.asof import asof_join
-from tidemark.operators.blocks import sequence
+from tidemark.operators.blocks import DAYS, sequence
 from tidemark.operators.crosssection import exact_quantiles
 from tidemark.operators.resample import HOUR_US
 from tidemark.plans.registry import query
@@ -82,7 +82,7 @@ def stable_state(spark, folder):
     p = panel(spark, folder)
     off = F.abs(F.col("close") / F.col("spot") - 1)
     d = p.groupBy("day").agg(F.sum("qv").alias("supply"), F.max(off).alias("depeg_max"), F.avg(off).alias("depeg_avg")).withColumn("coin", F.lit("usd"))
-    s = sequence(d, ["coin"], ["day"], back=8)
+    s = sequence(d, ["coin"], ["day"], back=8, bound=DAYS)
     return s.add({"available": F.col("day") + 1, "chg1": R.pct_change(s, "supply", 1), "chg7": R.pct_change(s, "supply", 7)}).result("day", "available", "supply", "chg1", "chg7", "depeg_max", "depeg_avg")
 
 

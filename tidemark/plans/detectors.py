@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import div, flag, ind
 from tidemark.operators import rolling as R
 from tidemark.operators.asof import asof_join
-from tidemark.operators.blocks import sequence
+from tidemark.operators.blocks import DAYS, sequence
 from tidemark.operators.crosssection import exact_quantiles
 from tidemark.operators.events import cooldown, zone
 from tidemark.operators.resample import HOUR_US
@@ -114,7 +114,7 @@ def regimes(spark, folder):
     p = panel(spark, folder)
     q = exact_quantiles(p.where("day < 10500"), ["symbol"], "fund", {"hi": 0.8, "lo": 0.2})
     d = p.join(q, "symbol").select("symbol", "day", F.when(F.col("fund") >= F.col("hi"), "RICH").when(F.col("fund") <= F.col("lo"), "CHEAP").otherwise("NONE").alias("regime"))
-    s = sequence(d, ["symbol"], ["day"], back=1)
+    s = sequence(d, ["symbol"], ["day"], back=1, bound=DAYS)
     prev, gap = F.lag("regime").over(s.by()), F.col("day") - F.lag("day").over(s.by())
     return s.add({"starts": F.coalesce((F.col("regime") != prev) | (gap > 1), F.lit(True))}).result()
 
@@ -186,7 +186,7 @@ def funding_harvest(spark, folder):
 @query("carry_regime", "K28", f"""WITH {PANEL}, y AS (SELECT symbol, day, fund, round(sum(fund) OVER w, 8) AS s, count(fund) OVER w AS n, avg(fund) OVER w AS mu, stddev_samp(fund) OVER w AS sd, avg(CASE WHEN fund > 0 THEN 1.0 ELSE 0 END) OVER w AS pos, coalesce(sum(fl) OVER w, 0) AS flips FROM (SELECT *, CASE WHEN sign(fund) <> lag(sign(fund)) OVER {_SYM} THEN 1 ELSE 0 END AS fl FROM panel) WINDOW w AS {_PW(20)})
 SELECT symbol, day, CASE WHEN n < 10 THEN 'NEUTRAL' WHEN s < 0 THEN 'NEGATIVE' WHEN abs(fund - mu) > 2 * sd THEN 'FLIP_RISK' WHEN mu >= 0.002 AND pos >= 0.4 AND flips <= 12 THEN 'CARRY_OK' ELSE 'UNSTABLE' END AS regime FROM y""")
 def carry_regime(spark, folder):
-    s = sequence(panel(spark, folder), ["symbol"], ["day"], back=24)
+    s = sequence(panel(spark, folder), ["symbol"], ["day"], back=24, bound=DAYS)
     s = s.add({"fl": ind(F.signum("fund") != F.lag(F.signum("fund")).over(s.by()))})
     w = s.rows(-20, 0)
     mu, sd = F.avg("fund").over(w), F.stddev_samp("fund").over(w)

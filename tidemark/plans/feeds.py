@@ -105,17 +105,17 @@ def dataset_registry(spark, folder):
 
 
 def tick_stream(spark, folder):
-    e = S.follow(spark, folder, "events.parquet")
+    e = S.follow(spark, folder, "events.parquet").where("value > 0")
     return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), epoch_us("ts").alias("ts_us"), F.concat(F.lit("S"), F.lpad((F.col("user_id") % 16).cast("string"), 2, "0")).alias("symbol"),
                     F.col("event_type").alias("kind"), F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("bigint").alias("qty"), "props")
 
 
-@query("stream_event_clusters", "S11 S10", f"SELECT epoch_us(ts) // 300000000 * 300000000 AS start_us, {_SYM} AS symbol, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1, 2")
+@query("stream_event_clusters", "S11 S10", f"SELECT epoch_us(ts) // 300000000 * 300000000 AS start_us, {_SYM} AS symbol, count(*) AS n FROM events WHERE event_type = 'error' AND value > 0 GROUP BY 1, 2")
 def stream_event_clusters(spark, folder):
     return S.drain(S.windowed_counts(tick_stream(spark, folder).where("kind = 'error'"), "ts", ["symbol"], "5 minutes"), "complete")
 
 
-@query("stream_sliding_counts", "S10", f"SELECT (epoch_us(ts) // {HOUR_US} - k) * {HOUR_US} AS start_us, {_SYM} AS symbol, count(*) AS n FROM events, (SELECT unnest(range(6)) AS k) GROUP BY 1, 2")
+@query("stream_sliding_counts", "S10", f"SELECT (epoch_us(ts) // {HOUR_US} - k) * {HOUR_US} AS start_us, {_SYM} AS symbol, count(*) AS n FROM events, (SELECT unnest(range(6)) AS k) WHERE value > 0 GROUP BY 1, 2")
 def stream_sliding_counts(spark, folder):
     return S.drain(S.windowed_counts(tick_stream(spark, folder), "ts", ["symbol"], "6 hours", "1 hour"), "complete")
 
@@ -126,13 +126,13 @@ def stream_sessions(spark, folder):
     return S.drain(S.gap_sessions(tick_stream(spark, folder), "ts", ["symbol"], "1 hour"), "complete")
 
 
-@query("stream_dedupe", "S8", "SELECT count(DISTINCT (user_id % 16, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT))) AS n FROM events")
+@query("stream_dedupe", "S8", "SELECT count(DISTINCT (user_id % 16, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT))) AS n FROM events WHERE value > 0")
 def stream_dedupe(spark, folder):
     d = S.drain(S.first_seen(tick_stream(spark, folder), "ts", ["symbol", "qty"], "60 days").select("symbol", "qty"))
     return d.agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stream_dead_letters", "S2 S3 S4", f"SELECT {_SYM} AS symbol, count(*) FILTER (event_id % 7 <> 0) AS valid, count(*) FILTER (event_id % 7 = 0) AS dead FROM events GROUP BY 1")
+@query("stream_dead_letters", "S2 S3 S4", f"SELECT {_SYM} AS symbol, count(*) FILTER (event_id % 7 <> 0) AS valid, count(*) FILTER (event_id % 7 = 0) AS dead FROM events WHERE value > 0 GROUP BY 1")
 def stream_dead_letters(spark, folder):
     t = tick_stream(spark, folder).select("symbol", F.when(F.col("event_id") % 7 == 0, F.lit('{"x": 1}')).otherwise(F.col("props")).alias("text"))
     valid, dead = S.split_dead_letters(t, "text", "k bigint", ["k"])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import clip, div, draw, ind
 from tidemark.operators import rolling as R
 from tidemark.operators import stats as S
-from tidemark.operators.blocks import RN, number_rows, sequence
+from tidemark.operators.blocks import DAYS, RN, number_rows, sequence
 from tidemark.operators.crosssection import average_rank, exact_quantiles, global_rank, spearman
 from tidemark.operators.events import fixed_window_ids, greedy_anchors, session_ids
 from tidemark.plans.registry import query
@@ -356,7 +356,7 @@ def threshold_sweep(spark, folder):
  FROM dy WINDOW w AS (PARTITION BY symbol ORDER BY day RANGE BETWEEN 180 PRECEDING AND 1 PRECEDING)""", "p threshold")
 def rolling_selection(spark, folder):
     # One row per symbol and day, so a 180-day frame holds at most 180 rows.
-    s = sequence(daily(spark, folder), ["symbol"], ["day"], back=180)
+    s = sequence(daily(spark, folder), ["symbol"], ["day"], back=180, bound=DAYS)
     w = s.by().rangeBetween(-180, -1)
     s = s.add({"threshold": F.when(F.count("p").over(w) >= 10, F.greatest(F.percentile("p", F.lit(0.8)).over(w), F.lit(20.0)))})
     return s.result("symbol", "day", "p", "threshold", F.when(F.col("threshold").isNotNull(), (F.col("p") > 0) & (F.col("p") >= F.col("threshold"))).alias("kept"))

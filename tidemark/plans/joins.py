@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import rolling as R
 from tidemark.operators.asof import Context, asof_contexts, asof_join, interval_sums, mutual_matches
-from tidemark.operators.blocks import sequence
+from tidemark.operators.blocks import DAYS, sequence
 from tidemark.operators.crosssection import exact_quantiles
 from tidemark.operators.events import other_names_within, trailing_counts
 from tidemark.operators.resample import HOUR_US, calendar
@@ -202,7 +202,7 @@ def basis_panel(spark, folder):
     p = panel(spark, folder)
     perp, spot = p.select("day", "symbol", F.col("close").alias("perp")), p.select("day", "symbol", "spot")
     d = perp.join(spot, ["day", "symbol"]).withColumn("basis", F.col("perp") / F.col("spot") - 1)
-    s = sequence(d, ["symbol"], ["day"], back=50)
+    s = sequence(d, ["symbol"], ["day"], back=50, bound=DAYS)
     return s.add({"d1": R.change(s, "basis", 1), "d3": R.change(s, "basis", 3), "d12": R.change(s, "basis", 12),
                   "z48": R.prior_z(s, "basis", 48)}).result("day", "symbol", "basis", "d1", "d3", "d12", "z48")
 

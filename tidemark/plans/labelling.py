@@ -11,7 +11,7 @@ from tidemark.functions.scalars import div, flag, ind
 from tidemark.operators import labels as L
 from tidemark.operators import rolling as R
 from tidemark.operators.asof import Context, asof_contexts, asof_join
-from tidemark.operators.blocks import RN, number_rows, running_total, sequence
+from tidemark.operators.blocks import HOURS, RN, number_rows, running_total, sequence
 from tidemark.operators.crosssection import exact_quantiles
 from tidemark.operators.resample import HOUR_US
 from tidemark.plans.registry import query
@@ -174,7 +174,7 @@ def event_path_labels(spark, folder):
     s = ret_bars(spark, folder, 1, 8)
     b = s.result("symbol", "bar", "open", "r")
     b = running_total(b, ["symbol"], ["bar"], {"cum": F.col("r")}, 60 * DAY_US)
-    s = sequence(b, ["symbol"], ["bar"], ahead=8)
+    s = sequence(b, ["symbol"], ["bar"], ahead=8, bound=HOURS)
     path = s.add(L.path_columns(s, "r", "cum", 8)).result("symbol", "bar", "open", "end", "top", "bottom")
     ev = ticks(spark, folder).where("kind = 'purchase' and qty >= 50").select("event_id", "symbol", "ts_us", F.when(F.col("is_sell"), -1.0).otherwise(1.0).alias("dir"))
     d = asof_join(ev, path, by=["symbol"], left_clock="ts_us", right_clock="bar", cols=["open", "end", "top", "bottom"], prefix="p_", direction="forward")
@@ -215,7 +215,7 @@ p AS (SELECT e.symbol, e.bar, b.i - e.i AS held, b.close / e.close - 1 AS pnl FR
 SELECT symbol, bar, held, pnl, pnl >= max(pnl) OVER (PARTITION BY symbol, bar ORDER BY held ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS is_best FROM p""", "pnl")
 def exit_samples(spark, folder):
     d = number_rows(bars(spark, folder).select("symbol", "bar", "close"), ["symbol"], ["bar"], 60 * DAY_US)
-    s = sequence(d.withColumnRenamed(RN, "i"), ["symbol"], ["bar"], ahead=6)
+    s = sequence(d.withColumnRenamed(RN, "i"), ["symbol"], ["bar"], ahead=6, bound=HOURS)
     s = s.add({"f": L.next_rows(s, 6, p="close")})
     d = s.result().where("(i + 1) % 20 = 0").select("symbol", "bar", "close", F.posexplode("f").alias("pos", "x"), "f")
     rest = F.array_max(F.transform(F.expr("slice(f, pos + 1, 6)"), lambda r: r["p"]))

@@ -10,7 +10,7 @@ from tidemark.operators import micro as M
 from tidemark.operators import portfolio as P
 from tidemark.operators import rolling as R
 from tidemark.operators.asof import Context, asof_contexts, asof_join, window_sums
-from tidemark.operators.blocks import running_total, sequence
+from tidemark.operators.blocks import HOURS, running_total, sequence
 from tidemark.operators.crosssection import average_rank, exact_quantiles
 from tidemark.operators.events import greedy_anchors
 from tidemark.operators.resample import HOUR_US
@@ -99,7 +99,7 @@ def last_n_trade_windows(spark, folder):
 @query("resilience_time", "J12", f"""WITH {BARS}, y AS (SELECT symbol, bar, volume, avg(volume) OVER (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS base FROM bars), d AS (SELECT symbol, min(bar) FILTER (volume <= 0.5 * base) AS low_at, arg_min(base, bar) FILTER (volume <= 0.5 * base) AS b0 FROM y GROUP BY 1)
 SELECT d.symbol, low_at, (min(y.bar) FILTER (y.bar > low_at AND y.volume >= 0.9 * b0) - max(low_at)) / 1e6 AS seconds FROM d JOIN y ON y.symbol = d.symbol GROUP BY 1, 2""", "seconds")
 def resilience_time(spark, folder):
-    s = sequence(bars(spark, folder).select("symbol", "bar", "volume"), ["symbol"], ["bar"], back=10)
+    s = sequence(bars(spark, folder).select("symbol", "bar", "volume"), ["symbol"], ["bar"], back=10, bound=HOURS)
     y = s.add({"base": F.avg("volume").over(s.rows(-10, -1))}).result()
     low = F.col("volume") <= 0.5 * F.col("base")
     d = y.groupBy("symbol").agg(F.min(F.when(low, F.col("bar"))).alias("low_at"), F.min_by("base", F.when(low, F.col("bar"))).alias("b0"))

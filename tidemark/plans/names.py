@@ -13,7 +13,7 @@ from tidemark.operators import recurrence as K
 from tidemark.operators import resample as D
 from tidemark.operators import rolling as R
 from tidemark.operators.asof import asof_join
-from tidemark.operators.blocks import sequence
+from tidemark.operators.blocks import DAYS, sequence
 from tidemark.operators.crosssection import (all_present_least, average_rank, centred_rank, distinct_ranks, first_rank, neutralise,
                                              neutralise_one, orthogonal, over, spearman)
 from tidemark.operators.resample import HOUR_US
@@ -81,7 +81,7 @@ def relative_value_dislocation(spark, folder):
     d = s.result().withColumns({"resid": F.col("r") - F.col("m"), "basis": F.col("close") / F.col("spot") - 1, "flow": 2 * F.col("tbq") / F.col("qv") - 1})
     w = Window.partitionBy("day")
     d = d.withColumns({"bz": F.col("basis") - F.percentile("basis", F.lit(0.5)).over(w), "fz": div(F.col("flow") - F.avg("flow").over(w), F.stddev_samp("flow").over(w))})
-    s = sequence(d, ["symbol"], ["day"], back=30)
+    s = sequence(d, ["symbol"], ["day"], back=30, bound=DAYS)
     d = s.add({"sd": R.prior(s, F.stddev_samp, "resid", 30)}).result()
     d = d.where("sd is not null and bz is not null and fz is not null and resid is not null")
     return d.select("day", "symbol", "bz", "fz", "sd", ((F.col("bz") > 0.1) & (F.col("fz") > 0.5) & (F.col("resid") > 0.5 * F.col("sd"))).alias("hit"))
@@ -97,7 +97,7 @@ def universe_count(spark, folder):
 l AS (SELECT *, CASE WHEN alive >= 81 THEN adv END AS a2 FROM a)
 SELECT day, symbol, a2 AS adv, row_number() OVER (PARTITION BY day, a2 IS NOT NULL ORDER BY a2 DESC, symbol) AS rk, row_number() OVER (PARTITION BY day, a2 IS NOT NULL ORDER BY a2 DESC, symbol) <= 10 AND a2 >= 40000 AS eligible FROM l WHERE a2 IS NOT NULL""", "adv")
 def causal_universe(spark, folder):
-    s = sequence(panel(spark, folder), ["symbol"], ["day"], back=90)
+    s = sequence(panel(spark, folder), ["symbol"], ["day"], back=90, bound=DAYS)
     d = s.add({"adv": R.quantile(s, "qv", 20, 0.5), "alive": F.count("close").over(s.rows(-89, 0))}).result("day", "symbol", "adv", "alive")
     d = d.where("alive >= 81 and adv is not null").withColumn("rk", first_rank("adv", "symbol", "day", desc=True))
     return d.select("day", "symbol", "adv", "rk", ((F.col("rk") <= 10) & (F.col("adv") >= 40_000)).alias("eligible"))
@@ -142,7 +142,7 @@ SELECT day, CASE WHEN count(mkt) OVER w = 20 THEN stddev_samp(mkt) OVER w END AS
 def market_states(spark, folder):
     d = market_panel(spark, folder, 0).result().groupBy("day").agg(
         F.percentile("r", F.lit(0.5)).alias("mkt"), F.stddev_samp("r").alias("disp"), F.avg("fund").alias("f"), F.sum("oi").alias("oi"))
-    s = sequence(d.withColumn("market", F.lit("all")), ["market"], ["day"], back=20)
+    s = sequence(d.withColumn("market", F.lit("all")), ["market"], ["day"], back=20, bound=DAYS)
     return s.add({"mkt_vol": R.std(s, "mkt", 20), "mkt_trend": R.mean(s, "mkt", 20), "xs_disp": R.mean(s, "disp", 5), "mkt_funding": R.mean(s, "f", 7),
                   "oi_growth": R.pct_change(s, "oi", 7)}).result("day", "mkt_vol", "mkt_trend", "xs_disp", "mkt_funding", "oi_growth")
 
@@ -273,7 +273,7 @@ def open_interest_signals(spark, folder):
 @query("ratio_signals", "I8 I10 J24", f"""WITH {PANEL}, y AS (SELECT *, round(ratio / lag(ratio, 7) OVER {_SYM}, 9) AS q7, round(ratio2 / lag(ratio2, 7) OVER {_SYM}, 9) AS p7 FROM panel)
 SELECT day, symbol, -{_Z60('ratio')} AS lvl, -{_XR('ratio')} AS x, -(q7 - 1) AS chg7, {_XR('ratio2')} - {_XR('ratio')} AS smart_dumb, {_XR('p7')} - {_XR('q7')} AS smart_dumb_chg7 FROM y""", "lvl x chg7 smart_dumb smart_dumb_chg7", digits=5)
 def ratio_signals(spark, folder):
-    s = sequence(panel(spark, folder), ["symbol"], ["day"], back=62)
+    s = sequence(panel(spark, folder), ["symbol"], ["day"], back=62, bound=DAYS)
     d = s.add({"q7": F.round(F.col("ratio") / R.lag(s, "ratio", 7), 9), "p7": F.round(F.col("ratio2") / R.lag(s, "ratio2", 7), 9), "lvl": -R.z_full(s, "ratio", 60)}).result()
     return d.select("day", "symbol", "lvl", (-centred_rank("ratio", "day")).alias("x"), (-(F.col("q7") - 1)).alias("chg7"),
                     (centred_rank("ratio2", "day") - centred_rank("ratio", "day")).alias("smart_dumb"), (centred_rank("p7", "day") - centred_rank("q7", "day")).alias("smart_dumb_chg7"))
@@ -300,7 +300,7 @@ def basis_signals(spark, folder):
 @query("forecast_combine", "I22 I23", f"""WITH {PANEL}, z AS (SELECT day, symbol, [round({_Z60('fund')}, 7), round(-{_Z60('oi')}, 7), round({_Z60('ratio')}, 7)] AS zs FROM panel), f AS (SELECT day, symbol, list_filter(zs, lambda q: q IS NOT NULL) AS h FROM z)
 SELECT day, symbol, list_avg(h) AS score, CASE WHEN list_avg(h) > 0.5 THEN 'UP' WHEN list_avg(h) < -0.5 THEN 'DOWN' ELSE 'FLAT' END AS direction, len(list_filter(h, lambda q: sign(q) = sign(list_avg(h)))) / len(h)::DOUBLE AS agreement FROM f WHERE len(h) > 0""", "score agreement", digits=5)
 def forecast_combine(spark, folder):
-    s = sequence(panel(spark, folder), ["symbol"], ["day"], back=60)
+    s = sequence(panel(spark, folder), ["symbol"], ["day"], back=60, bound=DAYS)
     s = s.add({"h": F.array_compact(F.array(*[F.round(z, 7) for z in (R.z_full(s, "fund", 60), -R.z_full(s, "oi", 60), R.z_full(s, "ratio", 60))]))})
     d = s.result("day", "symbol", "h").where(F.size("h") > 0)
     d = d.withColumn("score", F.aggregate("h", F.lit(0.0), lambda a, v: a + v) / F.size("h"))
@@ -320,7 +320,7 @@ tg AS (SELECT *, CASE WHEN n < 8 OR k IS NULL THEN 0.0 WHEN k <= 3 THEN -1 / 3.0
 
 def calendar_scores(spark, folder):
     s = market_panel(spark, folder, 12)
-    s = sequence(s.result(), ["symbol"], ["day"], back=12, ahead=1)
+    s = sequence(s.result(), ["symbol"], ["day"], back=12, ahead=1, bound=DAYS)
     d = s.add({"score": R.pct_change(s, "close", 10), "ret1": F.lead("close").over(s.by()) / F.col("close") - 1}).result("day", "symbol", "score", "ret1", "qv")
     return D.on_calendar(d, keys=["symbol"], clock="day", step=1)
 
@@ -339,7 +339,7 @@ p AS (SELECT span, day, sum(xw * coalesce(ret1, 0) * 10000) AS gross, sum(dw * 4
 SELECT span, avg(gross) AS gross_bps, avg(cost) AS cost_bps, avg(gross - cost) AS net_bps, avg(-gross - cost) AS net_inverse_bps FROM p GROUP BY span""", "gross_bps cost_bps net_bps net_inverse_bps", digits=4)
 def portfolio_grid(spark, folder):
     d = P.targets(calendar_scores(spark, folder), at="day", name="symbol", score="score", k=3)
-    s = sequence(d, ["symbol"], ["day"], back=14)
+    s = sequence(d, ["symbol"], ["day"], back=14, bound=DAYS)
     # All configurations share one pass: a column per span, then one row per (day, span).
     spans = (1, 5, 10)
     s = s.add({f"w{n}": F.avg("target").over(s.rows(-(n - 1), 0)) for n in spans})
@@ -354,7 +354,7 @@ def portfolio_grid(spark, folder):
 @query("symbol_cost_model", "O4", f"""WITH {PANEL}, a AS (SELECT day, symbol, CASE WHEN count(qv) OVER w = 20 THEN median(qv) OVER w END AS adv FROM panel WINDOW w AS {_PW(19)})
 SELECT day, symbol, coalesce(8 * least(greatest(sqrt(median(adv) OVER (PARTITION BY day) / adv), 1), 4) + CASE WHEN adv IS NULL THEN NULL ELSE 0 END, 32) AS cost_bps FROM a""", "cost_bps")
 def symbol_cost_model(spark, folder):
-    s = sequence(panel(spark, folder), ["symbol"], ["day"], back=20)
+    s = sequence(panel(spark, folder), ["symbol"], ["day"], back=20, bound=DAYS)
     d = s.add({"adv": R.quantile(s, "qv", 20, 0.5)}).result("day", "symbol", "adv")
     return d.select("day", "symbol", P.liquidity_cost(8.0, F.col("adv"), over(["day"], F.percentile("adv", F.lit(0.5)))).alias("cost_bps"))
 

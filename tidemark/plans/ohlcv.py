@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import features as X
 from tidemark.operators import rolling as R
+from tidemark.operators.blocks import HOURS
 from tidemark.plans.registry import query
 from tidemark.plans.tables import BARS, DAY_US, bars
 
@@ -22,7 +23,7 @@ _G = lambda agg, x, n=N: f"(CASE WHEN count({x}) OVER {_R(n)} >= {R.min_periods(
 
 
 def prepared(spark, folder, recursive=False, horizons=(N,), complexity=()):
-    return X.prepare(bars(spark, folder), ["symbol"], "bar", horizons, recursive, complexity)
+    return X.prepare(bars(spark, folder), ["symbol"], "bar", horizons, recursive, complexity, HOURS)
 
 
 def out(s, *cols):
@@ -136,7 +137,7 @@ def trend_consistency(spark, folder):
 @query("enriched_features", "H1 H6 H8 H15 H24 H26 H27 H29 H31 H33 H34 H35 H52 H53")
 def enriched_features(spark, folder):
     """The whole feature table for one horizon."""
-    return X.enriched(bars(spark, folder), ["symbol"], "bar", (10,))
+    return X.enriched(bars(spark, folder), ["symbol"], "bar", (10,), bound=HOURS)
 
 
 @query("asymmetric_features", "H37 H38 H39 H40 H42", f"""WITH {_BASE}, y AS (SELECT *, CASE WHEN lr > 0 THEN v ELSE 0 END AS uv, CASE WHEN lr < 0 THEN v ELSE 0 END AS dnv, avg(v) OVER {_R(20)} AS v20 FROM f1) SELECT symbol, bar, (sum(uv) OVER {_R(12)} - sum(dnv) OVER {_R(12)}) / nullif(sum(v) OVER {_R(12)}, 0) AS volume_delta,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import div, ind
 from tidemark.operators import rolling as R
-from tidemark.operators.blocks import sequence
+from tidemark.operators.blocks import HOURS, sequence
 from tidemark.operators.events import cooldown
 from tidemark.operators.resample import HOUR_US
 from tidemark.plans.registry import query
@@ -23,7 +23,7 @@ e AS (SELECT t.* FROM t JOIN k ON t.symbol = k.symbol AND t.bar = k.bar)"""
 
 
 def study_events(spark, folder):
-    s = sequence(bars(spark, folder), ["symbol"], ["bar"], back=30, ahead=4)
+    s = sequence(bars(spark, folder), ["symbol"], ["bar"], back=30, ahead=4, bound=HOURS)
     s = s.add({"ret": F.ln(F.col("close") / R.lag(s, "close")), "fwd": F.ln(R.lag(s, "close", -4) / F.col("close"))})
     s = s.add({"z": R.prior_z(s, "ret", 24, 8)})
     hits = s.result().where((F.abs("z") >= 1.5) & F.col("fwd").isNotNull())

@@ -17,8 +17,8 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def ticks(spark: SparkSession, folder: str) -> DataFrame:
-    """events as trades: symbol, venue, price, quantity and side."""
-    e = read(spark, folder, "events")
+    """events as trades: symbol, venue, price, quantity and side. A print without a positive price is no trade."""
+    e = read(spark, folder, "events").where("value > 0")
     return e.select(
         "event_id", epoch_us("ts").alias("ts_us"),
         F.concat(F.lit("S"), F.lpad((F.col("user_id") % 16).cast("string"), 2, "0")).alias("symbol"),
@@ -29,7 +29,7 @@ def ticks(spark: SparkSession, folder: str) -> DataFrame:
 
 TICKS = """ticks AS (SELECT event_id, epoch_us(ts) AS ts_us, 'S' || lpad(CAST(user_id % 16 AS VARCHAR), 2, '0') AS symbol,
  user_id, user_id % 3 AS venue, event_type AS kind, value AS price,
- CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS qty, event_type IN ('error', 'signup') AS is_sell FROM events)"""
+ CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS qty, event_type IN ('error', 'signup') AS is_sell FROM events WHERE value > 0)"""
 
 
 def bars(spark: SparkSession, folder: str, width: int = HOUR_US) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import clip, div, flag
 from tidemark.operators import recurrence as K
 from tidemark.operators import rolling as R
-from tidemark.operators.blocks import RN, number_rows, running_total, sequence
+from tidemark.operators.blocks import DAYS, HOURS, RN, number_rows, running_total, sequence
 from tidemark.operators.resample import HOUR_US
 from tidemark.plans.registry import query
 from tidemark.plans.tables import BARS, DAY_US, PANEL, TICKS, bars, panel, ticks
@@ -18,7 +18,7 @@ _ORD = "(PARTITION BY symbol ORDER BY bar)"
 
 
 def ret_bars(spark, folder, back=64, ahead=0):
-    s = sequence(bars(spark, folder), ["symbol"], ["bar"], back=back + 2, ahead=ahead)
+    s = sequence(bars(spark, folder), ["symbol"], ["bar"], back=back + 2, ahead=ahead, bound=HOURS)
     s = s.add({"r": F.ln(F.col("close") / R.lag(s, "close")), "d": R.change(s, "close")})
     return s
 
@@ -42,7 +42,7 @@ SELECT symbol, bar, CASE WHEN count(p) OVER w >= 6 THEN (close - avg(p) OVER w)
  WINDOW w AS (PARTITION BY symbol ORDER BY bar RANGE BETWEEN {DAY_US - 1} PRECEDING AND CURRENT ROW)""", "z")
 def time_window_zscore(spark, folder):
     # A day of hourly bars holds at most 24 rows, so 26 copied rows cover the time frame.
-    s = sequence(bars(spark, folder), ["symbol"], ["bar"], back=26)
+    s = sequence(bars(spark, folder), ["symbol"], ["bar"], back=26, bound=HOURS)
     s = s.add({"p": R.lag(s, "close")})
     w = s.by().rangeBetween(-(DAY_US - 1), 0)
     z = F.when(F.count("p").over(w) >= 6, div(F.col("close") - F.avg("p").over(w), F.stddev_samp("p").over(w)))
@@ -66,7 +66,7 @@ def prior_percentile_rank(spark, folder):
 @query("prior_rank_wide", "E6", f"""WITH {_RET}, y AS (SELECT symbol, bar, close, list(close) OVER {_W(300, 1)} AS h FROM x)
 SELECT symbol, bar, CASE WHEN len(h) >= 100 THEN len(list_filter(h, lambda v: v <= close)) / len(h)::DOUBLE END AS share FROM y""", "share")
 def prior_rank_wide(spark, folder):
-    s = sequence(bars(spark, folder).select("symbol", "bar", "close"), ["symbol"], ["bar"], back=300)
+    s = sequence(bars(spark, folder).select("symbol", "bar", "close"), ["symbol"], ["bar"], back=300, bound=HOURS)
     return K.kernel_pass(s, {"share": (K.prior_rank(300, 100), ["close"])}).result("symbol", "bar", "share")
 
 
@@ -82,7 +82,7 @@ def inclusive_percentile_rank(spark, folder):
  FROM x WINDOW w AS {_W(19)}""", "slope r2")
 def regression_slope(spark, folder):
     d = number_rows(bars(spark, folder).select("symbol", "bar", "close"), ["symbol"], ["bar"], 60 * DAY_US)
-    s = sequence(d.withColumnRenamed(RN, "i"), ["symbol"], ["bar"], back=20)
+    s = sequence(d.withColumnRenamed(RN, "i"), ["symbol"], ["bar"], back=20, bound=HOURS)
     return s.add({"slope": R.slope(s, "close", 20, "i"), "r2": R.r2(s, "close", 20, "i")}).result("symbol", "bar", "slope", "r2")
 
 
@@ -174,12 +174,12 @@ _PW = lambda n, hi="CURRENT ROW": f"(PARTITION BY symbol ORDER BY day ROWS BETWE
 
 
 def market_panel(spark, folder, back):
-    s = sequence(panel(spark, folder), ["symbol"], ["day"], back=1)
+    s = sequence(panel(spark, folder), ["symbol"], ["day"], back=1, bound=DAYS)
     d = s.add({"r": R.pct_change(s, "close")}).result()
     from pyspark.sql import Window
     w = Window.partitionBy("day")
     d = d.withColumns({"m": F.avg("r").over(w), "md": F.percentile("r", F.lit(0.5)).over(w)})
-    return sequence(d, ["symbol"], ["day"], back=back)
+    return sequence(d, ["symbol"], ["day"], back=back, bound=DAYS)
 
 
 @query("market_beta", "E33 E34 G20", f"""WITH {_MKT} SELECT day, symbol, CASE WHEN count(CASE WHEN r IS NOT NULL AND m IS NOT NULL THEN 1 END) OVER w >= 20 THEN covar_samp(r, m) OVER w / nullif(var_samp(CASE WHEN r IS NOT NULL THEN m END) OVER w, 0) END AS beta,
@@ -201,7 +201,7 @@ def two_factor_betas(spark, folder):
     f1 = d.where("symbol = 'P00'").select("day", F.col("r").alias("f1"))
     f2 = d.where("symbol = 'P01'").select("day", F.col("r").alias("f2"))
     d = d.where(~F.col("symbol").isin("P00", "P01")).join(f1, "day", "left").join(f2, "day", "left")
-    s = sequence(d, ["symbol"], ["day"], back=60)
+    s = sequence(d, ["symbol"], ["day"], back=60, bound=DAYS)
     b1, b2 = R.two_factor_betas(s, "r", "f1", "f2", 60, 20)
     d = s.add({"b1": b1, "b2": b2}).result()
     w = Window.partitionBy("symbol", F.floor(F.col("day") / 30)).orderBy("day")
@@ -239,7 +239,7 @@ e AS (SELECT symbol, bar, i, close, close AS e1, close AS e2, close AS e3 FROM x
 
 @query("ema_family", "F1 F5 F9", _EMA + f""" SELECT symbol, bar, e1 AS ema, 2 * e1 - e2 AS dema, 3 * e1 - 3 * e2 + e3 AS tema, (e3 / lag(e3) OVER {_ORD} - 1) * 100 AS trix FROM e""", "ema dema tema trix")
 def ema_family(spark, folder):
-    s = sequence(bars(spark, folder).select("symbol", "bar", "close"), ["symbol"], ["bar"], back=K.warmup(12, 3))
+    s = sequence(bars(spark, folder).select("symbol", "bar", "close"), ["symbol"], ["bar"], back=K.warmup(12, 3), bound=HOURS)
     return K.kernel_pass(s, {"ema": (K.ema(12), ["close"]), "dema": (K.dema(12), ["close"]), "tema": (K.tema(12), ["close"]),
                              "trix": (K.trix(12), ["close"])}).result("symbol", "bar", "ema", "dema", "tema", "trix")
 
@@ -249,7 +249,7 @@ e AS (SELECT symbol, bar, i, greatest(d, 0) AS g, greatest(-d, 0) AS l FROM x WH
  UNION ALL SELECT x.symbol, x.bar, x.i, e.g + (greatest(x.d, 0) - e.g) / 14.0, e.l + (greatest(-x.d, 0) - e.l) / 14.0 FROM e JOIN x ON x.symbol = e.symbol AND x.i = e.i + 1)
 SELECT symbol, bar, 100 - 100 / (1 + g / (l + 1e-12)) AS rsi FROM e UNION ALL SELECT symbol, bar, 0.0 FROM x WHERE i = 1""", "rsi")
 def wilder_rsi(spark, folder):
-    s = sequence(bars(spark, folder).select("symbol", "bar", "close"), ["symbol"], ["bar"], back=K.warmup(27))
+    s = sequence(bars(spark, folder).select("symbol", "bar", "close"), ["symbol"], ["bar"], back=K.warmup(27), bound=HOURS)
     return K.kernel_pass(s, {"rsi": (K.rsi(14), ["close"])}).result("symbol", "bar", "rsi")
 
 
@@ -257,7 +257,7 @@ def wilder_rsi(spark, folder):
 e AS (SELECT symbol, bar, i, close AS k FROM y WHERE i = 1 UNION ALL SELECT y.symbol, y.bar, y.i, e.k + y.sc * (y.close - e.k) FROM e JOIN y ON y.symbol = e.symbol AND y.i = e.i + 1)
 SELECT symbol, bar, k AS kama FROM e""", "kama")
 def kaufman_average(spark, folder):
-    s = sequence(bars(spark, folder).select("symbol", "bar", "close"), ["symbol"], ["bar"], back=10_000)
+    s = sequence(bars(spark, folder).select("symbol", "bar", "close"), ["symbol"], ["bar"], back=10_000, bound=HOURS)
     return K.kernel_pass(s, {"kama": (K.kama(10), ["close"])}).result("symbol", "bar", "kama")
 
 
@@ -271,7 +271,7 @@ f AS (SELECT symbol, bar, i, 100 * p / (tr + 1e-12) AS plus_di, 100 * m / (tr +
 h AS (SELECT symbol, bar, i, dx AS adx FROM g WHERE i = 1 UNION ALL SELECT g.symbol, g.bar, g.i, h.adx + (g.dx - h.adx) / 14.0 FROM h JOIN g ON g.symbol = h.symbol AND g.i = h.i + 1)
 SELECT g.symbol, g.bar, g.plus_di, g.minus_di, h.adx FROM g JOIN h ON h.symbol = g.symbol AND h.i = g.i""", "plus_di minus_di adx", digits=5)
 def directional_index(spark, folder):
-    s = sequence(bars(spark, folder).select("symbol", "bar", "high", "low", "close"), ["symbol"], ["bar"], back=K.warmup(27, 2))
+    s = sequence(bars(spark, folder).select("symbol", "bar", "high", "low", "close"), ["symbol"], ["bar"], back=K.warmup(27, 2), bound=HOURS)
     hlc = ["high", "low", "close"]
     return K.kernel_pass(s, {"plus_di": (K.directional(14, "plus"), hlc), "minus_di": (K.directional(14, "minus"), hlc),
                              "adx": (K.directional(14, "adx"), hlc)}).result("symbol", "bar", "plus_di", "minus_di", "adx")
@@ -279,7 +279,7 @@ def directional_index(spark, folder):
 
 @query("complexity_kernels", "E16 E19 E20 E23 E24 E25 H23 F8")
 def complexity_kernels(spark, folder):
-    s = sequence(bars(spark, folder).select("symbol", "bar", "close"), ["symbol"], ["bar"], back=K.warmup(40, 2))
+    s = sequence(bars(spark, folder).select("symbol", "bar", "close"), ["symbol"], ["bar"], back=K.warmup(40, 2), bound=HOURS)
     k = {"entropy": K.histogram_entropy(20), "hurst": K.hurst(30), "hurst_rs": K.rescaled_range(30), "cycle": K.spectrum(32, "cycle"),
          "fft_1": K.spectrum(32, "component", 1), "spectral": K.spectrum(32, "entropy"), "tsi": K.tsi(14)}
     return K.kernel_pass(s, {n: (f, ["close"]) for n, f in k.items()}).result("symbol", "bar", *k)
@@ -288,7 +288,7 @@ def complexity_kernels(spark, folder):
 @query("volume_indices", "F10", f"""WITH {_RET}, y AS (SELECT *, close / lag(close) OVER {_ORD} AS g, volume - lag(volume) OVER {_ORD} AS dv FROM x)
 SELECT symbol, bar, sum(CASE WHEN dv < 0 THEN ln(g) ELSE 0 END) OVER {_ORD} AS log_nvi, sum(CASE WHEN dv > 0 THEN ln(g) ELSE 0 END) OVER {_ORD} AS log_pvi FROM y""", "log_nvi log_pvi")
 def volume_indices(spark, folder):
-    s = sequence(bars(spark, folder).select("symbol", "bar", "close", "volume"), ["symbol"], ["bar"], back=1)
+    s = sequence(bars(spark, folder).select("symbol", "bar", "close", "volume"), ["symbol"], ["bar"], back=1, bound=HOURS)
     d = s.add({"g": F.ln(F.col("close") / R.lag(s, "close")), "dv": R.change(s, "volume")}).result()
     d = running_total(d, ["symbol"], ["bar"], {"a": F.when(F.col("dv") < 0, F.col("g")).otherwise(0.0), "b": F.when(F.col("dv") > 0, F.col("g")).otherwise(0.0)}, 60 * DAY_US)
     return d.select("symbol", "bar", F.col("a").alias("log_nvi"), F.col("b").alias("log_pvi"))
