@@ -9,6 +9,7 @@ from tidemark.operators import resample as D
 from tidemark.operators import rolling as R
 from tidemark.operators.asof import asof_join
 from tidemark.operators.blocks import DAYS, HOURS, running_total, sequence
+from tidemark.operators.crosssection import exact_quantiles
 from tidemark.operators.resample import HOUR_US
 from tidemark.plans.registry import query
 from tidemark.plans.tables import BARS, DAY_US, DECISIONS, PANEL, TICKS, bars, bars_sql, decisions, panel, read, ticks
@@ -87,12 +88,14 @@ def options_daily_positioning(spark, folder):
         F.floor(F.col("ts_us") / DAY_US).alias("day"), F.col("qty").alias("strike"), (0.8 + (F.col("price") % 40) / 100).alias("mny"),
         (F.col("price") / 100).alias("iv"), F.col("is_sell").alias("put"), (F.col("price") * F.col("qty")).alias("prem"),
         F.when(F.col("kind").isin("purchase", "error"), 1).otherwise(-1).alias("dir"), (F.col("qty") >= 80).alias("is_block"))
-    med = lambda cond: F.percentile(F.when(cond, F.col("iv")), F.lit(0.5))
     mny, put, prem = F.col("mny"), F.col("put"), F.col("prem")
+    wing = F.when(mny.between(0.95, 1.05), "atm").when(put & (mny < 0.95), "put").when(~put & (mny > 1.05), "call")
+    iv = exact_quantiles(o.withColumn("wing", wing).where("wing is not null"), ["day", "wing"], "iv", {"mid": 0.5})
+    pick = lambda k: F.max(F.when(F.col("wing") == k, F.col("mid")))
+    iv = iv.groupBy("day").agg(pick("atm").alias("atm_iv"), (pick("put") - pick("call")).alias("skew"))
     d = o.groupBy("day").agg(
-        med(mny.between(0.95, 1.05)).alias("atm_iv"), (med(put & (mny < 0.95)) - med(~put & (mny > 1.05))).alias("skew"),
         div(F.sum(F.when(put, prem)), F.sum(F.when(~put, prem))).alias("put_call"), div(F.sum(F.col("dir") * prem), F.sum(prem)).alias("net_flow"),
-        div(F.sum(ind(F.col("is_block"), prem)), F.sum(prem)).alias("block_share"))
+        div(F.sum(ind(F.col("is_block"), prem)), F.sum(prem)).alias("block_share")).join(iv, "day", "left")
     top = o.groupBy("day", "strike").agg(F.sum("prem").alias("p")).groupBy("day").agg((F.max("p") / F.sum("p")).alias("top_share"))
     s = sequence(d.join(top, "day").withColumn("market", F.lit("all")), ["market"], ["day"], back=1, bound=DAYS)
     return s.add({"atm_iv_chg": R.change(s, "atm_iv"), "skew_chg": R.change(s, "skew")}).result().drop("market")

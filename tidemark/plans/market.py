@@ -164,10 +164,10 @@ def slippage_for_notional(spark, folder):
 def trade_spread_proxy(spark, folder):
     t = ticks(spark, folder).withColumn("slot", F.floor(F.col("ts_us") / DAY_US))
     p, sell = F.col("price"), F.col("is_sell")
-    mid = F.percentile(p, F.lit(0.5))
     gap = F.avg(F.when(~sell, p)) - F.avg(F.when(sell, p))
-    d = t.groupBy("symbol", "slot").agg(mid.alias("mid"), gap.alias("gap"), F.when(F.count(F.lit(1)) >= 20, F.percentile(p, F.lit(0.9))).alias("p90"))
-    return d.where("gap is not null").select("symbol", "slot", "mid", F.greatest(F.col("gap") / F.col("mid") * 1e4, F.lit(0.0)).alias("spread_bps"), "p90")
+    q = exact_quantiles(t, ["symbol", "slot"], "price", {"mid": 0.5, "q90": 0.9})
+    d = t.groupBy("symbol", "slot").agg(gap.alias("gap"), F.count(F.lit(1)).alias("n")).where("gap is not null").join(q, ["symbol", "slot"])
+    return d.select("symbol", "slot", "mid", F.greatest(F.col("gap") / F.col("mid") * 1e4, F.lit(0.0)).alias("spread_bps"), F.when(F.col("n") >= 20, F.col("q90")).alias("p90"))
 
 
 @query("capacity_policy", "J32 J33", f"""WITH {DECISIONS}, l AS (SELECT symbol, sum(abs(gross_bps)) AS vol, max(abs(gross_bps)) AS top, count(*) AS oi FROM decisions WHERE year = 1999 GROUP BY 1) SELECT d.id, CASE tier WHEN '1-URGENT' THEN oi * 0.01 WHEN '2-HIGH' THEN top WHEN '3-MEDIUM' THEN vol * 6 / 24.0 * 0.05 END AS notional FROM decisions d LEFT JOIN l ON l.symbol = d.symbol""", "notional")
