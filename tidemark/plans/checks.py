@@ -106,12 +106,12 @@ def distribution_compare(spark, folder):
     return d.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.avg("gross_bps").alias("mean"), F.stddev_samp("gross_bps").alias("sd")).join(q, "part")
 
 
-@query("window_file_coverage", "P20 P21", f"""WITH {TICKS}, e AS (SELECT event_id, symbol, unnest(generate_series((ts_us - {DAY_US}) // {DAY_US}, (ts_us + {DAY_US}) // {DAY_US})) AS day FROM ticks WHERE kind = 'signup' AND qty > 90), h AS (SELECT DISTINCT symbol, ts_us // {DAY_US} AS day FROM ticks WHERE kind = 'view')
+@query("window_file_coverage", "P20 P21", f"""WITH {TICKS}, e AS (SELECT event_id, symbol, unnest(generate_series((ts_us - {DAY_US}) // {DAY_US}, (ts_us + {DAY_US}) // {DAY_US})) AS day FROM ticks WHERE kind = 'signup'), h AS (SELECT DISTINCT symbol, ts_us // {DAY_US} AS day FROM ticks WHERE kind = 'view')
 SELECT e.event_id, count(*) AS expected, avg(CASE WHEN h.day IS NULL THEN 0 ELSE 1.0 END) AS coverage FROM e LEFT JOIN h ON h.symbol = e.symbol AND h.day = e.day GROUP BY 1""", "coverage")
 def window_file_coverage(spark, folder):
     t = ticks(spark, folder)
     day = lambda x: F.floor(x / DAY_US)
-    e = t.where("kind = 'signup' and qty > 90").select("event_id", "symbol", F.explode(F.sequence(day(F.col("ts_us") - DAY_US), day(F.col("ts_us") + DAY_US))).alias("day"))
+    e = t.where("kind = 'signup'").select("event_id", "symbol", F.explode(F.sequence(day(F.col("ts_us") - DAY_US), day(F.col("ts_us") + DAY_US))).alias("day"))
     h = t.where("kind = 'view'").select("symbol", day(F.col("ts_us")).alias("day")).distinct().withColumn("_h", F.lit(True))
     return e.join(h, ["symbol", "day"], "left").groupBy("event_id").agg(F.count(F.lit(1)).alias("expected"), F.avg(ind(F.col("_h"))).alias("coverage"))
 

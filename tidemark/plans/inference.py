@@ -406,11 +406,13 @@ def outlier_distance(spark, folder):
     return d.select("vec_id", "distance", (F.col("distance") > cut).alias("outlier"))
 
 
-@query("ensemble_disagreement", "N71", "SELECT vec_id, list_stddev_pop(embedding[1:8]) AS disagreement FROM embeddings", "disagreement")
+@query("ensemble_disagreement", "N71", "SELECT vec_id, list_stddev_pop(embedding) AS disagreement FROM embeddings", "disagreement")
 def ensemble_disagreement(spark, folder):
-    x = F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double"))
-    mean = F.aggregate(x, F.lit(0.0), lambda a, b: a + b) / 8.0
-    var = F.aggregate(F.transform(x, lambda v: F.pow(v - mean, 2)), F.lit(0.0), lambda a, b: a + b) / 8.0
+    # Each component stands for one model's output.
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    n = F.size("embedding")
+    mean = F.aggregate(x, F.lit(0.0), lambda a, b: a + b) / n
+    var = F.aggregate(F.transform(x, lambda v: F.pow(v - mean, 2)), F.lit(0.0), lambda a, b: a + b) / n
     return read(spark, folder, "embeddings").select("vec_id", F.sqrt(var).alias("disagreement"))
 
 

@@ -164,7 +164,7 @@ def quantile_labels(spark, folder):
     return d.join(q, "symbol").select("symbol", "bar", F.when(F.col("fr") >= F.col("hi"), 1).when(F.col("fr") <= F.col("lo"), 0).otherwise(-1).alias("label"))
 
 
-@query("event_path_labels", "M33 M34 C22 C21", f"""WITH {_RET}, ev AS (SELECT event_id, symbol, ts_us, CASE WHEN is_sell THEN -1 ELSE 1 END AS dir FROM ticks WHERE kind = 'purchase' AND qty >= 50),
+@query("event_path_labels", "M33 M34 C22 C21", f"""WITH {_RET}, ev AS (SELECT event_id, symbol, ts_us, CASE WHEN is_sell THEN -1 ELSE 1 END AS dir FROM ticks WHERE kind = 'purchase'),
 b AS (SELECT symbol, bar, open, r, i FROM x), e AS (SELECT ev.*, b.bar AS entry, b.open AS entry_price, b.i FROM ev ASOF LEFT JOIN b ON b.symbol = ev.symbol AND ev.ts_us <= b.bar),
 p AS (SELECT e.event_id, e.dir, b.i - e.i + 1 AS k, b.r, sum(b.r * e.dir) OVER (PARTITION BY e.event_id ORDER BY b.i) AS path FROM e JOIN b ON b.symbol = e.symbol AND b.i BETWEEN e.i AND e.i + 7),
 a AS (SELECT event_id, count(r) AS n, max(path) AS top, min(path) AS bottom, arg_max(path, k) AS fin FROM p GROUP BY event_id)
@@ -176,7 +176,7 @@ def event_path_labels(spark, folder):
     b = running_total(b, ["symbol"], ["bar"], {"cum": F.col("r")}, 60 * DAY_US)
     s = sequence(b, ["symbol"], ["bar"], ahead=8, bound=HOURS)
     path = s.add(L.path_columns(s, "r", "cum", 8)).result("symbol", "bar", "open", "end", "top", "bottom")
-    ev = ticks(spark, folder).where("kind = 'purchase' and qty >= 50").select("event_id", "symbol", "ts_us", F.when(F.col("is_sell"), -1.0).otherwise(1.0).alias("dir"))
+    ev = ticks(spark, folder).where("kind = 'purchase'").select("event_id", "symbol", "ts_us", F.when(F.col("is_sell"), -1.0).otherwise(1.0).alias("dir"))
     d = asof_join(ev, path, by=["symbol"], left_clock="ts_us", right_clock="bar", cols=["open", "end", "top", "bottom"], prefix="p_", direction="forward")
     up = F.col("dir") > 0
     best = F.when(up, F.col("p_top")).otherwise(-F.col("p_bottom"))
@@ -210,14 +210,13 @@ def stop_aware_return(spark, folder):
     return d.select("symbol", "bar", (F.when(F.col("worst") <= F.col("close") * 0.5, -0.5).otherwise(F.col("last") / F.col("close") - 1) - 0.001).alias("ret"))
 
 
-@query("exit_samples", "M39", f"""WITH {_RET}, e AS (SELECT symbol, i, bar, close FROM x WHERE i % 20 = 0), b AS (SELECT symbol, i, close FROM x),
+@query("exit_samples", "M39", f"""WITH {_RET}, e AS (SELECT symbol, i, bar, close FROM x), b AS (SELECT symbol, i, close FROM x),
 p AS (SELECT e.symbol, e.bar, b.i - e.i AS held, b.close / e.close - 1 AS pnl FROM e JOIN b ON b.symbol = e.symbol AND b.i BETWEEN e.i + 1 AND e.i + 6)
 SELECT symbol, bar, held, pnl, pnl >= max(pnl) OVER (PARTITION BY symbol, bar ORDER BY held ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS is_best FROM p""", "pnl")
 def exit_samples(spark, folder):
-    d = number_rows(bars(spark, folder).select("symbol", "bar", "close"), ["symbol"], ["bar"], 60 * DAY_US)
-    s = sequence(d.withColumnRenamed(RN, "i"), ["symbol"], ["bar"], ahead=6, bound=HOURS)
+    s = sequence(bars(spark, folder).select("symbol", "bar", "close"), ["symbol"], ["bar"], ahead=6, bound=HOURS)
     s = s.add({"f": L.next_rows(s, 6, p="close")})
-    d = s.result().where("(i + 1) % 20 = 0").select("symbol", "bar", "close", F.posexplode("f").alias("pos", "x"), "f")
+    d = s.result().select("symbol", "bar", "close", F.posexplode("f").alias("pos", "x"), "f")
     rest = F.array_max(F.transform(F.expr("slice(f, pos + 1, 6)"), lambda r: r["p"]))
     return d.select("symbol", "bar", (F.col("pos") + 1).cast("bigint").alias("held"), (F.col("x.p") / F.col("close") - 1).alias("pnl"), (F.col("x.p") >= rest).alias("is_best"))
 

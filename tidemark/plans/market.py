@@ -312,12 +312,12 @@ def venue_control(spark, folder):
                                    F.sqrt(F.var_samp("va") / n + F.var_samp("vb") / n).alias("se"))
 
 
-@query("pre_event_features", "I37 I38 I39 S15", f"""WITH {BARS}, e AS (SELECT event_id, symbol, ts_us FROM ticks WHERE kind = 'error' AND qty >= 95), j AS (SELECT e.event_id, e.ts_us, b.bar, b.close, b.high, b.low, b.volume FROM e JOIN bars b ON b.symbol = e.symbol AND b.bar + {HOUR_US} <= e.ts_us AND b.bar >= e.ts_us - {3 * DAY_US})
+@query("pre_event_features", "I37 I38 I39 S15", f"""WITH {BARS}, e AS (SELECT event_id, symbol, ts_us FROM ticks WHERE kind = 'error'), j AS (SELECT e.event_id, e.ts_us, b.bar, b.close, b.high, b.low, b.volume FROM e JOIN bars b ON b.symbol = e.symbol AND b.bar + {HOUR_US} <= e.ts_us AND b.bar >= e.ts_us - {3 * DAY_US})
 SELECT event_id, count(*) AS n, CASE WHEN count(*) >= 6 THEN arg_max(close, bar) / arg_min(close, bar) - 1 END AS ret, max(high) / min(low) - 1 AS range_ratio, avg(volume) FILTER (bar >= ts_us - {DAY_US}) / nullif(median(volume), 0) AS anticipation FROM j GROUP BY 1""", "ret range_ratio anticipation")
 def pre_event_features(spark, folder):
     from tidemark.operators.asof import interval_pairs
     b = bars(spark, folder).select("symbol", "bar", "close", "high", "low", "volume")
-    e = ticks(spark, folder).where("kind = 'error' and qty >= 95").select("event_id", "symbol", "ts_us", (F.col("ts_us") - 3 * DAY_US).alias("lo"), (F.col("ts_us") - HOUR_US).alias("hi"))
+    e = ticks(spark, folder).where("kind = 'error'").select("event_id", "symbol", "ts_us", (F.col("ts_us") - 3 * DAY_US).alias("lo"), (F.col("ts_us") - HOUR_US).alias("hi"))
     j = interval_pairs(e, b, by=["symbol"], lo="lo", hi="hi", right_clock="bar", width=3 * DAY_US)
     recent = F.avg(F.when(F.col("bar") >= F.col("ts_us") - DAY_US, F.col("volume")))
     return j.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= 6, F.max_by("close", "bar") / F.min_by("close", "bar") - 1).alias("ret"),

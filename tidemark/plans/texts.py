@@ -151,7 +151,7 @@ def html_to_text(spark, folder):
 @query("tree_to_text", "L24")
 def tree_to_text(spark, folder):
     # Each page's words as a node tree, then back to text.
-    words = F.slice(F.split(F.regexp_replace("html", "<[^>]+>", " "), r"\s+"), 1, 1_000_000)
+    words = F.split(F.regexp_replace("html", "<[^>]+>", " "), r"\s+")
     tree = F.to_json(F.array(F.struct(F.lit("p").alias("tag"), F.transform(words, lambda w: F.struct(F.lit("text").alias("node"), w.alias("text"))).alias("child"))))
     d = read(spark, folder, "pages").select("page_id", tree.alias("body"))
     return d.select("page_id", F.length(T.tree_text("body")).cast("bigint").alias("n_chars"))
