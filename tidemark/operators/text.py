@@ -100,17 +100,18 @@ def sentiment(df: DataFrame, text: str, out: str, positive: dict[str, int] = X.P
     words = F.create_map(*[x for k, v in exact.items() for x in (F.lit(k), F.lit(v))])
     lens = sorted({len(k) for k, _, _ in stems})
     places = F.create_map(*[x for k, i, v in stems for x in (F.lit(k), F.struct(F.lit(i).alias("i"), F.lit(v).alias("v")))]) if stems else None
-    # Most words start like no listed word: one pattern test spares them the look-ups.
+    # With a long list one pattern test spares most words the look-ups.
     listed = "^(?:" + "|".join(re.escape(k) for k in sorted(exact)) + ")"
+    likely = (lambda w: w.rlike(listed)) if len(exact) >= 40 else (lambda w: w.isNotNull())
     d = df.withColumn("_tok", F.regexp_extract_all(F.lower(c(text)), F.lit(f"({X.TOKEN})"), F.lit(1)))
 
     def weight(w: Column) -> Column:
         base = F.try_element_at(words, w)
         if places is None:
-            return F.when(w.rlike(listed), F.coalesce(base, F.lit(0.0))).otherwise(0.0)
+            return F.when(likely(w), F.coalesce(base, F.lit(0.0))).otherwise(0.0)
         cand = F.array_compact(F.array(*[F.try_element_at(places, F.substring(w, 1, n)) for n in lens]))
         alt = F.array_min(cand)["v"]
-        return F.when(w.rlike(listed), F.coalesce(F.when(base != 0, base), alt, F.lit(0.0))).otherwise(0.0)
+        return F.when(likely(w), F.coalesce(F.when(base != 0, base), alt, F.lit(0.0))).otherwise(0.0)
 
     d = d.withColumn("_w", F.transform("_tok", weight))
     neg = F.array(*[F.lit(x) for x in negators])
