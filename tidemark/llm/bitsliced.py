@@ -18,12 +18,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.blocks import best, cells, packed, stash, usable
+from tidemark.llm.blocks import best, cells, packed, usable
+from tidemark.llm.common import stash
 
-#: Rows of an index block and queries of a query block.
+#: Rows of an index block (its bitmaps fit a core's cache) and queries of a query block.
 ROWS, QUERIES = 8192, 1024
-#: Rows whose bitmaps are worked on at once, small enough for a core's cache.
-STRIP = 8192
 
 
 def slices(q: np.ndarray) -> dict:

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stash, tasks
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str, zero: bool = True) -> DataFrame:
@@ -29,10 +28,10 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str, zero: bool = True) -
 def packed(rows: DataFrame, per_block: int, pack: Callable[[np.ndarray, np.ndarray], dict], schema: str) -> DataFrame:
     """One row for each block of about ``per_block`` vectors of one length: block (a number), size and what ``pack`` makes.
 
-    Blocks are cut within tasks, so no group is ever gathered; ids are dealt at random but alike in each run.
+    Rows are dealt in turn, so no key can fill a block, and blocks are cut within tasks.
     """
     n = rows.count()
-    dealt = rows.repartition(max(1, ceil(n / per_block)), F.xxhash64("vec_id"))
+    dealt = rows.repartition(max(1, ceil(n / per_block)))
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa

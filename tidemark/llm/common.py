@@ -51,11 +51,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
+    """1, base, base**2, ... mod 2**64."""
+    if len(POWERS.get(base, ())) < n:
+        out = np.full(n, base, np.uint64)
         out[0] = 1
-    return np.multiply.accumulate(out)
+        out = np.multiply.accumulate(out)
+        if n > 1 << 22:
+            return out
+        POWERS[base] = out
+    return POWERS.get(base, np.zeros(0, np.uint64))[:n]
 
 
 def window_sums(values: np.ndarray, start: np.ndarray, stop: np.ndarray, base: int) -> np.ndarray:
@@ -98,22 +106,22 @@ class Words:
         closes[edge - 1] |= inside[edge - 1]
         self.data, self.start, self.stop = data, np.flatnonzero(opens), np.flatnonzero(closes) + 1
         self.first = np.searchsorted(self.start, bounds)
-        seen = data.astype(np.uint64) + np.uint64(1)
         size = (self.stop - self.start).astype(np.uint64)
-        self.hashes = [mix(window_sums(seen, self.start, self.stop, a) + size * np.uint64(b)) for a, b in BASES[:lanes]]
+        self.hashes = [np.zeros(len(size), np.uint64) for _ in range(lanes)]
+        at = 0
+        while at < len(size):  # a megabyte at a time
+            to = max(at + 1, int(np.searchsorted(self.stop, self.start[at] + (1 << 20))))
+            base = self.start[at]
+            seen = data[base:self.stop[to - 1]].astype(np.uint64) + np.uint64(1)
+            for out, (a, b) in zip(self.hashes, BASES, strict=False):
+                out[at:to] = mix(window_sums(seen, self.start[at:to] - base, self.stop[at:to] - base, a) + size[at:to] * np.uint64(b))
+            at = to
 
     def windows(self, k: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of every run of k words within one text, and the first windows of the texts."""
-        at = starts(self.first, k)
-        runs = mix(window_sums(self.hashes[lane], at, at + k, BASES[lane][1]))
         counts = np.maximum(np.diff(self.first) - k + 1, 0)
-        return runs, np.concatenate([[0], np.cumsum(counts)])
-
-
-def starts(first: np.ndarray, k: int) -> np.ndarray:
-    """The first word of each run of k words that stays within its text."""
-    counts = np.maximum(np.diff(first) - k + 1, 0)
-    return ranges(first[:-1], counts)
+        at = ranges(self.first[:-1], counts)
+        return mix(window_sums(self.hashes[lane], at, at + k, BASES[lane][1])), np.concatenate([[0], np.cumsum(counts)])
 
 
 def ranges(begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -135,3 +143,45 @@ def pieces(table, column: str, limit: int):
         to = max(at + 1, int(np.searchsorted(size, base + limit, side="right")))
         yield table.slice(at, to - at)
         at = to
+
+
+ID_LAST = (1 << 63) - 1
+
+
+def id_key(column) -> F.Column:
+    """The id as a whole number that sorts; null comes last."""
+    return F.coalesce(F.col(column).cast("long"), F.lit(ID_LAST))
+
+
+def dealt(buckets: np.ndarray, owner: np.ndarray, keys: np.ndarray):
+    """Keys by bucket: (bucket, owners, how many keys each owner has, keys) for each bucket with any. owner does not fall."""
+    order = np.argsort(buckets, kind="stable")
+    buckets, owner, keys = buckets[order], owner[order], keys[order]
+    if not len(buckets):
+        return
+    edge = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))
+    run = np.flatnonzero(np.concatenate([[True], (buckets[1:] != buckets[:-1]) | (owner[1:] != owner[:-1])]))
+    size = np.diff(np.concatenate([run, [len(keys)]]))
+    at = np.searchsorted(run, np.concatenate([edge, [len(keys)]]))
+    ends = np.concatenate([edge, [len(keys)]])
+    for i, b in enumerate(buckets[edge].tolist()):
+        mine = slice(at[i], at[i + 1])
+        yield b, owner[run[mine]], size[mine], keys[ends[i]:ends[i + 1]]
+
+
+def grouped(batches, column: str):
+    """Consecutive rows of one value of ``column``, as (value, iterator of row dictionaries)."""
+    from itertools import groupby
+
+    rows = (r for batch in batches for r in batch.to_pylist())
+    return groupby(rows, key=lambda r: r[column])
+
+
+#: Ids in a broadcast filter at most (some 100 MB); above that the same join runs by shuffle.
+BROADCAST_IDS = 4_000_000
+
+
+def only_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in ``ids`` (distinct, stashed, one column of the same name)."""
+    small = ids.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if small else ids, key, "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bitsliced, bpe, mixing, tokens, url_filters
+from tidemark.llm import bitsliced, bpe, mixing, substrings, tokens, url_filters
 from tidemark.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -69,3 +69,8 @@ SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.v, 'allow') AS verdict FROM
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return url_filters.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+@query()
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removals(table(spark, sf_dir, "documents"), window=50)
