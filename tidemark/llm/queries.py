@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bitsliced, bpe, mixing, substrings, tokens, url_filters
+from tidemark.llm import bitsliced, bpe, graph_search, mixing, substrings, tokens, url_filters
 from tidemark.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -74,3 +74,8 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removals(table(spark, sf_dir, "documents"), window=50)
+
+
+@query()
+def op10_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_search.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
