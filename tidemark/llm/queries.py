@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bitsliced, bpe, graph_search, mixing, substrings, tokens, url_filters
+from tidemark.llm import bitsliced, bpe, graph_search, language, mixing, substrings, tokens, url_filters
 from tidemark.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -79,3 +79,8 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_search.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+@query()
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"), folds=5)
