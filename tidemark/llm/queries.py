@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bitsliced, bpe, graph_search, language, mixing, substrings, tokens, toxicity, url_filters
+from tidemark.llm import bitsliced, bpe, graph_search, language, mixing, ngram_join, substrings, tokens, toxicity, url_filters
 from tidemark.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -89,3 +89,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, held=1, threshold=0.7)
+
+
+@query()
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents"), words=3, threshold=90)
