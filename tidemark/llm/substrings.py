@@ -24,10 +24,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BROADCAST_IDS, Words, dealt, grouped, id_key, only_ids, pieces, stash, tasks
+from tidemark.llm.common import BROADCAST_IDS, Words, dealt, grouped, id_key, only_ids, pieces, stash
 
 #: Bytes of text handled at once in a task, and bytes of text whose windows one bucket gets.
 BATCH_BYTES, BUCKET_BYTES = 16 << 20, 256 << 20
+#: Buckets at least.
+BUCKETS = 64
 LOW = np.uint64(0xFFFFFFFF)
 ROWS = "bucket int, kind int, doc binary, size binary, keys binary"
 
@@ -217,11 +219,10 @@ def repeats(windows: DataFrame, buckets: int) -> DataFrame:
 
 def found_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc and keys (list of packed 64-bit digests): the windows that each document has to lose."""
-    spark = docs.sparkSession
     block = window // 2
     base = docs.select(id_key(doc_id).alias("doc"), F.col(text).alias("text"))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(tasks(spark), ceil(size / BUCKET_BYTES))
+    buckets = max(BUCKETS, ceil(size / BUCKET_BYTES))
     # answers come bucket by bucket; a document's own are few, however many documents share its passages
     answers = stash(hits(probes(base, block, buckets), buckets))
     hit = stash(answers.select("doc").distinct())
