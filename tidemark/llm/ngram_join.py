@@ -28,7 +28,9 @@ from tidemark.llm.common import BASES, BROADCAST_IDS, Words, dealt, grouped, mix
 #: Counters of the sketch, in how many slices they travel, bits of a token bitmap, children of a tree's node.
 COUNTERS, SLICES, BITS, FAN = 1 << 20, 16, 2048, 8
 #: Documents of a block in a large group, bytes of text handled at once, and bytes of text whose keys one bucket gets.
-BLOCK, BATCH_BYTES, BUCKET_BYTES = 1024, 16 << 20, 256 << 20
+BLOCK, BATCH_BYTES, BUCKET_BYTES = 1024, 8 << 20, 256 << 20
+#: Buckets at least.
+BUCKETS = 64
 ROWS = "bucket int, kind int, doc binary, size binary, keys binary"
 PAIRS = "kind int, key bigint, a bigint, b bigint"
 
@@ -351,7 +353,7 @@ def components(docs: DataFrame, words: int = 3, threshold: int = 90, doc_id: str
     base = base.where("doc IS NOT NULL")
     sketch = spark.sparkContext.broadcast(summed_sketch(first))  # COUNTERS numbers
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(tasks(spark), ceil(size / BUCKET_BYTES))
+    buckets = max(BUCKETS, ceil(size / BUCKET_BYTES))
     found = stash(candidate_pairs(keyed(base, words, threshold, sketch, buckets), buckets))
     equal = found.where("kind = 1").select("a", "b")
     tried = stash(found.where("kind = 0").select("a", "b").distinct())
