@@ -24,7 +24,7 @@ from tidemark.llm.tokens import tokenizer
 #: Words in the broadcast table at most, and the longest word (bytes) in it: both bound its size (16 MB and the ids).
 TABLE_WORDS, WORD_BYTES = 1 << 17, 128
 #: Bytes of text encoded at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def coded_words(texts):
@@ -80,7 +80,7 @@ class Encoder:
 
     def __call__(self, words: list[str]) -> list[list[int]]:
         new = [w for w in words if w not in self.known and w not in self.own]
-        if len(self.own) + len(new) > 1 << 18:
+        if len(self.own) + len(new) > 1 << 17:
             self.own.clear()
             new = [w for w in words if w not in self.known]
         self.own.update(zip(new, (np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(new, add_special_tokens=False)), strict=True))
