@@ -115,12 +115,12 @@ def value_cells(df: DataFrame, keys: Sequence[str], x: str, rows: int = BLOCK_RO
     top = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 0
     if top <= rows:
         return d.withColumn("cell", F.lit(0))
-    cells = int(min(4096, max(8, 2 * top // rows)))
+    cells = int(max(8, 2 * top // rows))  # a cell holds about half of ``rows``, whatever the size
     cuts = F.percentile_approx(x, F.array(*[F.lit(i / cells) for i in range(1, cells)]), 4 * cells)
     edges = pin(d.groupBy(*keys).agg(cuts.alias("_edges")))
     if keys:
         d = d.join(edges, keys)
-    else:  # one row of at most 4096 edges
+    else:  # one row of edges
         d = d.withColumn("_edges", F.array(*[F.lit(float(e)) for e in edges.first()["_edges"]]))
     return d.withColumn("cell", F.size(F.filter("_edges", lambda e: e < c(x)))).drop("_edges")
 

@@ -23,6 +23,10 @@ from tidemark.operators.blocks import BLK, BLOCK_ROWS, RN, TB, Seq, carried, cut
 EPS = 1e-12
 
 
+#: Rows after which an adaptive average has forgotten even at its slowest rate, (2 / 31) ** 2.
+KAMA_WARMUP = 10_000
+
+
 def warmup(span: float, depth: int = 1) -> int:
     """Rows after which a smoother of this span (nested ``depth`` times) has forgotten."""
     return int(20 * (span + 1) * (1 + 0.35 * (depth - 1))) + 10

@@ -250,11 +250,11 @@ def effective_tests(pairs: DataFrame) -> tuple[float, float]:
     return float(ev.sum() ** 2 / (ev ** 2).sum()), float(min(max(li_ji, 1.0), len(ev)))
 
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, label): connected components by repeated smallest-label exchange; lineage is cut each round."""
     both = pin(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct())
     lab = pin(nodes.select(F.col("node"), F.col("node").alias("label")))
-    for _ in range(rounds):
+    while True:  # labels only fall, so this ends
         near = both.join(lab, both["y"] == lab["node"]).groupBy("x").agg(F.min("label").alias("_m")).withColumnRenamed("x", "node")
         new = lab.join(near, "node", "left").select("node", F.least("label", "_m").alias("label"))
         # Follow the label's own label: path lengths halve each round.
@@ -264,7 +264,6 @@ def components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFram
         lab = new
         if not moved:
             return lab
-    raise RuntimeError("components did not settle")
 
 
 def concentration(df: DataFrame, order: Sequence[str], x: str, width: int) -> DataFrame:

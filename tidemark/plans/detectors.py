@@ -50,9 +50,9 @@ def crowding(spark, folder):
     return cooldown(d, ["symbol"], "day", 3)
 
 
-@query("forced_flow_reversal", "K5", _kept(_DERIV + """, t AS (SELECT symbol, day, resid, vrank FROM z WHERE vrank >= 0.9 AND doi >= 0.05 AND abs(resid) >= 1.0 * sd)""", 5), "resid vrank")
+@query("forced_flow_reversal", "K5", _kept(_DERIV + """, t AS (SELECT symbol, day, resid, vrank FROM z WHERE vrank >= 0.9 AND doi <= -0.05 AND abs(resid) >= 1.0 * sd)""", 5), "resid vrank")
 def forced_flow_reversal(spark, folder):
-    d = derivative_panel(spark, folder).where("vrank >= 0.9 and doi >= 0.05 and abs(resid) >= 1.0 * sd").select("symbol", "day", "resid", "vrank")
+    d = derivative_panel(spark, folder).where("vrank >= 0.9 and doi <= -0.05 and abs(resid) >= 1.0 * sd").select("symbol", "day", "resid", "vrank")
     return cooldown(d, ["symbol"], "day", 5)
 
 
@@ -151,10 +151,10 @@ def _screen(spark, folder):
     return oi_scores(spark, folder).withColumns({"long_flag": hi, "short_flag": lo & ~hi})
 
 
-@query("screen_applied", "K22 K23", f"""WITH {_SCREEN}, a AS (SELECT DISTINCT symbol FROM f WHERE long_flag AND day BETWEEN 11600 AND 11630) SELECT p.symbol, p.day, CASE WHEN a.symbol IS NOT NULL AND p.fund > 0 THEN 0 ELSE p.fund END AS fraction FROM panel p LEFT JOIN a ON a.symbol = p.symbol WHERE p.day > 11600""", "fraction")
+@query("screen_applied", "K22 K23", f"""WITH {_SCREEN}, a AS (SELECT DISTINCT symbol FROM f WHERE long_flag AND day BETWEEN 11600 AND 11630) SELECT p.symbol, p.day, CASE WHEN a.symbol IS NOT NULL AND p.fund > 0 THEN 0 ELSE p.fund END AS fraction FROM panel p LEFT JOIN a ON a.symbol = p.symbol""", "fraction")
 def screen_applied(spark, folder):
     active = _screen(spark, folder).where("long_flag and day between 11600 and 11630").select("symbol").distinct().withColumn("hit", F.lit(True))
-    d = panel(spark, folder).where("day > 11600").join(active, "symbol", "left")
+    d = panel(spark, folder).join(active, "symbol", "left")
     return d.select("symbol", "day", F.when(F.col("hit") & (F.col("fund") > 0), 0.0).otherwise(F.col("fund")).alias("fraction"))
 
 

@@ -170,11 +170,11 @@ def trade_spread_proxy(spark, folder):
     return d.select("symbol", "slot", "mid", F.greatest(F.col("gap") / F.col("mid") * 1e4, F.lit(0.0)).alias("spread_bps"), F.when(F.col("n") >= 20, F.col("q90")).alias("p90"))
 
 
-@query("capacity_policy", "J32 J33", f"""WITH {DECISIONS}, l AS (SELECT symbol, sum(abs(gross_bps)) AS vol, max(abs(gross_bps)) AS top, count(*) AS oi FROM decisions WHERE year = 1999 GROUP BY 1) SELECT d.id, CASE tier WHEN '1-URGENT' THEN oi * 0.01 WHEN '2-HIGH' THEN top WHEN '3-MEDIUM' THEN vol * 6 / 24.0 * 0.05 END AS notional FROM decisions d LEFT JOIN l ON l.symbol = d.symbol""", "notional")
+@query("capacity_policy", "J32 J33", f"""WITH {DECISIONS}, l AS (SELECT symbol, sum(abs(gross_bps)) AS vol, max(abs(gross_bps)) AS top, count(*) AS oi FROM decisions GROUP BY 1) SELECT d.id, CASE tier WHEN '1-URGENT' THEN oi * 0.01 WHEN '2-HIGH' THEN top WHEN '3-MEDIUM' THEN vol * 6 / 24.0 * 0.05 END AS notional FROM decisions d LEFT JOIN l ON l.symbol = d.symbol""", "notional")
 def capacity_policy(spark, folder):
     d = decisions(spark, folder)
     size = F.abs("gross_bps")
-    l = d.where("year = 1999").groupBy("symbol").agg(F.sum(size).alias("vol"), F.max(size).alias("top"), F.count(F.lit(1)).alias("oi"))
+    l = d.groupBy("symbol").agg(F.sum(size).alias("vol"), F.max(size).alias("top"), F.count(F.lit(1)).alias("oi"))
     policy = F.when(F.col("tier") == "1-URGENT", "oi").when(F.col("tier") == "2-HIGH", "top").when(F.col("tier") == "3-MEDIUM", "volume")
     return d.join(l, "symbol", "left").select("id", M.capacity(policy, F.col("oi"), F.col("top"), F.col("vol"), 6.0, 0.01, 0.05).alias("notional"))
 

@@ -41,18 +41,16 @@ def upsert(df: DataFrame, path: str, keys: Sequence[str], parts: Sequence[str],
     if old is not None:
         # Partition values come back typed by inference; keep the batch's types.
         old = old.select(*[c(f.name).cast(f.dataType).alias(f.name) for f in df.schema.fields])
-        touched = old.join(F.broadcast(_small(df.select(*parts).distinct())), parts, "left_semi")
+        touched = old.join(_touched(df.select(*parts).distinct()), parts, "left_semi")
         both = touched.withColumn(BATCH, F.lit(0)).unionByName(both)
     merged = pin(latest(both, [*parts, *[k for k in keys if k not in parts]], [BATCH, *order]).drop(BATCH))
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
 
-def _small(parts: DataFrame, limit: int = 100_000) -> DataFrame:
-    """The list of touched partitions; refused above a size no write should reach."""
-    got = parts.limit(limit + 1).collect()
-    if len(got) > limit:
-        raise ValueError("one batch touches too many partitions")
-    return parts.sparkSession.createDataFrame(got, parts.schema)
+def _touched(parts: DataFrame, limit: int = 100_000) -> DataFrame:
+    """The touched partitions: broadcast where they are few, else left to a shuffle join."""
+    got = pin(parts)
+    return F.broadcast(got) if got.count() <= limit else got
 
 
 def upsert_documents(df: DataFrame, path: str, content: Sequence[str], parts: Sequence[str], order: Sequence[str]) -> None:
