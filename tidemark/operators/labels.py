@@ -77,12 +77,6 @@ def forward_sum(s: Seq, r, n: int) -> Column:
     return F.when(F.count(c(r)).over(w) == n, F.sum(c(r)).over(w))
 
 
-def next_move(rows: Column, price: Column) -> tuple[Column, Column]:
-    """Direction and number of steps to the first different price among the rows ahead."""
-    k = first_place(rows, lambda r: r["p"] != price)
-    return F.when(k > 0, F.signum(F.element_at(rows, F.greatest(k, F.lit(1)).cast("int"))["p"] - price)), F.when(k > 0, k)
-
-
 def path_columns(s: Seq, r: str, cum: str, n: int) -> dict[str, Column]:
     """Forward path of n increments starting with the own row: end, best, worst and their places.
 

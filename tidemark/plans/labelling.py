@@ -17,6 +17,7 @@ from tidemark.operators.resample import HOUR_US
 from tidemark.plans.registry import query
 from tidemark.plans.tables import BARS, DAY_US, PANEL, TICKS, bars, panel, ticks
 from tidemark.plans.windows import _ORD, _RET, _W, ret_bars
+from tidemark.session import pin
 
 _FW = lambda a, b: f"(PARTITION BY symbol ORDER BY bar ROWS BETWEEN {a} FOLLOWING AND {b} FOLLOWING)"
 
@@ -42,15 +43,17 @@ def forward_volatility(spark, folder):
     return s.add({"bear": F.when(F.col("mae").isNotNull(), flag(F.col("mae") <= -0.5))}).result("symbol", "bar", "fvol", "fsum", "mae", "bear", "convergence")
 
 
-@query("next_price_move", "M6", f"""WITH {TICKS}, t AS (SELECT event_id, symbol, ts_us, floor(price / 20) AS p FROM ticks), y AS (SELECT event_id, p, list(p) OVER (PARTITION BY symbol ORDER BY ts_us, event_id ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING) AS h FROM t),
-z AS (SELECT *, list_position(list_transform(h, lambda q: q <> p), true) AS k FROM y)
-SELECT event_id, CASE WHEN k > 0 THEN sign(h[k] - p) END AS direction, CASE WHEN k > 0 THEN k END AS steps FROM z""", "direction")
+@query("next_price_move", "M6", f"""WITH {TICKS}, t AS (SELECT event_id, symbol, ts_us, floor(price / 20) AS p FROM ticks), c AS (SELECT *, row_number() OVER w AS i, CASE WHEN p IS DISTINCT FROM lag(p) OVER w THEN 1 ELSE 0 END AS opens FROM t WINDOW w AS (PARTITION BY symbol ORDER BY ts_us, event_id)),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY symbol ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING) AS k FROM c), n AS (SELECT symbol, k - 1 AS k, min(p) AS np, min(i) AS ni FROM g GROUP BY 1, 2) SELECT event_id, sign(np - p) AS direction, ni - i AS steps FROM g LEFT JOIN n USING (symbol, k)""", "direction")
 def next_price_move(spark, folder):
     t = ticks(spark, folder).select("event_id", "symbol", "ts_us", F.floor(F.col("price") / 20).cast("double").alias("p"))
-    s = sequence(t, ["symbol"], ["ts_us", "event_id"], ahead=8)
-    s = s.add({"h": L.next_rows(s, 8, p="p")})
-    d, k = L.next_move(F.col("h"), F.col("p"))
-    return s.result("event_id", d.alias("direction"), k.alias("steps"))
+    s = sequence(t, ["symbol"], ["ts_us", "event_id"], back=1)
+    d = s.add({"opens": F.when(F.lag("p").over(s.by()).eqNullSafe(F.col("p")), 0).otherwise(1)}).result()
+    # stretches of one price, numbered within the symbol; the next move is the first row of the next stretch, however far
+    d = pin(running_total(d, ["symbol"], ["ts_us", "event_id"], {"k": F.col("opens"), "i": F.lit(1)}, 7 * DAY_US).select("event_id", "symbol", "p", "k", "i"))
+    n = d.groupBy("symbol", (F.col("k") - 1).alias("k")).agg(F.min("p").alias("np"), F.min("i").alias("ni"))
+    return d.join(n, ["symbol", "k"], "left").select("event_id", F.signum(F.col("np") - F.col("p")).alias("direction"), (F.col("ni") - F.col("i")).alias("steps"))
+
 
 
 _BAR = f"""WITH {_RET}, y AS (SELECT symbol, bar, close, list(struct_pack(h := high, l := low, c := close)) OVER {_FW(1, 12)} AS f, avg(high - low) OVER {_W(13)} AS atr FROM x)"""
