@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import c, clip, div, flag, ind, safe_div
 from tidemark.operators import recurrence as K
 from tidemark.operators import rolling as R
-from tidemark.operators.blocks import Seq, sequence
+from tidemark.operators.blocks import Seq, running_total, sequence
 
 HORIZONS = (1, 2, 3, 5, 10, 14, 20, 30, 50, 100, 200)
 
@@ -185,6 +185,18 @@ def volume(s: Seq, n: int) -> Seq:
                   f"force_{n}": R.change(s, C, n) * V, f"eom_{n}": R.mean(s, "_emv", n, m), f"volume_imbalance_{n}": safe_div(F.sum(up).over(w) - F.sum(V - up).over(w), F.sum(V).over(w))})
 
 
+def accumulated_volume(s: Seq, width: int = 60 * 86_400_000_000):
+    """Running totals over the whole history: on-balance volume, accumulation, price trend, and the two volume indices from 1000 (and the logs of their growth)."""
+    O, H, L, C, V = bar_columns()
+    pc, pv = F.lag("close").over(s.by()), F.lag("volume").over(s.by())
+    growth = F.ln(C / pc)
+    d = s.add({"_ob": F.coalesce(F.signum(C - pc), F.lit(0.0)) * V, "_fl": F.coalesce(safe_div((C - L) - (H - C), H - L) * V, F.lit(0.0)), "_vp": F.coalesce(C / pc - 1, F.lit(0.0)) * V,
+               "_dn": F.when(V < pv, growth).otherwise(0.0), "_up": F.when(V > pv, growth).otherwise(0.0)}).result(*s.keys, *s.order, "_ob", "_fl", "_vp", "_dn", "_up")
+    d = running_total(d, s.keys, s.order, {"obv": F.col("_ob"), "accumulation": F.col("_fl"), "volume_price_trend": F.col("_vp"), "_n": F.col("_dn"), "_p": F.col("_up")}, width)
+    return d.select(*s.keys, *s.order, "obv", "accumulation", "volume_price_trend", (1000 * F.exp("_n")).alias("negative_volume_index"), (1000 * F.exp("_p")).alias("positive_volume_index"),
+                    F.col("_n").alias("negative_volume_log"), F.col("_p").alias("positive_volume_log"))
+
+
 def liquidity(s: Seq, n: int) -> Seq:
     O, H, L, C, V = bar_columns()
     w = s.rows(-(n - 1), 0)

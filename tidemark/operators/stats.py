@@ -223,6 +223,30 @@ def cscv(df: DataFrame, strategy: str, block: str, value: str, n_blocks: int) ->
     return d.agg(F.count(F.lit(1)).alias("n_splits"), F.avg(ind(F.col("rank") <= 0.5)).alias("pbo"))
 
 
+def ridge_walk_forward(df: DataFrame, penalty: float, seg: str = "seg", x: str = "x", z: str = "z", y: str = "y") -> DataFrame:
+    """(fold, n_test, b_x, b_z, ic): ridge of y on x and z over all earlier segments, scored on each segment.
+
+    The penalty is per row and in units of each regressor's variance. One pass takes the moments of each segment;
+    coefficients and correlations follow from them, whatever the number of segments.
+    """
+    pair = {"xx": (x, x), "xz": (x, z), "zz": (z, z), "xy": (x, y), "zy": (z, y), "yy": (y, y)}
+    m = df.groupBy(seg).agg(F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(k) for k, v in (("x", x), ("z", z), ("y", y))], *[F.sum(c(a) * c(b)).alias(k) for k, (a, b) in pair.items()])
+    w = Window.partitionBy().orderBy(seg)  # one row a segment
+    sums = ["n", "x", "z", "y", *pair]
+    d = m.withColumns({"fold": (F.col(seg) - F.min(seg).over(Window.partitionBy())).cast("bigint"), **{f"t_{k}": F.sum(k).over(w.rowsBetween(Window.unboundedPreceding, -1)) for k in sums}})
+
+    def cov(k: str, p: str) -> Column:
+        return F.col(p + k) / F.col(p + "n") - (F.col(p + k[0]) / F.col(p + "n")) * (F.col(p + k[1]) / F.col(p + "n"))
+
+    t = {k: cov(k, "t_") for k in pair}
+    e = {k: cov(k, "") for k in pair}
+    up = 1 + penalty
+    det = t["xx"] * t["zz"] * up ** 2 - t["xz"] * t["xz"]
+    bx, bz = div(t["xy"] * t["zz"] * up - t["xz"] * t["zy"], det), div(t["zy"] * t["xx"] * up - t["xz"] * t["xy"], det)
+    spread = (bx * bx * e["xx"] + 2 * bx * bz * e["xz"] + bz * bz * e["zz"]) * e["yy"]
+    return d.where("fold > 0").select("fold", F.col("n").alias("n_test"), bx.alias("b_x"), bz.alias("b_z"), div(bx * e["xy"] + bz * e["zy"], F.sqrt(spread)).alias("ic"))
+
+
 def correlation_pairs(df: DataFrame, at: str, name: str, value: str, limit: int = 512) -> DataFrame:
     """(a, b, r) of a bounded family of series: moments of the pivoted rows, one pass.
 

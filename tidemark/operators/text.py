@@ -100,9 +100,9 @@ def sentiment(df: DataFrame, text: str, out: str, positive: dict[str, int] = X.P
     words = F.create_map(*[x for k, v in exact.items() for x in (F.lit(k), F.lit(v))])
     lens = sorted({len(k) for k, _, _ in stems})
     places = F.create_map(*[x for k, i, v in stems for x in (F.lit(k), F.struct(F.lit(i).alias("i"), F.lit(v).alias("v")))]) if stems else None
-    # With a long list one pattern test spares most words the look-ups.
+    # One pattern test spares most words the look-ups.
     listed = "^(?:" + "|".join(re.escape(k) for k in sorted(exact)) + ")"
-    likely = (lambda w: w.rlike(listed)) if len(exact) >= 40 else (lambda w: w.isNotNull())
+    likely = lambda w: w.rlike(listed)
     d = df.withColumn("_tok", F.regexp_extract_all(F.lower(c(text)), F.lit(f"({X.TOKEN})"), F.lit(1)))
 
     def weight(w: Column) -> Column:

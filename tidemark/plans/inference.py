@@ -437,13 +437,22 @@ def support_audit(spark, folder):
         F.countDistinct("bar").alias("distinct_clocks"), F.countDistinct(F.floor(F.col("bar") / DAY_US)).alias("event_days"))
 
 
-@query("ridge_walk_forward", "N75 N76", f"""WITH {_FEAT}, w AS (SELECT symbol, bar, f1, r, past, (bar // (6 * {DAY_US})) AS seg FROM y WHERE f1 IS NOT NULL AND r IS NOT NULL AND past IS NOT NULL), k AS (SELECT min(seg) AS s0 FROM w)
-SELECT CAST(seg - s0 AS BIGINT) AS fold, count(*) AS n_test FROM w, k WHERE seg > s0 GROUP BY 1""")
+_MO = "sum(n) AS n, sum(x) AS x, sum(z) AS z, sum(y) AS y, sum(xx) AS xx, sum(xz) AS xz, sum(zz) AS zz, sum(xy) AS xy, sum(zy) AS zy, sum(yy) AS yy"
+_CO = "xx / n - (x / n) * (x / n) AS cxx, xz / n - (x / n) * (z / n) AS cxz, zz / n - (z / n) * (z / n) AS czz, xy / n - (x / n) * (y / n) AS cxy, zy / n - (z / n) * (y / n) AS czy, yy / n - (y / n) * (y / n) AS cyy"
+RIDGE = 0.1
+
+
+@query("ridge_walk_forward", "N75", f"""WITH {_FEAT}, w AS (SELECT f1 AS y, r AS x, past AS z, bar // (6 * {DAY_US}) AS seg FROM y WHERE f1 IS NOT NULL AND r IS NOT NULL AND past IS NOT NULL),
+m AS (SELECT seg, count(*) AS n, sum(x) AS x, sum(z) AS z, sum(y) AS y, sum(x * x) AS xx, sum(x * z) AS xz, sum(z * z) AS zz, sum(x * y) AS xy, sum(z * y) AS zy, sum(y * y) AS yy FROM w GROUP BY 1),
+p AS (SELECT k.seg, {_MO.replace('sum(', 'sum(m.')} FROM m k JOIN m ON m.seg < k.seg GROUP BY 1), tr AS (SELECT seg, {_CO} FROM p), te AS (SELECT seg, n, {_CO} FROM m),
+b AS (SELECT seg, (cxy * czz * {1 + RIDGE} - cxz * czy) / (cxx * czz * {(1 + RIDGE) ** 2!r} - cxz * cxz) AS b_r, (czy * cxx * {1 + RIDGE} - cxz * cxy) / (cxx * czz * {(1 + RIDGE) ** 2!r} - cxz * cxz) AS b_past FROM tr)
+SELECT CAST(te.seg - (SELECT min(seg) FROM m) AS BIGINT) AS fold, te.n AS n_test, b_r, b_past, (b_r * cxy + b_past * czy) / sqrt((b_r * b_r * cxx + 2 * b_r * b_past * cxz + b_past * b_past * czz) * cyy) AS ic FROM te JOIN b ON b.seg = te.seg""", "b_r b_past ic", digits=5)
 def ridge_walk_forward(spark, folder):
-    return walk_forward_scores(spark, folder).select("fold", "n_test")
+    d = _features(spark, folder).where("f1 is not null and r is not null and past is not null").select(F.floor(F.col("bar") / (6 * DAY_US)).alias("seg"), F.col("r").alias("x"), F.col("past").alias("z"), F.col("f1").alias("y"))
+    return S.ridge_walk_forward(d, RIDGE).select("fold", "n_test", F.col("b_x").alias("b_r"), F.col("b_z").alias("b_past"), "ic")
 
 
-@query("har_regression", "N76 H50")
+@query("har_regression", "N75")
 def har_regression(spark, folder):
     return walk_forward_scores(spark, folder)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import features as X
 from tidemark.operators import rolling as R
-from tidemark.operators.blocks import HOURS
+from tidemark.operators.blocks import HOURS, sequence
 from tidemark.plans.registry import query
 from tidemark.plans.tables import BARS, DAY_US, bars
 
@@ -63,6 +63,15 @@ def volume_family(spark, folder):
     return out(X.volume(prepared(spark, folder), N), "volume_ratio_10", "volume_z_10", "cmf_10", "mfi_10", "force_10", "volume_imbalance_10")
 
 
+@query("volume_accumulators", "H9", f"""WITH {_BASE}, y AS (SELECT *, lag(v) OVER {_O} AS pv FROM f1), z AS (SELECT symbol, bar, coalesce(sign(d), 0) * v AS ob, {_SD('(c - l) - (h - c)', 'h - l')} * v AS fl, coalesce(ret, 0) * v AS vp,
+ CASE WHEN v < pv THEN ln(1 + ret) ELSE 0 END AS dn, CASE WHEN v > pv THEN ln(1 + ret) ELSE 0 END AS up FROM y) SELECT symbol, bar, sum(ob) OVER w AS obv, sum(fl) OVER w AS accumulation, sum(vp) OVER w AS volume_price_trend, sum(dn) OVER w AS negative_volume_log, sum(up) OVER w AS positive_volume_log
+ FROM z WINDOW w AS (PARTITION BY symbol ORDER BY bar ROWS UNBOUNDED PRECEDING)""", "obv accumulation volume_price_trend negative_volume_log positive_volume_log", digits=4)
+def volume_accumulators(spark, folder):
+    s = sequence(bars(spark, folder), ["symbol"], ["bar"], back=1, bound=HOURS)
+    # the indices themselves span many powers of ten on these bars, so their logs are returned
+    return X.accumulated_volume(s).drop("negative_volume_index", "positive_volume_index")
+
+
 @query("liquidity_family", "H10 H22 H41", f"""WITH {_BASE} SELECT symbol, bar, {_SD(f'sum(tp * v) OVER {_R(N)}', f'sum(v) OVER {_R(N)}')} AS vwap_10, {_SD(f'sum(ret * v) OVER {_R(N)}', f'sum(v) OVER {_R(N)}')} AS vw_return_10, ln(1 + {_SD(f'sum(v) OVER {_R(N)}', f'sum(rg) OVER {_R(N)}')}) AS liquidity_10,
  {_SD('v', _G('avg(v)', 'v'))} * least(greatest(1 - {_SD('body', 'rg')}, 0), 1) AS absorption_10, rg FROM f1""", "vwap_10 vw_return_10 liquidity_10 absorption_10 rg", digits=4)
 def liquidity_family(spark, folder):

@@ -244,6 +244,30 @@ def ema_family(spark, folder):
                              "trix": (K.trix(12), ["close"])}).result("symbol", "bar", "ema", "dema", "tema", "trix")
 
 
+@query("ewma_volatility", "F11 N76", f"""WITH RECURSIVE {BARS}, x AS (SELECT symbol, bar, power(ln(close / lag(close) OVER {_ORD}), 2) AS q, row_number() OVER {_ORD} AS i FROM bars),
+e AS (SELECT symbol, bar, i, q AS e FROM x WHERE i = 2 UNION ALL SELECT x.symbol, x.bar, x.i, e.e + (x.q - e.e) * 2 / 61.0 FROM e JOIN x ON x.symbol = e.symbol AND x.i = e.i + 1)
+SELECT x.symbol, x.bar, sqrt(e.e * {24 * 365}) AS vol FROM x LEFT JOIN e ON e.symbol = x.symbol AND e.i = x.i""", "vol")
+def ewma_volatility(spark, folder):
+    s = sequence(bars(spark, folder).select("symbol", "bar", "close"), ["symbol"], ["bar"], back=K.warmup(60), bound=HOURS)
+    return K.kernel_pass(s, {"vol": (K.ewma_vol(60, 24 * 365), ["close"])}).result("symbol", "bar", "vol")
+
+
+_HAR = lambda n, minp: f"CASE WHEN count(q) OVER {_W(n - 1)} >= {minp} THEN avg(q) OVER {_W(n - 1)} END"
+
+
+@query("har_components", "H50", f"""WITH {_RET}, y AS (SELECT symbol, bar, r * r AS q FROM x), z AS (SELECT symbol, bar, q AS rv_1h, {_HAR(24, 12)} AS rv_1d, {_HAR(168, 84)} AS rv_1w FROM y)
+SELECT *, sqrt(rv_1h * {24 * 365}) AS rv_1h_ann, sqrt(rv_1d * {24 * 365}) AS rv_1d_ann, sqrt(rv_1w * {24 * 365}) AS rv_1w_ann FROM z""", "rv_1h rv_1d rv_1w rv_1h_ann rv_1d_ann rv_1w_ann")
+def har_components(spark, folder):
+    s = ret_bars(spark, folder, back=168).add({"q": F.col("r") * F.col("r")})
+
+    def mean(n, minp):
+        w = s.rows(-(n - 1), 0)
+        return F.when(F.count("q").over(w) >= minp, F.avg("q").over(w))
+
+    d = s.add({"rv_1h": F.col("q"), "rv_1d": mean(24, 12), "rv_1w": mean(168, 84)}).result("symbol", "bar", "rv_1h", "rv_1d", "rv_1w")
+    return d.withColumns({f"{c}_ann": F.sqrt(F.col(c) * (24 * 365)) for c in ("rv_1h", "rv_1d", "rv_1w")})
+
+
 @query("wilder_rsi", "F2 F3", f"""WITH RECURSIVE {BARS}, x AS (SELECT symbol, bar, close - lag(close) OVER {_ORD} AS d, row_number() OVER {_ORD} AS i FROM bars),
 e AS (SELECT symbol, bar, i, greatest(d, 0) AS g, greatest(-d, 0) AS l FROM x WHERE i = 2
  UNION ALL SELECT x.symbol, x.bar, x.i, e.g + (greatest(x.d, 0) - e.g) / 14.0, e.l + (greatest(-x.d, 0) - e.l) / 14.0 FROM e JOIN x ON x.symbol = e.symbol AND x.i = e.i + 1)
