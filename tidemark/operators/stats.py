@@ -266,6 +266,32 @@ def correlation_pairs(df: DataFrame, at: str, name: str, value: str, limit: int
     return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
+def spearman_pairs(df: DataFrame, at: str, name: str, value: str, block: int = 32, least: int = 2) -> DataFrame:
+    """(a, b, r): correlation of every two series' own ranks over the clocks both have; gaps stay missing.
+
+    Series are dealt into blocks, and each pair of blocks is a task of its own: the result is k x k, the work is spread
+    over (k / block) ** 2 / 2 tasks, and a task holds the clocks of 2 * block series. Fewer than ``least`` common clocks
+    give a missing value.
+    """
+    d = df.where(c(value).isNotNull()).select(c(at).alias("at"), c(name).cast("string").alias("name"), c(value).cast("double").alias("x"))
+    k = d.select("name").distinct().count()
+    blocks = max(1, -(-k // block))
+    own = F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int")
+    d = d.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+
+    def correlate(pdf):
+        import pandas as pd
+
+        side = pdf.drop_duplicates("name").set_index("name")["own"]
+        m = pdf.pivot_table(index="at", columns="name", values="x", aggfunc="first").rank().corr(min_periods=least)
+        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
+        left, right = [s for s in m.columns if side[s] == lo], [s for s in m.columns if side[s] == hi]
+        out = pd.DataFrame([(a, b, m.at[a, b]) for a in left for b in right], columns=["a", "b", "r"])
+        return out if lo == hi else pd.concat([out, out.rename(columns={"a": "b", "b": "a"})[["a", "b", "r"]]])
+
+    return d.groupBy("lo", "hi").applyInPandas(correlate, "a string, b string, r double").withColumn("r", F.when(~F.isnan("r"), F.col("r")))
+
+
 def effective_tests(pairs: DataFrame) -> tuple[float, float]:
     """Participation ratio and Li-Ji count of a correlation table (k x k values)."""
     got = pairs.toPandas().pivot(index="a", columns="b", values="r").to_numpy()

@@ -255,10 +255,17 @@ def newey_west_t(spark, folder):
     return S.newey_west(daily(spark, folder), ["symbol"], ["day"], "p", 3)
 
 
+@query("spearman_matrix", "N47 N69", f"""WITH {_MKT}, v AS (SELECT day, symbol, rank() OVER (PARTITION BY symbol ORDER BY r) + (count(*) OVER (PARTITION BY symbol, r) - 1) / 2.0 AS k FROM x WHERE r IS NOT NULL)
+SELECT a.symbol AS a, b.symbol AS b, corr(a.k, b.k) AS r FROM v a JOIN v b ON a.day = b.day GROUP BY 1, 2 HAVING count(*) >= 2""", "r")
+def spearman_matrix(spark, folder):
+    d = market_panel(spark, folder, 0).result("day", "symbol", "r")
+    return S.spearman_pairs(d, "day", "symbol", "r").where("r is not null")
+
+
 @query("effective_tests", "N45 N46 N47 N69")
 def effective_tests(spark, folder):
     d = market_panel(spark, folder, 0).result("day", "symbol", "r").where("r is not null")
-    pairs = S.correlation_pairs(d, "day", "symbol", "r")
+    pairs = pin(S.spearman_pairs(d, "day", "symbol", "r"))
     part, li_ji = S.effective_tests(pairs)
     n = F.sqrt(F.count(F.lit(1)).cast("double"))
     return pairs.agg(n.alias("n_series"), F.lit(part).alias("participation"), F.lit(li_ji).alias("li_ji"), (n * n / F.sum(F.col("r") * F.col("r"))).alias("effective_bets"),
@@ -269,7 +276,7 @@ _ZC = f"""{_MKT}, nm AS (SELECT DISTINCT symbol FROM x), dys AS (SELECT DISTINCT
 pr AS (SELECT a.symbol AS a, b.symbol AS b, corr(a.r, b.r) AS r FROM f a JOIN f b ON a.day = b.day GROUP BY 1, 2)"""
 
 
-@query("correlation_matrix", "N47 N69", f"WITH {_ZC} SELECT a, b, r FROM pr", "r")
+@query("correlation_matrix", "N48", f"WITH {_ZC} SELECT a, b, r FROM pr", "r")
 def correlation_matrix(spark, folder):
     d = market_panel(spark, folder, 0).result("day", "symbol", "r").where("r is not null")
     return S.correlation_pairs(d, "day", "symbol", "r")
@@ -479,7 +486,7 @@ def walk_forward_scores(spark, folder):
 def sleeve_admission(spark, folder):
     d = market_panel(spark, folder, 0).result("day", "symbol", "r").where("r is not null")
     score = d.groupBy("symbol").agg(div(F.avg("r"), F.stddev_samp("r")).alias("score"))
-    pairs = S.correlation_pairs(d, "day", "symbol", "r").where("a <> b").select(F.col("a").alias("symbol"), "b", "r")
+    pairs = S.spearman_pairs(d, "day", "symbol", "r").where("a <> b").select(F.col("a").alias("symbol"), "b", "r")
     better = pairs.join(score, "symbol").join(score.select(F.col("symbol").alias("b"), F.col("score").alias("score_b")), "b")
     # A sleeve clashes with a better one above the limit; the accepted set is the usual greedy one on k names.
     clash = better.where((F.col("score_b") > F.col("score")) & (F.abs("r") > 0.05)).groupBy("symbol").agg(F.collect_set("b").alias("clashes"))
