@@ -3,7 +3,8 @@
 1. Documents that can link share a shingle among the rarest of each (rarest by a counting sketch over all documents,
    of fixed size; any order is lossless). Such a shingle is the key of a group. Equal sets link at once.
 2. Within a group everyone is first held against its smallest member, so a group of copies costs as many checks as it
-   has members, never their square. Links are confirmed on the exact sets of shingles.
+   has members, never their square. Pairs whose sizes or token bitmaps leave no room for a link are dropped; the others
+   are confirmed on the exact sets of shingles.
 3. Members of a group that still lie in different components meet in signature trees: nodes hold the OR of their
    documents' token bitmaps, their range of sizes and components, and a dual traversal drops pairs of nodes whose
    largest possible overlap is too small, or which are one component. What is left is confirmed on the exact sets.
@@ -257,6 +258,24 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(sign, "doc bigint, n bigint, bits binary")
 
 
+def plausible(pairs: DataFrame, signed: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and token bitmaps leave room for the threshold; the others cannot link."""
+
+    def match(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            n = [batch.column(f"n_{s}").to_numpy() for s in "ab"]
+            bits = [np.frombuffer(b"".join(batch.column(f"bits_{s}").to_pylist()), np.uint64).reshape(-1, BITS // 64) for s in "ab"]
+            surplus = [size - np.bitwise_count(b).sum(axis=1).astype(np.int64) for size, b in zip(n, bits, strict=True)]
+            overlap = np.minimum(np.bitwise_count(bits[0] & bits[1]).sum(axis=1).astype(np.int64) + np.minimum(*surplus), np.minimum(*n))
+            keep = pa.array((100 + threshold) * overlap >= threshold * (n[0] + n[1]))
+            yield pa.RecordBatch.from_arrays([batch.column(s).filter(keep) for s in "ab"], names=["a", "b"])
+
+    side = lambda s: signed.select(F.col("doc").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(match, "a bigint, b bigint").distinct()
+
+
 class Tree:
     """Levels of nodes, documents first: OR of bitmaps, least and largest size, surplus of tokens over bits, range of components."""
 
@@ -356,19 +375,20 @@ def components(docs: DataFrame, words: int = 3, threshold: int = 90, doc_id: str
     buckets = max(BUCKETS, ceil(size / BUCKET_BYTES))
     found = stash(candidate_pairs(keyed(base, words, threshold, sketch, buckets), buckets))
     equal = found.where("kind = 1").select("a", "b")
-    tried = stash(found.where("kind = 0").select("a", "b").distinct())
-    links = stash(confirmed(tried, base, words, threshold).unionByName(equal))
+    groups = found.where("kind = 0").select("key", "a", "b")
+    ids = stash(groups.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
+    signed = stash(signatures(only_ids(base, "doc", ids), words))
+    tried = stash(groups.select("a", "b").distinct())
+    likely = stash(plausible(tried.join(equal, ["a", "b"], "left_anti"), signed, threshold))
+    links = stash(confirmed(likely, base, words, threshold).unionByName(equal))
     whole = stash(connected(links))
     # groups of three or more that hold more than one component have pairs that nobody has looked at
     named = lambda side: whole.select(F.col("doc").alias(side), F.col("component").alias(f"c_{side}"))
-    groups = found.where("kind = 0").select("key", "a", "b")
     apart = groups.join(named("a"), "a", "left").join(named("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("key").distinct()
     large = groups.join(stash(apart), "key", "left_semi").select("key", F.explode(F.array("a", "b")).alias("doc")).distinct()
     large = stash(large)
     several = large.groupBy("key").count().where("count > 2").select("key")
     members = stash(large.join(several, "key", "left_semi").join(whole, "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component")))
-    ids = stash(members.select("doc").distinct())
-    signed = stash(signatures(only_ids(base, "doc", ids), words))
     more = stash(tree_pairs(members.join(signed, "doc"), threshold).join(tried, ["a", "b"], "left_anti"))
     links = stash(links.unionByName(confirmed(more, base, words, threshold)))
     whole = stash(connected(links))
