@@ -19,10 +19,8 @@ LEAST_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told: rows that share an id stay if one of them does."""
-    found = language.identify(docs)
-    known = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("doc_id").distinct()
-    return docs.join(known, "doc_id", "left_semi").select(*docs.columns)
+    """Documents whose language is told."""
+    return language.known_language(docs, LEAST_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

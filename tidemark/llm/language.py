@@ -156,8 +156,8 @@ def train(sample: DataFrame, languages: list[str], idf: np.ndarray) -> tuple[np.
     return np.frombuffer(row.weights, "<f8").reshape(FEATURES, -1), row.temperature
 
 
-def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5, sample: int = SAMPLE, each: int = EACH) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every document."""
+def fitted(docs: DataFrame, doc_id: str, text: str, lang: str, folds: int, sample: int, each: int):
+    """The broadcast model: languages, weights (feature x language), rarity of features, temperature."""
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     held_out = fold("doc_id", folds) == 0
     learnable = named.where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
@@ -169,29 +169,58 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     chosen = stash(learnable.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text"))  # ``sample`` ids at most
     languages = sorted(r.lang for r in chosen.select("lang").distinct().collect())
     weights, heat = train(chosen, languages, idf) if languages else (np.zeros((FEATURES, 0)), 1.0)
-    model = docs.sparkSession.sparkContext.broadcast((languages, (weights * idf[:, None]).astype(np.float32), idf.astype(np.float32), heat))
+    return docs.sparkSession.sparkContext.broadcast((languages, (weights * idf[:, None]).astype(np.float32), idf.astype(np.float32), heat))
 
-    def predict(batches: Iterator) -> Iterator:
-        import re
 
+def judge(texts: list[str | None], model) -> tuple[list[str], list[float]]:
+    """Language and probability of each text."""
+    import re
+
+    names, by_feature, rarity, heat = model
+    letter = re.compile(r"[^\W\d_]")
+    best, score = [], []
+    for t, (which, count) in zip(texts, grams(texts), strict=True):
+        if not t or not names or not letter.search(t):
+            best.append("und")
+            score.append(0.0)
+            continue
+        tf = 1 + np.log(count.astype(np.float32))
+        norm = float(np.sqrt(np.square(tf * rarity[which]).sum()))
+        p = softmax(np.asarray(tf @ by_feature[which], np.float64) / (norm or 1.0) / heat)
+        best.append(names[int(p.argmax())])
+        score.append(float(p.max()))
+    return best, score
+
+
+def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5, sample: int = SAMPLE, each: int = EACH) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every document."""
+    model = fitted(docs, doc_id, text, lang, folds, sample, each)
+
+    def predict(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        names, by_feature, rarity, heat = model.value
-        letter = re.compile(r"[^\W\d_]")
         for part in text_slices(batches):
-            texts, best, score = part.column("text").to_pylist(), [], []
-            for t, (which, count) in zip(texts, grams(texts), strict=True):
-                if not t or not names or not letter.search(t):
-                    best.append("und")
-                    score.append(0.0)
-                    continue
-                tf = 1 + np.log(count.astype(np.float32))
-                norm = float(np.sqrt(np.square(tf * rarity[which]).sum()))
-                p = softmax(np.asarray(tf @ by_feature[which], np.float64) / (norm or 1.0) / heat)
-                best.append(names[int(p.argmax())])
-                score.append(float(p.max()))
+            best, score = judge(part.column("text").to_pylist(), model.value)
             yield pa.RecordBatch.from_arrays([part.column("doc_id").combine_chunks(), part.column("held_out").combine_chunks(), pa.array(best, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
+    named = docs.select(F.col(doc_id).alias("doc_id"), (fold(doc_id, folds) == 0).alias("held_out"), F.col(text).alias("text"))
     kind = named.schema["doc_id"].dataType.simpleString()
-    out = named.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    out = named.mapInArrow(predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
     return out.withColumnRenamed("doc_id", doc_id)
+
+
+def known_language(docs: DataFrame, least: float = 0.5, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5, sample: int = SAMPLE, each: int = EACH) -> DataFrame:
+    """The rows whose language is told with at least this probability, as they are; no row is shuffled."""
+    model = fitted(docs, doc_id, text, lang, folds, sample, each)
+
+    def keep(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for part in text_slices(batches):
+            best, score = judge(part.column("text").to_pylist(), model.value)
+            good = pa.array([b != "und" and s >= least for b, s in zip(best, score, strict=True)])
+            yield pa.RecordBatch.from_arrays([part.column("all").combine_chunks().filter(good)], names=["all"])
+
+    named = docs.select(F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("all"))
+    out = named.mapInArrow(keep, f"all {named.schema['all'].dataType.simpleString()}")
+    return out.select(*[F.col("all")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])
