@@ -104,26 +104,35 @@ def dataset_registry(spark, folder):
 # --- streams -------------------------------------------------------------------------------------
 
 
-def tick_stream(spark, folder):
-    e = S.follow(spark, folder, "events.parquet").where("value > 0")
-    return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), epoch_us("ts").alias("ts_us"), F.concat(F.lit("S"), F.lpad((F.col("user_id") % 16).cast("string"), 2, "0")).alias("symbol"),
+FAR_US = 4_000_000_000_000_000
+
+
+def tick_stream(spark, folder, disorder_us=0):
+    """The trades as a stream of several files: in order of their clock, or up to ``disorder_us`` late and flushed at the end."""
+    e = S.replay(tick_table(spark, folder), "ts_us", disorder_us, {"ts_us": FAR_US, "kind": "error", "qty": -1} if disorder_us else None)
+    return e.withColumn("ts", F.timestamp_micros("ts_us"))
+
+
+def tick_table(spark, folder):
+    e = read(spark, folder, "events").where("value > 0")
+    return e.select("event_id", epoch_us("ts").alias("ts_us"), F.concat(F.lit("S"), F.lpad((F.col("user_id") % 16).cast("string"), 2, "0")).alias("symbol"),
                     F.col("event_type").alias("kind"), F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("bigint").alias("qty"), "props")
 
 
 @query("stream_event_clusters", "S11 S10", f"SELECT epoch_us(ts) // 300000000 * 300000000 AS start_us, {_SYM} AS symbol, count(*) AS n FROM events WHERE event_type = 'error' AND value > 0 GROUP BY 1, 2")
 def stream_event_clusters(spark, folder):
-    return S.drain(S.windowed_counts(tick_stream(spark, folder).where("kind = 'error'"), "ts", ["symbol"], "5 minutes"), "complete")
+    return S.drain(S.windowed_counts(tick_stream(spark, folder, 12 * HOUR_US).where("kind = 'error'"), "ts", ["symbol"], "5 minutes"))
 
 
 @query("stream_sliding_counts", "S10", f"SELECT (epoch_us(ts) // {HOUR_US} - k) * {HOUR_US} AS start_us, {_SYM} AS symbol, count(*) AS n FROM events, (SELECT unnest(range(6)) AS k) WHERE value > 0 GROUP BY 1, 2")
 def stream_sliding_counts(spark, folder):
-    return S.drain(S.windowed_counts(tick_stream(spark, folder), "ts", ["symbol"], "6 hours", "1 hour"), "complete")
+    return S.drain(S.windowed_counts(tick_stream(spark, folder, 12 * HOUR_US), "ts", ["symbol"], "6 hours", "1 hour"))
 
 
 @query("stream_sessions", "S10 K33", f"""WITH {TICKS}, g AS (SELECT symbol, ts_us, CASE WHEN ts_us - lag(ts_us) OVER w >= {HOUR_US} OR lag(ts_us) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts_us)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY symbol ORDER BY ts_us) AS k FROM g)
 SELECT min(ts_us) AS start_us, symbol, count(*) AS n FROM s GROUP BY symbol, k""")
 def stream_sessions(spark, folder):
-    return S.drain(S.gap_sessions(tick_stream(spark, folder), "ts", ["symbol"], "1 hour"), "complete")
+    return S.drain(S.gap_sessions(tick_stream(spark, folder, 12 * HOUR_US), "ts", ["symbol"], "1 hour"))
 
 
 @query("stream_dedupe", "S8", "SELECT count(DISTINCT (user_id % 16, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT))) AS n FROM events WHERE value > 0")
