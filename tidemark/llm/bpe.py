@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import pieces, ranges
-from tidemark.llm.tokens import tokenizer
+from tidemark.llm.tokens import encoded, tokenizer
 
 #: Words in the broadcast table at most, and the longest word (bytes) in it: both bound its size (16 MB and the ids).
 TABLE_WORDS, WORD_BYTES = 1 << 17, 128
@@ -66,7 +66,7 @@ def word_table(words: DataFrame, path: str) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         model = tokenizer(path)
         for batch in batches:
-            found = [e.ids for e in model.encode_batch_fast(batch.column("word").to_pylist(), add_special_tokens=False)]
+            found = [e.ids for e in encoded(model, batch.column("word").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(found, pa.list_(pa.int32()))], names=["word", "ids"])
 
     return words.select("word").mapInArrow(encode, "word string, ids array<int>")
@@ -83,7 +83,7 @@ class Encoder:
         if len(self.own) + len(new) > 1 << 17:
             self.own.clear()
             new = [w for w in words if w not in self.known]
-        self.own.update(zip(new, (np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        self.own.update(zip(new, (np.array(e.ids, np.uint32) for e in encoded(self.model, new)), strict=True))
         return [self.known[w] if w in self.known else self.own[w] for w in words]
 
 

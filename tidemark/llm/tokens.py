@@ -37,6 +37,12 @@ def tokenizer(path: str):
     return t
 
 
+def encoded(model, words: list[str]) -> Iterator:
+    """The library's encodings, a few thousand at a time: each holds far more than its ids."""
+    for at in range(0, len(words), 4096):
+        yield from model.encode_batch_fast(words[at:at + 4096], add_special_tokens=False)
+
+
 def piece_lengths(encode, texts, seen: dict) -> np.ndarray:
     """Tokens of each text of an Arrow string array. ``encode``: lengths for a list of strings; ``seen``: its results so far."""
     import re
@@ -90,7 +96,7 @@ def token_counts(docs: DataFrame, path: str, limit: int, doc_id: str = "doc_id",
         model, seen = tokenizer(path), {}
 
         def encode(words: list[str]) -> list[int]:
-            return [len(e) for e in model.encode_batch_fast(words, add_special_tokens=False)]
+            return [len(e) for e in encoded(model, words)]
 
         for batch in batches:
             for part in pieces(pa.Table.from_batches([batch]), "text", BATCH_BYTES):
