@@ -27,7 +27,7 @@ SAMPLE, EACH, EPOCHS = 6000, 1500, 2
 #: Of follow-the-regularised-leader: step, its start, and both penalties.
 STEP, START, L1, L2 = 0.5, 1.0, 0.02, 0.1
 #: Bytes of text handled at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def grams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:

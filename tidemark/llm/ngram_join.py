@@ -29,7 +29,7 @@ from tidemark.llm.common import BASES, BROADCAST_IDS, Words, dealt, grouped, mix
 #: Counters of the sketch, in how many slices they travel, bits of a token bitmap, children of a tree's node.
 COUNTERS, SLICES, BITS, FAN = 1 << 20, 16, 2048, 8
 #: Documents of a block in a large group, bytes of text handled at once, and bytes of text whose keys one bucket gets.
-BLOCK, BATCH_BYTES, BUCKET_BYTES = 1024, 8 << 20, 256 << 20
+BLOCK, BATCH_BYTES, BUCKET_BYTES = 1024, 4 << 20, 256 << 20
 #: Buckets at least.
 BUCKETS = 64
 ROWS = "bucket int, kind int, doc binary, size binary, keys binary"

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import BROADCAST_IDS, Words, dealt, grouped, id_key, only_ids, pieces, stash
 
 #: Bytes of text handled at once in a task, and bytes of text whose windows one bucket gets.
-BATCH_BYTES, BUCKET_BYTES = 8 << 20, 256 << 20
+BATCH_BYTES, BUCKET_BYTES = 4 << 20, 256 << 20
 #: Buckets at least.
 BUCKETS = 64
 LOW = np.uint64(0xFFFFFFFF)
