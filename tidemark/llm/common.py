@@ -177,6 +177,21 @@ def grouped(batches, column: str):
     return groupby(rows, key=lambda r: r[column])
 
 
+def columns_of(df: DataFrame) -> str:
+    """The schema as the DDL that mapInArrow takes."""
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+
+
+def rest_of(df: DataFrame, text: str) -> F.Column:
+    """All columns but the text as one struct, ``rest``, whatever they are called."""
+    return F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns) if c != text]).alias("rest")
+
+
+def whole_rows(rows: DataFrame, df: DataFrame, text: str) -> DataFrame:
+    """Rows (text, rest) with the columns of ``df`` again."""
+    return rows.select(*[F.col("text").alias(c) if c == text else F.col("rest")[f"c{i}"].alias(c) for i, c in enumerate(df.columns)])
+
+
 #: Ids in a broadcast filter at most (some 100 MB); above that the same join runs by shuffle.
 BROADCAST_IDS = 4_000_000
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold, mix, pieces, stash
+from tidemark.llm.common import columns_of, fold, mix, pieces, rest_of, stash, whole_rows
 
 #: Hashed features, and the lengths of n-grams.
 FEATURES, GRAMS = 1 << 16, (1, 2, 3)
@@ -219,8 +219,8 @@ def known_language(docs: DataFrame, least: float = 0.5, doc_id: str = "doc_id",
         for part in text_slices(batches):
             best, score = judge(part.column("text").to_pylist(), model.value)
             good = pa.array([b != "und" and s >= least for b, s in zip(best, score, strict=True)])
-            yield pa.RecordBatch.from_arrays([part.column("all").combine_chunks().filter(good)], names=["all"])
+            yield pa.RecordBatch.from_arrays([part.column(c).combine_chunks().filter(good) for c in ("text", "rest")], names=["text", "rest"])
 
-    named = docs.select(F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("all"))
-    out = named.mapInArrow(keep, f"all {named.schema['all'].dataType.simpleString()}")
-    return out.select(*[F.col("all")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])
+    named = docs.select(F.col(text).alias("text"), rest_of(docs, text))
+    out = named.mapInArrow(keep, columns_of(named))
+    return whole_rows(out, docs, text)

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BROADCAST_IDS, Words, dealt, grouped, id_key, only_ids, pieces, stash
+from tidemark.llm.common import BROADCAST_IDS, Words, columns_of, dealt, grouped, id_key, only_ids, pieces, rest_of, stash, whole_rows
 
 #: Bytes of text handled at once in a task, and bytes of text whose windows one bucket gets.
 BATCH_BYTES, BUCKET_BYTES = 4 << 20, 256 << 20
@@ -276,7 +276,7 @@ def without_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", t
 
     A text that loses words has one space between the others; other texts stay as they are.
     """
-    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("all"))
+    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), rest_of(docs, text))
 
     def cut(batches: Iterator) -> Iterator:
         from itertools import compress
@@ -292,11 +292,9 @@ def without_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", t
                         continue
                 stay.append(i)
             at = pa.array(stay, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()).take(at), part.column("all").combine_chunks().take(at)], names=["text", "all"])
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()).take(at), part.column("rest").combine_chunks().take(at)], names=["text", "rest"])
 
-    kind = named.schema["all"].dataType.simpleString()
-    out = judged(named, window).mapInArrow(cut, f"text string, all {kind}")
-    return out.select(*[F.col("text").alias(c) if c == text else F.col("all")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])
+    return whole_rows(judged(named, window).mapInArrow(cut, columns_of(named.select("text", "rest"))), docs, text)
 
 
 def judged(docs: DataFrame, window: int) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import coded_words
-from tidemark.llm.common import Words, fold, pieces, ranges, stash
+from tidemark.llm.common import Words, columns_of, fold, pieces, ranges, stash
 
 #: Labelled documents of each class to mine at most, and documents to train the classifier on.
 MINED, TRAINED = 2500, 20_000
@@ -68,10 +68,6 @@ def with_least_pair(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(add, columns_of(sample) + ", least bigint")
 
 
-def columns_of(df: DataFrame) -> str:
-    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
-
-
 def mine(sample: DataFrame) -> list[tuple[str, float]]:
     """The lexicon: entries and their weight of evidence, strongest first. sample: text, toxic, half (0 or 1)."""
 
