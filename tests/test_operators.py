@@ -152,3 +152,28 @@ def test_text(spark):
     got = [x[0] for x in T.sentiment(d, "x", "s").select("s").collect()]
     assert got == pytest.approx([min(1.0, (2 + 0.7 * 3) / 2), max(-1.0, (1 - 3) / math.sqrt(2)), 0.0])
     assert d.select(T.tag_names("x")).first()[0] == ["BTCUSDT"]
+
+
+def test_kama_is_the_same_in_blocks(spark):
+    import numpy as np
+
+    from tidemark.operators import features as X
+    from tidemark.operators import recurrence as K
+    from tidemark.operators.blocks import sequence
+
+    dice = np.random.default_rng(3)
+    x = 100 + dice.normal(0, 0.5, 26_000).cumsum() * 0.01 + np.where(np.arange(26_000) > 9_000, 40.0, 0.0)
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "k string, t bigint, close double")
+    back = X.look_back([10], True)
+    assert back >= K.KAMA_WARMUP
+    run = lambda size: {r.t: r.kama for r in K.kernel_pass(sequence(df, ["k"], ["t"], back=back, size=size), {"kama": (K.kama(10), ["close"])}).result("t", "kama").collect()}
+    whole, cut = run(250_000), run(4_000)
+    assert len(whole) == len(cut) == 26_000
+    assert max(abs(whole[t] - cut[t]) for t in whole if whole[t] is not None) < 1e-9
+
+
+def test_deflated_sharpe_is_below_the_plain_one(spark, sf):
+    from tidemark.plans import REGISTRY
+
+    rows = REGISTRY["probabilistic_sharpe"].run(spark, sf).where("dsr is not null").collect()
+    assert rows and all(r.dsr <= r.psr + 1e-6 for r in rows if r.benchmark > 0)

@@ -13,7 +13,9 @@ import check  # noqa: E402
 
 SAMPLE = ["event_study", "asof_context", "asof_forward", "mutual_match", "other_symbol_density", "aggressor_flow_bars", "ema_family", "hysteresis_state", "triple_barrier", "economic_labels",
           "event_path_labels", "centred_rank", "overlapping_portfolio", "episode_metrics", "placebo_time_shuffle", "bootstrap_lower_bound", "global_spearman", "bh_qvalues", "oi_cascade",
-          "pit_audit", "html_to_text", "lexicon_sentiment", "series_coverage", "order_book_replay", "wallet_flow", "partitioned_upsert", "stream_sessions", "stream_suppressed_triggers", "volume_family"]
+          "pit_audit", "html_to_text", "lexicon_sentiment", "series_coverage", "order_book_replay", "wallet_flow", "partitioned_upsert", "stream_sessions", "stream_suppressed_triggers", "volume_family",
+          "cscv_overfitting", "cluster_robust", "forced_flow_reversal", "spearman_matrix", "ridge_walk_forward", "har_components", "ewma_volatility", "volume_accumulators", "next_price_move", "stream_event_clusters",
+          "screen_applied", "capacity_policy"]
 
 
 @pytest.fixture(scope="module")
