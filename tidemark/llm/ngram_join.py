@@ -231,11 +231,12 @@ def connected(links: DataFrame) -> DataFrame:
         r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         return r.n, r.h
 
+    # each step deals the edges by u once; sums, join and the next step's stars all keep that dealing
     edges = stash(links.select(F.col("b").alias("u"), F.col("a").alias("v")).where("u <> v").distinct())
     before, now = None, mark(edges)
     while now != before:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = stash(both.join(least(both), "u").where("v > u AND v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition("u")
+        large = both.join(least(both), "u").where("v > u AND v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).repartition("u")
         low = least(large)
         edges = stash(large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v")).where("u <> v").distinct())
         before, now = now, mark(edges)
@@ -384,14 +385,19 @@ def components(docs: DataFrame, words: int = 3, threshold: int = 90, doc_id: str
     whole = stash(connected(links))
     # groups of three or more that hold more than one component have pairs that nobody has looked at
     named = lambda side: whole.select(F.col("doc").alias(side), F.col("component").alias(f"c_{side}"))
-    apart = groups.join(named("a"), "a", "left").join(named("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("key").distinct()
+    split = stash(tried.join(named("a"), "a", "left").join(named("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b"))
+    apart = groups.join(split, ["a", "b"], "left_semi").select("key").distinct()
     large = groups.join(stash(apart), "key", "left_semi").select("key", F.explode(F.array("a", "b")).alias("doc")).distinct()
     large = stash(large)
     several = large.groupBy("key").count().where("count > 2").select("key")
     members = stash(large.join(several, "key", "left_semi").join(whole, "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component")))
     more = stash(tree_pairs(members.join(signed, "doc"), threshold).join(tried, ["a", "b"], "left_anti"))
-    links = stash(links.unionByName(confirmed(more, base, words, threshold)))
-    whole = stash(connected(links))
+    new = stash(confirmed(more, base, words, threshold)) if not more.isEmpty() else more
+    if not new.isEmpty():  # the components that the new links join, by their smallest documents
+        merged = new.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("c_a", "a").alias("x"), F.coalesce("c_b", "b").alias("y")).where("x <> y")
+        joined = connected(merged.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).select(F.col("doc").alias("component"), F.col("component").alias("now"))
+        every = whole.unionByName(new.select(F.explode(F.array("a", "b")).alias("doc")).distinct().join(whole, "doc", "left_anti").select("doc", F.col("doc").alias("component")))
+        whole = stash(every.join(joined, "component", "left").select("doc", F.coalesce("now", "component").alias("component")))
     rows = first.where("slice IS NULL").select("doc", "n")
     return rows.join(whole, "doc", "left").select(F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
