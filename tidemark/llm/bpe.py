@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pieces, ranges
+from tidemark.llm.common import pieces, ranges, small_batches
 from tidemark.llm.tokens import encoded, tokenizer
 
 #: Words in the broadcast table at most, and the longest word (bytes) in it: both bound its size (16 MB and the ids).
@@ -98,7 +98,7 @@ def id_pieces(path: str):
 
 def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids (array of int) and decoded text; with ``digests`` SHA-256 of both in place of them."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     table = word_table(frequent_words(docs, text), path).collect()  # TABLE_WORDS rows at most
     known = spark.sparkContext.broadcast({r.word: np.array(r.ids, np.uint32) for r in table})
 

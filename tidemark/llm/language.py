@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import columns_of, fold, mix, pieces, rest_of, stash, whole_rows
+from tidemark.llm.common import columns_of, fold, mix, pieces, rest_of, small_batches, stash, whole_rows
 
 #: Hashed features, and the lengths of n-grams.
 FEATURES, GRAMS = 1 << 16, (1, 2, 3)
@@ -158,6 +158,7 @@ def train(sample: DataFrame, languages: list[str], idf: np.ndarray) -> tuple[np.
 
 def fitted(docs: DataFrame, doc_id: str, text: str, lang: str, folds: int, sample: int, each: int):
     """The broadcast model: languages, weights (feature x language), rarity of features, temperature."""
+    small_batches(docs)
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     held_out = fold("doc_id", folds) == 0
     learnable = named.where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())

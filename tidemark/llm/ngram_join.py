@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BASES, BROADCAST_IDS, Words, dealt, grouped, mix, only_ids, pieces, ranges, stash, tasks, window_sums
+from tidemark.llm.common import BASES, BROADCAST_IDS, Words, dealt, grouped, mix, only_ids, pieces, ranges, small_batches, stash, tasks, window_sums
 
 #: Counters of the sketch, in how many slices they travel, bits of a token bitmap, children of a tree's node.
 COUNTERS, SLICES, BITS, FAN = 1 << 20, 16, 2048, 8
@@ -367,7 +367,7 @@ def tree_pairs(members: DataFrame, threshold: int) -> DataFrame:
 
 def components(docs: DataFrame, words: int = 3, threshold: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every document: sets of ``words``-word shingles link at a Jaccard similarity of ``threshold`` percent."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     base = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     first = stash(sizes_and_sketch(base, words))
     base = base.where("doc IS NOT NULL")

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BROADCAST_IDS, Words, columns_of, dealt, grouped, id_key, only_ids, pieces, rest_of, stash, whole_rows
+from tidemark.llm.common import BROADCAST_IDS, Words, columns_of, dealt, grouped, id_key, only_ids, pieces, rest_of, small_batches, stash, whole_rows
 
 #: Bytes of text handled at once in a task, and bytes of text whose windows one bucket gets.
 BATCH_BYTES, BUCKET_BYTES = 4 << 20, 256 << 20
@@ -220,6 +220,7 @@ def repeats(windows: DataFrame, buckets: int) -> DataFrame:
 def found_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc and keys (list of packed 64-bit digests): the windows that each document has to lose."""
     block = window // 2
+    small_batches(docs)
     base = docs.select(id_key(doc_id).alias("doc"), F.col(text).alias("text"))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(BUCKETS, ceil(size / BUCKET_BYTES))
