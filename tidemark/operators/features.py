@@ -19,6 +19,7 @@ from tidemark.operators import rolling as R
 from tidemark.operators.blocks import Seq, running_total, sequence
 
 HORIZONS = (1, 2, 3, 5, 10, 14, 20, 30, 50, 100, 200)
+SEQUENCES = (3, 5, 10, 20)
 
 
 def bar_columns() -> tuple[Column, ...]:
@@ -330,6 +331,66 @@ def cross_horizon(s: Seq, short: int, long: int) -> Seq:
                   f"golden_cross_{short}_{long}": flag(above & ~(F.lag(f"sma_{short}").over(w) > F.lag(f"sma_{long}").over(w))), f"death_cross_{short}_{long}": flag(~above & (F.lag(f"sma_{short}").over(w) > F.lag(f"sma_{long}").over(w)))})
 
 
+def long_horizon(s: Seq, horizons: Sequence[int], long: int = 200) -> Seq:
+    """Columns of each horizon against ``long`` rows, and long-term scores. Needs ``sma_n`` and ``rv_n`` of all horizons, ``ema_20`` and ``ema_50``."""
+    O, H, L, C, V = bar_columns()
+    w, wide = s.by(), s.rows(-(long - 1), 0)
+    sma = lambda n: F.col(f"sma_{n}")
+    out = {}
+    for n in (x for x in horizons if x < long and long in horizons):
+        out |= {f"volatility_ratio_{n}_{long}": safe_div(f"rv_{n}", f"rv_{long}"), f"ma_spread_{n}_{long}": safe_div(sma(n) - sma(long), sma(long)),
+                f"moving_average_crossover_{n}_{long}": flag(sma(n) > sma(long))}
+    if {20, 50} <= set(horizons):
+        out["fast_ema_cross"] = flag(F.col("ema_20") > F.col("ema_50"))
+    if {20, 50, 200} <= set(horizons):
+        month, week = F.lag("close", 720).over(w), F.lag("close", 168).over(w)
+        out |= {"long_term_trend_score": (flag(C > sma(200)) + flag(sma(20) > sma(50)) + flag(sma(50) > sma(200))) / 3.0, "monthly_trend": safe_div(C - month, month),
+                "weekly_trend": safe_div(C - week, week), "sma_200_regime": F.when(C > sma(200), 1.0).otherwise(-1.0)}
+    if long in horizons:
+        out["long_term_volatility_percentile"] = F.when(F.count(f"rv_{long}").over(wide) > 0, R.rank_share(s, f"rv_{long}", long))
+    # a slope does not depend on where the volume count began, so the count may start at the block's copied rows
+    s = s.add({"_flow": F.coalesce(F.signum("delta"), F.lit(0.0)) * V})
+    s = s.add({"_obv": F.sum("_flow").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    out["long_term_volume_trend"] = R.slope(s, "_obv", min(200, max(horizons)), "place")
+    return s.add(out)
+
+
+def long_horizon_table(df: DataFrame, keys: Sequence[str], clock: str, horizons: Sequence[int] = HORIZONS, bound: int | None = None) -> DataFrame:
+    """``long_horizon`` on plain bars."""
+    s = sequence(df, keys, [clock], back=max(8 * max(horizons) + 40, 760, K.warmup(50)), bound=bound)
+    s = base(K.kernel_pass(s, {f"ema_{n}": (K.ema(n), ["close"]) for n in (20, 50)}))
+    s = s.add({k: v for n in horizons for k, v in ((f"sma_{n}", R.mean(s, "close", n, R.min_periods(n))), (f"rv_{n}", R.std(s, "log_ret", n, R.min_periods(n))))})
+    had = set(s.df.columns)
+    s = long_horizon(s, horizons)
+    return s.result(*keys, clock, *[x for x in s.df.columns if x not in had and not x.startswith("_")])
+
+
+def candle_sequences(df: DataFrame, keys: Sequence[str], clock: str, width: int, horizons: Sequence[int] = SEQUENCES, bound: int | None = None) -> DataFrame:
+    """Run lengths of candle conditions, statistics of the last n bars, and the last bars as arrays (n of 20 at most)."""
+    O, H, L, C, V = bar_columns()
+    s = sequence(df, keys, [clock], back=1, bound=bound)
+    lag = lambda x: F.lag(x).over(s.by())
+    rg = lambda h, l: F.greatest(h - l, F.lit(0.0))
+    d = s.add({"_up": C > lag("close"), "_down": C < lag("close"), "_more": V > lag("volume"), "_narrow": rg(H, L) < rg(lag("high"), lag("low"))}).result()
+    d = K.add_run_lengths(d, keys, [clock], {
+        "consecutive_green_candles": C > O, "consecutive_red_candles": C < O, "consecutive_higher_closes": F.col("_up"), "consecutive_lower_closes": F.col("_down"),
+        "consecutive_volume_increase": F.col("_more"), "consecutive_range_contraction": F.col("_narrow")}, width)
+    runs = [x for x in d.columns if x.startswith("consecutive_")]
+    s = sequence(d, keys, [clock], back=max(horizons) + 1, bound=bound)
+    s = s.add({"_lr": F.ln(safe_div(C, lag("close"))), "_rg": rg(H, L), "_dir": F.signum(C - O)})
+    s = s.add({f"_v_{n}": safe_div(V, F.avg(V).over(s.rows(-(n - 1), 0))) - 1.0 for n in horizons} | {"_o": safe_div(O, C) - 1.0, "_h": safe_div(H, C) - 1.0, "_l": safe_div(L, C) - 1.0, "_c": C * 0.0})
+    out = {}
+    for n in horizons:
+        w, past = s.rows(-(n - 1), 0), F.lag("close", n).over(s.by())
+        total = F.sum("_dir").over(w)
+        out |= {f"last_returns_mean_{n}": F.avg("_lr").over(w), f"last_returns_std_{n}": F.stddev_samp("_lr").over(w), f"last_ranges_mean_{n}": F.avg("_rg").over(w), f"last_volumes_mean_{n}": F.avg(V).over(w),
+                f"last_candle_directions_sum_{n}": total, f"sequence_entropy_{n}": R.direction_entropy(s, "_dir", n), f"pattern_embedding_{n}": safe_div(total, F.lit(float(n))), f"nbar_return_path_{n}": safe_div(C - past, past)}
+        if n <= 20:
+            out |= {f"seq_last_returns_{n}": R.padded_list(s, "_lr", n), f"seq_last_candle_directions_{n}": R.padded_list(s, "_dir", n),
+                    f"seq_last_candles_norm_{n}": R.padded_matrix(s, ["_o", "_h", "_l", "_c", f"_v_{n}"], n)}
+    return s.add(out).result(*keys, clock, *runs, *out)
+
+
 def scores(s: Seq, n: int) -> Seq:
     """Stops, targets and composite scores over the columns of the other families."""
     O, H, L, C, V = bar_columns()
@@ -347,7 +408,7 @@ def enriched(df: DataFrame, keys: Sequence[str], clock: str, horizons: Sequence[
         for family in (returns, volatility, trend, momentum, reversion, volume, liquidity, levels, structure, directional, squeeze, statistics, risk, regimes, scores, patterns):
             s = family(s, n)
     if len(horizons) > 1:
-        s = cross_horizon(s, horizons[0], horizons[-1])
+        s = long_horizon(cross_horizon(s, horizons[0], horizons[-1]), horizons)
     s = s.add(calendar_columns(clock))
     d = s.result()
     return d.select(*[x for x in d.columns if not x.startswith("_")])

@@ -160,6 +160,19 @@ def sign_entropy(s, x, n):
     return F.when(count >= n, out)
 
 
+def direction_entropy(s, x, n):
+    """Entropy of a histogram of the window's signs (-1, 0, 1) in max(2, rows // 2) bins, over the log of the bins used; -1 where one bin holds all, 0 for one row."""
+    w, sg = s.rows(-(n - 1), 0), c(x)
+    count = F.count(sg).over(w)
+    down, flat, up = (F.sum(ind(sg == v)).over(w) for v in (-1.0, 0.0, 1.0))
+    joined = (count < 6) & (down > 0) & (up > 0)  # two bins: the middle goes with the upper one
+    parts = down, F.when(joined, F.lit(0.0)).otherwise(flat), F.when(joined, flat + up).otherwise(up)
+    eps = F.lit(1e-12)
+    total = sum((F.when(p > 0, p / count * F.ln(p / count + eps)).otherwise(0.0) for p in parts), F.lit(0.0))
+    used = sum((F.when(p > 0, 1.0).otherwise(0.0) for p in parts), F.lit(0.0))
+    return F.when(count >= 2, -total / F.ln(used + eps)).when(count == 1, F.lit(0.0))
+
+
 def skewness(s, x, n):
     """Bias-corrected skewness over a full window, from the population form."""
     w, x = s.rows(-(n - 1), 0), c(x)

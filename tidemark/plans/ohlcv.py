@@ -143,12 +143,50 @@ def trend_consistency(spark, folder):
     return s.result("symbol", "bar", "up_share", F.when(F.col("up_share") > 0.55, "UP").when(F.col("up_share") < 0.45, "DOWN").otherwise("CHOP").alias("regime"))
 
 
-@query("enriched_features", "H1 H6 H8 H15 H24 H26 H27 H29 H31 H33 H34 H35 H52 H53")
+@query("enriched_features", "H6 H8 H15 H26 H27")
 def enriched_features(spark, folder):
-    """The whole feature table for one horizon."""
+    """All families for one horizon."""
     return X.enriched(bars(spark, folder), ["symbol"], "bar", (10,), bound=HOURS)
 
 
+_LONG = (10, 20, 50, 200)
+_EWM = lambda n: f"list_reduce(cl, lambda a, b: a + (b - a) * 2 / {n + 1}.0)"
+_LH = f"""WITH {_BASE}, a AS (SELECT symbol, bar, c, i, {_EWM(20)} AS e20, {_EWM(50)} AS e50, lag(c, 720) OVER {_O} AS c720, lag(c, 168) OVER {_O} AS c168, sum(coalesce(sign(d), 0) * v) OVER (PARTITION BY symbol ORDER BY bar ROWS UNBOUNDED PRECEDING) AS obv,
+ {', '.join(f"{_G('avg(c)', 'c', n)} AS m{n}, {_G('stddev_samp(lr)', 'lr', n)} AS s{n}" for n in _LONG)} FROM (SELECT *, list(c) OVER (PARTITION BY symbol ORDER BY bar ROWS UNBOUNDED PRECEDING) AS cl FROM f1)),
+b AS (SELECT *, list(s200) OVER {_R(200)} AS hs, count(*) OVER {_R(200)} AS rows200 FROM a)
+SELECT symbol, bar, {', '.join(f"{_SD(f's{n}', 's200')} AS volatility_ratio_{n}_200, {_SD(f'm{n} - m200', 'm200')} AS ma_spread_{n}_200, CASE WHEN m{n} > m200 THEN 1.0 ELSE 0 END AS moving_average_crossover_{n}_200" for n in _LONG[:-1])},
+ CASE WHEN e20 > e50 THEN 1.0 ELSE 0 END AS fast_ema_cross, (CASE WHEN c > m200 THEN 1.0 ELSE 0 END + CASE WHEN m20 > m50 THEN 1 ELSE 0 END + CASE WHEN m50 > m200 THEN 1 ELSE 0 END) / 3 AS long_term_trend_score,
+ {_SD('c - c720', 'c720')} AS monthly_trend, {_SD('c - c168', 'c168')} AS weekly_trend, CASE WHEN c > m200 THEN 1.0 ELSE -1 END AS sma_200_regime,
+ CASE WHEN len(list_filter(hs, lambda q: q IS NOT NULL)) > 0 THEN len(list_filter(hs, lambda q: q <= s200)) / rows200 END AS long_term_volatility_percentile, {_G('coalesce(regr_slope(obv, i), 0)', 'obv', 200).replace('coalesce(regr_slope(obv, i), 0) OVER ' + _R(200), 'coalesce(regr_slope(obv, i) OVER ' + _R(200) + ', 0)')} AS long_term_volume_trend FROM b"""
+
+
+@query("cross_horizon_features", "H24", _LH, " ".join(f"volatility_ratio_{n}_200 ma_spread_{n}_200 moving_average_crossover_{n}_200" for n in _LONG[:-1]) + " fast_ema_cross long_term_trend_score monthly_trend weekly_trend sma_200_regime long_term_volatility_percentile long_term_volume_trend", digits=4)
+def cross_horizon_features(spark, folder):
+    return X.long_horizon_table(bars(spark, folder), ["symbol"], "bar", _LONG, HOURS)
+
+
+def _entropy_sql(n: int) -> str:
+    k = f"count(g) OVER {_R(n)}"
+    share = lambda v: f"(sum(CASE WHEN g = {v} THEN 1.0 ELSE 0 END) OVER {_R(n)})"
+    both = f"{k} < 6 AND {share(-1)} > 0 AND {share(1)} > 0"
+    parts = share(-1), f"(CASE WHEN {both} THEN 0 ELSE {share(0)} END)", f"(CASE WHEN {both} THEN {share(0)} + {share(1)} ELSE {share(1)} END)"
+    total = " + ".join(f"CASE WHEN {p} > 0 THEN {p} / {k} * ln({p} / {k} + 1e-12) ELSE 0 END" for p in parts)
+    used = " + ".join(f"CASE WHEN {p} > 0 THEN 1 ELSE 0 END" for p in parts)
+    return f"CASE WHEN {k} >= 2 THEN -({total}) / ln({used} + 1e-12) ELSE 0 END"
+
+
+_RUN = lambda cond: f"CAST(i - coalesce(max(CASE WHEN NOT coalesce({cond}, false) THEN i END) OVER {_O}, 0) AS BIGINT)"
+_PAD = lambda x, n, zero="0.0::DOUBLE": f"list_concat(list_transform(range({n} - len(list({x}) OVER {_R(n)})), lambda q: {zero}), list({x}) OVER {_R(n)})"
+_SQ = f"""WITH {_BASE}, g AS (SELECT *, sign(c - o) AS g, lag(v) OVER {_O} AS pv, lag(rg) OVER {_O} AS prg, {', '.join(f"{_SD('v', f'avg(v) OVER {_R(n)}')} - 1 AS v{n}, lag(c, {n}) OVER {_O} AS c{n}" for n in X.SEQUENCES)} FROM f1)
+SELECT symbol, bar, {_RUN('c > o')} AS consecutive_green_candles, {_RUN('c < o')} AS consecutive_red_candles, {_RUN('c > pc')} AS consecutive_higher_closes, {_RUN('c < pc')} AS consecutive_lower_closes, {_RUN('v > pv')} AS consecutive_volume_increase, {_RUN('rg < prg')} AS consecutive_range_contraction,
+ {', '.join(f"avg(lr) OVER {_R(n)} AS last_returns_mean_{n}, stddev_samp(lr) OVER {_R(n)} AS last_returns_std_{n}, avg(rg) OVER {_R(n)} AS last_ranges_mean_{n}, avg(v) OVER {_R(n)} AS last_volumes_mean_{n}, sum(g) OVER {_R(n)} AS last_candle_directions_sum_{n}, {_entropy_sql(n)} AS sequence_entropy_{n}, sum(g) OVER {_R(n)} / ({n} + 1e-12) AS pattern_embedding_{n}, {_SD(f'c - c{n}', f'c{n}')} AS nbar_return_path_{n}, {_PAD('coalesce(lr, 0)', n)} AS seq_last_returns_{n}, {_PAD('g::DOUBLE', n)} AS seq_last_candle_directions_{n}, {_PAD(f"[{_SD('o', 'c')} - 1, {_SD('h', 'c')} - 1, {_SD('l', 'c')} - 1, c * 0, v{n}]", n, '[0.0::DOUBLE, 0, 0, 0, 0]')} AS seq_last_candles_norm_{n}" for n in X.SEQUENCES)} FROM g"""
+
+
+@query("sequence_features", "H29", _SQ, " ".join(f"{k}_{n}" for n in X.SEQUENCES for k in ("last_returns_mean", "last_returns_std", "last_ranges_mean", "last_volumes_mean", "last_candle_directions_sum", "sequence_entropy", "pattern_embedding", "nbar_return_path")))
+def sequence_features(spark, folder):
+    return X.candle_sequences(bars(spark, folder), ["symbol"], "bar", 60 * DAY_US, bound=HOURS)
+
+
 @query("asymmetric_features", "H37 H38 H39 H40 H42", f"""WITH {_BASE}, y AS (SELECT *, CASE WHEN lr > 0 THEN v ELSE 0 END AS uv, CASE WHEN lr < 0 THEN v ELSE 0 END AS dnv, avg(v) OVER {_R(20)} AS v20 FROM f1) SELECT symbol, bar, (sum(uv) OVER {_R(12)} - sum(dnv) OVER {_R(12)}) / nullif(sum(v) OVER {_R(12)}, 0) AS volume_delta,
  sum(CASE WHEN v > 2 * v20 AND lr < 0 THEN 1.0 ELSE 0 END) OVER {_R(12)} AS long_flush, sum(CASE WHEN v > 2 * v20 AND lr > 0 THEN 1.0 ELSE 0 END) OVER {_R(12)} AS short_squeeze, c / min(l) OVER {_R(12)} - 1 AS rebound, c / max(h) OVER {_R(12)} - 1 AS fade FROM y""", "volume_delta long_flush short_squeeze rebound fade", digits=5)
 def asymmetric_features(spark, folder):
