@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.scalars import c
+from tidemark.operators import rolling as R
 from tidemark.operators.asof import DAY_US, cumulative_at, window_sums
-from tidemark.operators.blocks import BLK, BLOCK_ROWS, CORE, running_total, sequence
+from tidemark.operators.blocks import BLK, BLOCK_ROWS, CORE, Seq, running_total, sequence
 from tidemark.session import pin
 
 ANCHOR = "anchor"
+#: Least flow rank, largest change of open interest, and least residual in standard deviations of a forced-flow reversal.
+FLOW_RANK, OI_DROP, SHOCK = 0.95, -0.05, 2.5
 
 
 def _next(t: np.ndarray, start: np.ndarray | int, gap: int, strict: bool) -> np.ndarray:
@@ -135,3 +138,21 @@ def other_names_within(df: DataFrame, name: str, clock: str, span: int, out: str
 
 def zone(p: Column, tau_a: Column, tau_b: Column) -> Column:
     return F.when(p >= tau_a, "A").when(p >= tau_b, "B").otherwise("C")
+
+
+def forced_flow(s: Seq, signed_volume: str, oi_change: str, residual: str, window: int, rank: float = FLOW_RANK, drop: float = OI_DROP, shock: float = SHOCK,
+                liquidations: str | None = None, feed: str | None = None, out: str = "forced_flow") -> Seq:
+    """Flag rows of extreme flow, falling open interest and a price shock; also ``flow_rank``.
+
+    Ranks and deviations are over the ``window`` rows strictly before, all of which must be present. Where ``feed``
+    is true the rank of ``liquidations`` (missing as 0) takes the place of the flow's.
+    """
+    cols = {"_flow": F.abs(signed_volume)} | ({"_liq": F.coalesce(F.col(liquidations), F.lit(0.0))} if liquidations else {})
+    s = s.add(cols)
+    place = R.prior_rank_share(s, "_flow", window)
+    if liquidations:
+        place = F.when(F.coalesce(F.col(feed), F.lit(False)), R.prior_rank_share(s, "_liq", window)).otherwise(place)
+    s = s.add({"flow_rank": place, "_sd": R.prior(s, F.stddev_samp, residual, window)})
+    hit = (F.col("flow_rank") >= rank) & (F.col(oi_change) <= drop) & (F.abs(residual) >= shock * F.col("_sd"))
+    s = s.add({out: F.coalesce(hit, F.lit(False))})
+    return Seq(s.df.drop("_sd", *cols), s.keys, s.order, s.single)

@@ -10,7 +10,7 @@ from tidemark.operators import rolling as R
 from tidemark.operators.asof import asof_join
 from tidemark.operators.blocks import DAYS, sequence
 from tidemark.operators.crosssection import exact_quantiles
-from tidemark.operators.events import cooldown, zone
+from tidemark.operators.events import FLOW_RANK, OI_DROP, SHOCK, cooldown, forced_flow, zone
 from tidemark.operators.resample import HOUR_US
 from tidemark.plans.registry import query
 from tidemark.plans.tables import BARS, DAY_US, DECISIONS, PANEL, bars, decisions, panel
@@ -50,12 +50,25 @@ def crowding(spark, folder):
     return cooldown(d, ["symbol"], "day", 3)
 
 
-@query("forced_flow_reversal", "K5", _kept(_DERIV + """, t AS (SELECT symbol, day, resid, vrank FROM z WHERE vrank >= 0.9 AND doi <= -0.05 AND abs(resid) >= 1.0 * sd)""", 5), "resid vrank")
+@query("forced_flow_reversal", "", _kept(_DERIV + """, t AS (SELECT symbol, day, resid, vrank FROM z WHERE vrank >= 0.9 AND doi <= -0.05 AND abs(resid) >= 1.0 * sd)""", 5), "resid vrank")
 def forced_flow_reversal(spark, folder):
+    """A looser screen on total volume; K5 with the thresholds of the original is ``forced_flow_events``."""
     d = derivative_panel(spark, folder).where("vrank >= 0.9 and doi <= -0.05 and abs(resid) >= 1.0 * sd").select("symbol", "day", "resid", "vrank")
     return cooldown(d, ["symbol"], "day", 5)
 
 
+_FORCED = f"""{_MKT}, y AS (SELECT day, symbol, r - m AS resid, abs(2 * tbq - qv) AS fl, oi / lag(oi) OVER {_SYM} - 1 AS doi, list(abs(2 * tbq - qv)) OVER p AS hf, CASE WHEN count(r - m) OVER p = 30 THEN stddev_samp(r - m) OVER p END AS sd FROM x WINDOW p AS {_PW(30, '1 PRECEDING')}),
+z AS (SELECT *, CASE WHEN len(hf) = 30 THEN len(list_filter(hf, lambda q: q <= fl)) / 30.0 END AS flow_rank FROM y)"""
+
+
+@query("forced_flow_events", "K5", _kept(_FORCED + f""", t AS (SELECT symbol, day, resid, flow_rank FROM z WHERE flow_rank >= {FLOW_RANK} AND doi <= {OI_DROP} AND abs(resid) >= {SHOCK} * sd)""", 5), "resid flow_rank")
+def forced_flow_events(spark, folder):
+    s = market_panel(spark, folder, 32)
+    s = s.add({"resid": F.col("r") - F.col("m"), "signed": 2 * F.col("tbq") - F.col("qv"), "doi": R.pct_change(s, "oi")})
+    d = forced_flow(s, "signed", "doi", "resid", 30).result("symbol", "day", "resid", "flow_rank", "forced_flow")
+    return cooldown(d.where("forced_flow").drop("forced_flow"), ["symbol"], "day", 5)
+
+
 _OIZ = f"""{_MKT}, y AS (SELECT *, oi / lag(oi, 3) OVER {_SYM} - 1 AS d3, close / lag(close, 3) OVER {_SYM} - 1 AS p3, ratio2 AS tt, 2 * tbq / qv - 1 AS tk, 1e4 * (close / spot - 1) AS prem FROM x),
 z AS (SELECT *, CASE WHEN count(d3) OVER p >= 20 THEN (d3 - avg(d3) OVER p) / nullif(stddev_samp(d3) OVER p, 0) END AS zd, CASE WHEN count(tt) OVER p >= 20 THEN (tt - avg(tt) OVER p) / nullif(stddev_samp(tt) OVER p, 0) END AS zt,
  CASE WHEN count(tk) OVER p >= 20 THEN (tk - avg(tk) OVER p) / nullif(stddev_samp(tk) OVER p, 0) END AS zk, CASE WHEN count(prem) OVER p >= 20 THEN (prem - avg(prem) OVER p) / nullif(stddev_samp(prem) OVER p, 0) END AS zp FROM y WINDOW p AS {_PW(30, '1 PRECEDING')})"""
