@@ -35,7 +35,7 @@ def ohlcv_coarser(spark, folder):
     return d.select("symbol", "bar", "open", "high", "low", "close", "volume", "quote_volume", "trades", "taker_buy_base")
 
 
-@query("completed_context", "D5 D6 H32", f"""WITH {BARS}, h AS (SELECT symbol, bar - bar % {4 * HOUR_US} AS hbar, arg_max(close, bar) AS hc, max(high) AS hh, min(low) AS hl FROM bars GROUP BY 1, 2),
+@query("completed_context", "D5 H32", f"""WITH {BARS}, h AS (SELECT symbol, bar - bar % {4 * HOUR_US} AS hbar, arg_max(close, bar) AS hc, max(high) AS hh, min(low) AS hl FROM bars GROUP BY 1, 2),
 f AS (SELECT symbol, hbar + {4 * HOUR_US} AS done, hc / lag(hc) OVER w - 1 AS ret4h, (hc - min(hl) OVER (PARTITION BY symbol ORDER BY hbar ROWS 5 PRECEDING)) AS over_low FROM h WINDOW w AS (PARTITION BY symbol ORDER BY hbar))
 SELECT b.symbol, b.bar, f.ret4h, f.over_low FROM bars b ASOF LEFT JOIN f ON b.symbol = f.symbol AND b.bar >= f.done""", "ret4h over_low")
 def completed_context(spark, folder):

@@ -137,7 +137,7 @@ def episode_starts(spark, folder):
     return regimes(spark, folder).where("starts and regime <> 'NONE'").select("symbol", "day", "regime")
 
 
-@query("regime_entries", "K18 K19 O13 O15", _kept(_REG, 10))
+@query("regime_entries", "K18 K19 O15", _kept(_REG, 10))
 def regime_entries(spark, folder):
     d = regimes(spark, folder).where("starts and regime <> 'NONE'").select("symbol", "day", "regime")
     return cooldown(d, ["symbol"], "day", 10)

@@ -16,7 +16,7 @@ from tidemark.streaming import core as S
 _SYM = "'S' || lpad(CAST(user_id % 16 AS VARCHAR), 2, '0')"
 
 
-@query("partitioned_upsert", "A1 A2 A3 A4 A5 A18 A19", f"WITH {TICKS} SELECT event_id, symbol, CASE WHEN event_id % 3 = 0 THEN price + 1 ELSE price END AS price, qty, ts_us FROM ticks", "price")
+@query("partitioned_upsert", "A1 A2 A3 A4 A5 A19", f"WITH {TICKS} SELECT event_id, symbol, CASE WHEN event_id % 3 = 0 THEN price + 1 ELSE price END AS price, qty, ts_us FROM ticks", "price")
 def partitioned_upsert(spark, folder):
     t = ticks(spark, folder).select("event_id", "symbol", "price", "qty", "ts_us", F.floor(F.col("ts_us") / (10 * DAY_US)).alias("decade"))
     path = sinks.scratch(spark, "tree")
@@ -47,7 +47,7 @@ def event_lines(spark, folder):
     return readers.events(spark, f"{path}/*", _EVENT, "ts_us", 1_704_585_600_000_000)
 
 
-@query("kline_rows", "A11 A12 A13", f"WITH {BARS} SELECT symbol, bar, open, high, low, close, volume, quote_volume, trades FROM bars", "open high low close volume quote_volume trades", digits=4)
+@query("kline_rows", "A12 A13", f"WITH {BARS} SELECT symbol, bar, open, high, low, close, volume, quote_volume, trades FROM bars", "open high low close volume quote_volume trades", digits=4)
 def kline_rows(spark, folder):
     b = bars(spark, folder)
     s = lambda x: F.col(x).cast("string")
@@ -87,7 +87,7 @@ def part_manifest(spark, folder):
     return sinks.append_part(t, sinks.scratch(spark, "manifest"), "trades", "ts_us", "received").select("stream", "n_rows", "first", "last")
 
 
-@query("file_fingerprints", "A23 A24")
+@query("file_fingerprints", "A23")
 def file_fingerprints(spark, folder):
     f = readers.fingerprints(spark, folder)
     name = F.element_at(F.split("path", "/"), -1)
@@ -172,7 +172,7 @@ def stream_suppressed_triggers(spark, folder):
     return S.drain(S.suppressed_triggers(tick_stream(spark, folder).where("kind = 'error'"), "symbol", "ts_us", 6 * HOUR_US))
 
 
-@query("stream_sequence_gaps", "S5 S6", f"WITH {TICKS}, g AS (SELECT symbol, ts_us, event_id, event_id - lag(event_id) OVER (PARTITION BY symbol ORDER BY ts_us, event_id) - 1 AS hole FROM ticks) SELECT symbol, ts_us, event_id, hole FROM g WHERE hole <> 0")
+@query("stream_sequence_gaps", "S5", f"WITH {TICKS}, g AS (SELECT symbol, ts_us, event_id, event_id - lag(event_id) OVER (PARTITION BY symbol ORDER BY ts_us, event_id) - 1 AS hole FROM ticks) SELECT symbol, ts_us, event_id, hole FROM g WHERE hole <> 0")
 def stream_sequence_gaps(spark, folder):
     return S.drain(S.sequence_gaps(tick_stream(spark, folder), "symbol", "ts_us", "event_id"))
 

@@ -92,7 +92,7 @@ def placebo_time_shuffle(spark, folder):
     return S.null_summary(null, d.agg(F.avg(F.col("gross_bps") * F.col("side")).alias("m")), [], "m")
 
 
-@query("placebo_symbol_shuffle", "N28 N31", f"""WITH {DECISIONS}, p AS (SELECT ts_us, gross_bps AS f, row_number() OVER (PARTITION BY ts_us ORDER BY id) - 1 AS rn FROM decisions), z AS (SELECT ts_us, count(*) AS size FROM p GROUP BY 1), r AS (SELECT unnest(range(8)) AS rep),
+@query("placebo_symbol_shuffle", "N28", f"""WITH {DECISIONS}, p AS (SELECT ts_us, gross_bps AS f, row_number() OVER (PARTITION BY ts_us ORDER BY id) - 1 AS rn FROM decisions), z AS (SELECT ts_us, count(*) AS size FROM p GROUP BY 1), r AS (SELECT unnest(range(8)) AS rep),
 dd AS (SELECT rep, side, d.ts_us, {_DRAW("'13'", 'rep', 'id')} % size AS rn FROM decisions d JOIN z ON z.ts_us = d.ts_us CROSS JOIN r), nul AS (SELECT rep, avg(p.f * side) AS nm FROM dd JOIN p ON p.ts_us = dd.ts_us AND p.rn = dd.rn GROUP BY rep)
 """ + _NULL("nul", "(SELECT avg(gross_bps * side) FROM decisions)"), "observed null_average percentile p")
 def placebo_symbol_shuffle(spark, folder):
@@ -126,7 +126,7 @@ def _features(spark, folder):
     return s.add({"f1": R.lag(s, "r", -1), "f4": R.lag(s, "r", -4), "past": R.lag(s, "r"), "nv": R.lag(s, "volume", -1)}).result("symbol", "bar", "r", "volume", "f1", "f4", "past", "nv")
 
 
-@query("ic_decay", "N2 N9 N10 N11 N14", f"""WITH {_FEAT}, u AS (SELECT symbol, 'f1' AS horizon, volume AS v, f1 AS t, past FROM y UNION ALL SELECT symbol, 'f4', volume, f4, past FROM y), k AS (SELECT symbol, horizon, past, {_RK('v', 'symbol, horizon')} AS a, {_RK('t', 'symbol, horizon')} AS b FROM u WHERE t IS NOT NULL),
+@query("ic_decay", "N2 N9 N14", f"""WITH {_FEAT}, u AS (SELECT symbol, 'f1' AS horizon, volume AS v, f1 AS t, past FROM y UNION ALL SELECT symbol, 'f4', volume, f4, past FROM y), k AS (SELECT symbol, horizon, past, {_RK('v', 'symbol, horizon')} AS a, {_RK('t', 'symbol, horizon')} AS b FROM u WHERE t IS NOT NULL),
 k2 AS (SELECT symbol, horizon, CASE WHEN past > 0 THEN 'up' ELSE 'down' END AS regime, v, t FROM u WHERE t IS NOT NULL AND past IS NOT NULL), k3 AS (SELECT symbol, horizon, regime, {_RK('v', 'symbol, horizon, regime')} AS a, {_RK('t', 'symbol, horizon, regime')} AS b FROM k2)
 SELECT symbol, horizon, 'all' AS regime, count(*) AS n, corr(a, b) AS ic FROM k GROUP BY 1, 2 UNION ALL SELECT symbol, horizon, regime, count(*), corr(a, b) FROM k3 GROUP BY 1, 2, 3""", "ic")
 def ic_decay(spark, folder):
@@ -222,7 +222,7 @@ def cscv_overfitting(spark, folder):
     return S.cscv(d.join(days.select("day", block.alias("b")), "day"), "symbol", "b", "gross_bps", 8)
 
 
-@query("purged_folds", "N39 N40 N41", f"""WITH {PANEL}, u AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT day FROM panel)), f AS (SELECT unnest(range(4)) AS fold), b AS (SELECT DISTINCT fold, n // 5 * (fold + 1) AS t0, n // 5 * (fold + 2) AS t1 FROM u CROSS JOIN f)
+@query("purged_folds", "N39 N40", f"""WITH {PANEL}, u AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT day FROM panel)), f AS (SELECT unnest(range(4)) AS fold), b AS (SELECT DISTINCT fold, n // 5 * (fold + 1) AS t0, n // 5 * (fold + 2) AS t1 FROM u CROSS JOIN f)
 SELECT fold, count(*) FILTER (i < t0 - 30) AS n_train, count(*) FILTER (i >= t0 AND i < t1) AS n_test, min(day) FILTER (i >= t0 AND i < t1) AS test_from, max(day) FILTER (i < t0 - 30) AS train_to FROM u CROSS JOIN b GROUP BY fold""")
 def purged_folds(spark, folder):
     u = number_rows(panel(spark, folder).select("day").distinct().withColumn("g", F.lit(0)), ["g"], ["day"], 10_000)
@@ -282,7 +282,7 @@ def correlation_matrix(spark, folder):
     return S.correlation_pairs(d, "day", "symbol", "r")
 
 
-@query("correlation_clusters", "N48 G24", f"""WITH RECURSIVE {_ZC}, g AS (SELECT a, b FROM pr WHERE abs(r) >= 0.03 AND a <> b), c AS (SELECT symbol AS node, symbol AS reach FROM nm UNION SELECT c.node, g.b FROM c JOIN g ON g.a = c.reach) SELECT node, min(reach) AS label FROM c GROUP BY node""")
+@query("correlation_clusters", "N48", f"""WITH RECURSIVE {_ZC}, g AS (SELECT a, b FROM pr WHERE abs(r) >= 0.03 AND a <> b), c AS (SELECT symbol AS node, symbol AS reach FROM nm UNION SELECT c.node, g.b FROM c JOIN g ON g.a = c.reach) SELECT node, min(reach) AS label FROM c GROUP BY node""")
 def correlation_clusters(spark, folder):
     d = market_panel(spark, folder, 0).result("day", "symbol", "r").where("r is not null")
     pairs = S.correlation_pairs(d, "day", "symbol", "r")
@@ -294,7 +294,7 @@ dd AS (SELECT symbol, rep, size, unnest(range(CAST(ceil(size / {block}.0) AS BIG
 b AS (SELECT ix.symbol, rep, exp(sum(l) * 365.0 / max(size)) - 1 AS a FROM ix JOIN p ON p.symbol = ix.symbol AND p.rn = st + o WHERE dno * {block} + o < size GROUP BY 1, 2) SELECT symbol, quantile_cont(a, 0.05) AS lcb FROM b GROUP BY symbol"""
 
 
-@query("bootstrap_lower_bound", "N49 N52", _BOOT(1), "lcb")
+@query("bootstrap_lower_bound", "N49", _BOOT(1), "lcb")
 def bootstrap_lower_bound(spark, folder):
     d = daily(spark, folder).withColumn("ret", F.col("p") / 10_000)
     return S.bootstrap_lower(d, ["symbol"], ["day"], "ret", 40, 3, 10_000)
@@ -482,7 +482,7 @@ def walk_forward_scores(spark, folder):
     return out
 
 
-@query("sleeve_admission", "N77 N61", None)
+@query("sleeve_admission", "N77", None)
 def sleeve_admission(spark, folder):
     d = market_panel(spark, folder, 0).result("day", "symbol", "r").where("r is not null")
     score = d.groupBy("symbol").agg(div(F.avg("r"), F.stddev_samp("r")).alias("score"))

@@ -185,7 +185,7 @@ def holding_funding_cost(spark, folder):
     return d.select("event_id", (-paid).alias("long_cost"), paid.alias("short_cost"))
 
 
-@query("plane_merge", "C18 J20", f"""WITH {BARS} SELECT b.symbol, b.bar, b.close, f.volume AS flow_volume, f.trades AS flow_trades FROM bars b LEFT JOIN (SELECT symbol, bar, volume, trades FROM bars WHERE trades > 1) f
+@query("plane_merge", "C18", f"""WITH {BARS} SELECT b.symbol, b.bar, b.close, f.volume AS flow_volume, f.trades AS flow_trades FROM bars b LEFT JOIN (SELECT symbol, bar, volume, trades FROM bars WHERE trades > 1) f
  ON f.symbol = b.symbol AND f.bar = b.bar""", "close flow_volume flow_trades")
 def plane_merge(spark, folder):
     from tidemark.operators.pit import merge_planes

@@ -188,7 +188,7 @@ def event_path_labels(spark, folder):
                     F.expm1(F.col("p_end") * F.col("dir")).alias("ret"), F.expm1(best).alias("mfe"), F.expm1(worst).alias("mae"), F.col("p_end").isNotNull().alias("complete"))
 
 
-@query("outcome_labels", "M35 M36 M37 O26", f"""WITH {TICKS}, q AS (SELECT * FROM ticks WHERE kind = 'view'), d AS (SELECT event_id, symbol, ts_us, ts_us + {6 * HOUR_US} AS exit_us, CASE WHEN is_sell THEN -1 ELSE 1 END AS side FROM ticks WHERE kind = 'purchase'),
+@query("outcome_labels", "M35 M36 O26", f"""WITH {TICKS}, q AS (SELECT * FROM ticks WHERE kind = 'view'), d AS (SELECT event_id, symbol, ts_us, ts_us + {6 * HOUR_US} AS exit_us, CASE WHEN is_sell THEN -1 ELSE 1 END AS side FROM ticks WHERE kind = 'purchase'),
 a AS (SELECT d.*, q.price AS p0 FROM d ASOF LEFT JOIN q ON q.symbol = d.symbol AND d.ts_us >= q.ts_us), b AS (SELECT a.*, q.price AS p1 FROM a ASOF LEFT JOIN q ON q.symbol = a.symbol AND a.exit_us >= q.ts_us),
 m AS (SELECT *, 10000 * ln(p1 / p0) AS raw FROM b), u AS (SELECT ts_us // {DAY_US} AS day, avg(raw) AS mkt FROM m GROUP BY 1)
 SELECT event_id, side * raw AS gross_bps, side * raw - 8 AS net_bps, side * (raw - mkt) AS excess_bps FROM m JOIN u ON u.day = m.ts_us // {DAY_US}""", "gross_bps net_bps excess_bps", digits=4)

@@ -33,7 +33,7 @@ def levels(spark, folder):
 _SUMQ = lambda l: f"coalesce(list_sum(list_transform({l}, lambda v: v.qty)), 0)"
 
 
-@query("book_vector", "J6 J7 J13 J35 S16", f"""WITH {_LV}, m AS (SELECT *, (bids[1].price + asks[1].price) / 2 AS mid FROM b WHERE len(bids) > 0 AND len(asks) > 0)
+@query("book_vector", "J6 J7 J35", f"""WITH {_LV}, m AS (SELECT *, (bids[1].price + asks[1].price) / 2 AS mid FROM b WHERE len(bids) > 0 AND len(asks) > 0)
 SELECT symbol, slot, mid, (asks[1].price - bids[1].price) / mid * 10000 AS spread_bps, ((asks[1].price * bids[1].qty + bids[1].price * asks[1].qty) / (bids[1].qty + asks[1].qty) / mid - 1) * 10000 AS micro_offset_bps,
  (bids[1].qty - asks[1].qty) / (bids[1].qty + asks[1].qty) AS imbalance_1, ({_SUMQ('bids[1:5]')} - {_SUMQ('asks[1:5]')}) / ({_SUMQ('bids[1:5]')} + {_SUMQ('asks[1:5]')}) AS imbalance_5,
  {_SUMQ('list_filter(bids, lambda v: abs(v.price / mid - 1) * 10000 <= 500)')} AS bid_depth, {_SUMQ('list_filter(asks, lambda v: abs(v.price / mid - 1) * 10000 <= 500)')} AS ask_depth,
@@ -112,7 +112,7 @@ _SYNC = f"""{TICKS}, g AS (SELECT DISTINCT symbol, ts_us - ts_us % {SIX} + {SIX}
 j AS (SELECT gv.*, t.price, t.ts_us, gv.slot - t.ts_us AS age FROM gv ASOF LEFT JOIN ticks t ON t.symbol = gv.symbol AND t.venue = gv.venue AND gv.slot >= t.ts_us)"""
 
 
-@query("synchronised_venues", "J1 J2 J3 J4 S7 A8", f"""WITH {_SYNC} SELECT symbol, slot, count(*) FILTER (price IS NOT NULL AND age <= {DAY_US}) AS n_ready, avg(price) FILTER (age <= {DAY_US}) AS mid, max(ts_us) FILTER (age <= {DAY_US}) - min(ts_us) FILTER (age <= {DAY_US}) AS span_us,
+@query("synchronised_venues", "J1 J3 J4 A8", f"""WITH {_SYNC} SELECT symbol, slot, count(*) FILTER (price IS NOT NULL AND age <= {DAY_US}) AS n_ready, avg(price) FILTER (age <= {DAY_US}) AS mid, max(ts_us) FILTER (age <= {DAY_US}) - min(ts_us) FILTER (age <= {DAY_US}) AS span_us,
  count(*) FILTER (price IS NULL) AS no_book, count(*) FILTER (age > {DAY_US}) AS stale FROM j GROUP BY 1, 2""", "mid")
 def synchronised_venues(spark, folder):
     t = ticks(spark, folder)
@@ -130,7 +130,7 @@ def synchronised_venues(spark, folder):
                     F.size(F.filter("v", lambda x: F.col("slot") - x["t"] > DAY_US)).cast("bigint").alias("stale"))
 
 
-@query("venue_dislocation", "J21 J22 J23 C20", f"""WITH {_SYNC}, w AS (SELECT symbol, slot, 10000 * ln(max(price) FILTER (venue = 0) / max(price) FILTER (venue = 1)) AS gap FROM j GROUP BY 1, 2), z AS (SELECT *, CASE WHEN count(gap) OVER p >= 10 THEN (gap - avg(gap) OVER p) / nullif(stddev_samp(gap) OVER p, 0) END AS z, list({{'g': gap, 's': slot}}) OVER (PARTITION BY symbol ORDER BY slot ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS f FROM w WINDOW p AS (PARTITION BY symbol ORDER BY slot ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)),
+@query("venue_dislocation", "J21 J22 C20", f"""WITH {_SYNC}, w AS (SELECT symbol, slot, 10000 * ln(max(price) FILTER (venue = 0) / max(price) FILTER (venue = 1)) AS gap FROM j GROUP BY 1, 2), z AS (SELECT *, CASE WHEN count(gap) OVER p >= 10 THEN (gap - avg(gap) OVER p) / nullif(stddev_samp(gap) OVER p, 0) END AS z, list({{'g': gap, 's': slot}}) OVER (PARTITION BY symbol ORDER BY slot ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS f FROM w WINDOW p AS (PARTITION BY symbol ORDER BY slot ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)),
 x AS (SELECT *, coalesce(list_position(list_transform(f, lambda q: q.g IS NOT NULL AND abs(q.g) <= 0.5 * abs(gap)), true), 0) AS k FROM z WHERE abs(z) >= 1 AND len(f) = 4)
 SELECT symbol, slot, gap, z, f[CASE WHEN k > 0 THEN k ELSE 4 END].s AS exit_slot, abs(gap) - sign(gap) * f[CASE WHEN k > 0 THEN k ELSE 4 END].g AS gross_bps FROM x""", "gap z gross_bps", digits=4)
 def venue_dislocation(spark, folder):
@@ -149,7 +149,7 @@ def venue_dislocation(spark, folder):
 _BND = f"""{TICKS}, b AS (SELECT symbol, ts_us // {SIX} AS slot, 100 * (1 + qty % 5) AS bps, sum(price) AS n FROM ticks WHERE NOT is_sell GROUP BY 1, 2, 3), c AS (SELECT symbol, slot, bps, sum(n) OVER (PARTITION BY symbol, slot ORDER BY bps) AS cum FROM b)"""
 
 
-@query("slippage_for_notional", "J26 J28 J29 J31", f"""WITH {_BND}, p AS (SELECT *, coalesce(lag(bps) OVER w, 0) AS b0, coalesce(lag(cum) OVER w, 0) AS c0 FROM c WINDOW w AS (PARTITION BY symbol, slot ORDER BY bps)), h AS (SELECT symbol, slot, min(bps) AS bps FROM p WHERE cum >= 60 GROUP BY 1, 2), a AS (SELECT DISTINCT symbol, slot FROM c)
+@query("slippage_for_notional", "J26", f"""WITH {_BND}, p AS (SELECT *, coalesce(lag(bps) OVER w, 0) AS b0, coalesce(lag(cum) OVER w, 0) AS c0 FROM c WINDOW w AS (PARTITION BY symbol, slot ORDER BY bps)), h AS (SELECT symbol, slot, min(bps) AS bps FROM p WHERE cum >= 60 GROUP BY 1, 2), a AS (SELECT DISTINCT symbol, slot FROM c)
 SELECT a.symbol, a.slot, b0 + (p.bps - b0) * (60 - c0) / (cum - c0) AS slippage_bps FROM a LEFT JOIN h ON h.symbol = a.symbol AND h.slot = a.slot LEFT JOIN p ON p.symbol = h.symbol AND p.slot = h.slot AND p.bps = h.bps""", "slippage_bps")
 def slippage_for_notional(spark, folder):
     t = ticks(spark, folder).where(~F.col("is_sell")).withColumns({"slot": F.floor(F.col("ts_us") / SIX), "bps": 100 * (1 + F.col("qty") % 5)})
@@ -170,7 +170,7 @@ def trade_spread_proxy(spark, folder):
     return d.select("symbol", "slot", "mid", F.greatest(F.col("gap") / F.col("mid") * 1e4, F.lit(0.0)).alias("spread_bps"), F.when(F.col("n") >= 20, F.col("q90")).alias("p90"))
 
 
-@query("capacity_policy", "J32 J33", f"""WITH {DECISIONS}, l AS (SELECT symbol, sum(abs(gross_bps)) AS vol, max(abs(gross_bps)) AS top, count(*) AS oi FROM decisions GROUP BY 1) SELECT d.id, CASE tier WHEN '1-URGENT' THEN oi * 0.01 WHEN '2-HIGH' THEN top WHEN '3-MEDIUM' THEN vol * 6 / 24.0 * 0.05 END AS notional FROM decisions d LEFT JOIN l ON l.symbol = d.symbol""", "notional")
+@query("capacity_policy", "J33", f"""WITH {DECISIONS}, l AS (SELECT symbol, sum(abs(gross_bps)) AS vol, max(abs(gross_bps)) AS top, count(*) AS oi FROM decisions GROUP BY 1) SELECT d.id, CASE tier WHEN '1-URGENT' THEN oi * 0.01 WHEN '2-HIGH' THEN top WHEN '3-MEDIUM' THEN vol * 6 / 24.0 * 0.05 END AS notional FROM decisions d LEFT JOIN l ON l.symbol = d.symbol""", "notional")
 def capacity_policy(spark, folder):
     d = decisions(spark, folder)
     size = F.abs("gross_bps")
@@ -229,7 +229,7 @@ _BOOKU = f"""{TICKS}, u AS (SELECT event_id, symbol, ts_us, ts_us // {DAY_US} AS
 sn AS (SELECT symbol, slot, max(ts_us) AS snap FROM u WHERE action = 'snapshot' GROUP BY 1, 2), g AS (SELECT symbol, unnest(generate_series(min(slot), max(slot))) AS slot FROM u GROUP BY symbol), ls AS (SELECT g.symbol, g.slot, sn.snap FROM g ASOF JOIN sn ON sn.symbol = g.symbol AND g.slot >= sn.slot)"""
 
 
-@query("order_book_replay", "F21 S5 S6", f"""WITH {_BOOKU}, r AS (SELECT ls.symbol, ls.slot, u.is_sell, u.level, arg_max(u.qty, (u.ts_us, u.event_id)) AS qty, arg_max(u.action, (u.ts_us, u.event_id)) AS action FROM ls JOIN u ON u.symbol = ls.symbol AND u.slot <= ls.slot AND u.ts_us >= ls.snap GROUP BY 1, 2, 3, 4)
+@query("order_book_replay", "F21 S5", f"""WITH {_BOOKU}, r AS (SELECT ls.symbol, ls.slot, u.is_sell, u.level, arg_max(u.qty, (u.ts_us, u.event_id)) AS qty, arg_max(u.action, (u.ts_us, u.event_id)) AS action FROM ls JOIN u ON u.symbol = ls.symbol AND u.slot <= ls.slot AND u.ts_us >= ls.snap GROUP BY 1, 2, 3, 4)
 SELECT symbol, slot, is_sell, level, qty FROM r WHERE action <> 'remove' AND qty > 0""", "level")
 def order_book_replay(spark, folder):
     i = F.col("event_id")
@@ -287,7 +287,7 @@ def volume_trust_table(spark, folder):
     return d.select("symbol", (F.col("p10") / F.col("p50")).alias("floor_ratio"), "coupling", F.log10("p50").alias("log_volume"), "zero_range")
 
 
-@query("volume_trust", "I32 I33", f"WITH {_VT} SELECT * FROM f", "floor_ratio coupling log_volume zero_range")
+@query("volume_trust", "I32", f"WITH {_VT} SELECT * FROM f", "floor_ratio coupling log_volume zero_range")
 def volume_trust(spark, folder):
     return volume_trust_table(spark, folder)
 
@@ -312,7 +312,7 @@ def venue_control(spark, folder):
                                    F.sqrt(F.var_samp("va") / n + F.var_samp("vb") / n).alias("se"))
 
 
-@query("pre_event_features", "I37 I38 I39 S15", f"""WITH {BARS}, e AS (SELECT event_id, symbol, ts_us FROM ticks WHERE kind = 'error'), j AS (SELECT e.event_id, e.ts_us, b.bar, b.close, b.high, b.low, b.volume FROM e JOIN bars b ON b.symbol = e.symbol AND b.bar + {HOUR_US} <= e.ts_us AND b.bar >= e.ts_us - {3 * DAY_US})
+@query("pre_event_features", "I37 I38 I39", f"""WITH {BARS}, e AS (SELECT event_id, symbol, ts_us FROM ticks WHERE kind = 'error'), j AS (SELECT e.event_id, e.ts_us, b.bar, b.close, b.high, b.low, b.volume FROM e JOIN bars b ON b.symbol = e.symbol AND b.bar + {HOUR_US} <= e.ts_us AND b.bar >= e.ts_us - {3 * DAY_US})
 SELECT event_id, count(*) AS n, CASE WHEN count(*) >= 6 THEN arg_max(close, bar) / arg_min(close, bar) - 1 END AS ret, max(high) / min(low) - 1 AS range_ratio, avg(volume) FILTER (bar >= ts_us - {DAY_US}) / nullif(median(volume), 0) AS anticipation FROM j GROUP BY 1""", "ret range_ratio anticipation")
 def pre_event_features(spark, folder):
     from tidemark.operators.asof import interval_pairs

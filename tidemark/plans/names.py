@@ -93,7 +93,7 @@ def universe_count(spark, folder):
     return d.where("n >= 5")
 
 
-@query("causal_universe", "G11 N56", f"""WITH {PANEL}, a AS (SELECT day, symbol, CASE WHEN count(qv) OVER w = 20 THEN median(qv) OVER w END AS adv, count(close) OVER (PARTITION BY symbol ORDER BY day ROWS 89 PRECEDING) AS alive FROM panel WINDOW w AS {_PW(19)}),
+@query("causal_universe", "G11", f"""WITH {PANEL}, a AS (SELECT day, symbol, CASE WHEN count(qv) OVER w = 20 THEN median(qv) OVER w END AS adv, count(close) OVER (PARTITION BY symbol ORDER BY day ROWS 89 PRECEDING) AS alive FROM panel WINDOW w AS {_PW(19)}),
 l AS (SELECT *, CASE WHEN alive >= 81 THEN adv END AS a2 FROM a)
 SELECT day, symbol, a2 AS adv, row_number() OVER (PARTITION BY day, a2 IS NOT NULL ORDER BY a2 DESC, symbol) AS rk, row_number() OVER (PARTITION BY day, a2 IS NOT NULL ORDER BY a2 DESC, symbol) <= 10 AND a2 >= 40000 AS eligible FROM l WHERE a2 IS NOT NULL""", "adv")
 def causal_universe(spark, folder):
@@ -270,7 +270,7 @@ def open_interest_signals(spark, folder):
     return d.select("day", "symbol", "growth", (-centred_rank("g7", "day")).alias("growth_x"), "z60", "newlong", "vs_volume", "capitulation", "quadrant")
 
 
-@query("ratio_signals", "I8 I10 J24", f"""WITH {PANEL}, y AS (SELECT *, round(ratio / lag(ratio, 7) OVER {_SYM}, 9) AS q7, round(ratio2 / lag(ratio2, 7) OVER {_SYM}, 9) AS p7 FROM panel)
+@query("ratio_signals", "I8 I10", f"""WITH {PANEL}, y AS (SELECT *, round(ratio / lag(ratio, 7) OVER {_SYM}, 9) AS q7, round(ratio2 / lag(ratio2, 7) OVER {_SYM}, 9) AS p7 FROM panel)
 SELECT day, symbol, -{_Z60('ratio')} AS lvl, -{_XR('ratio')} AS x, -(q7 - 1) AS chg7, {_XR('ratio2')} - {_XR('ratio')} AS smart_dumb, {_XR('p7')} - {_XR('q7')} AS smart_dumb_chg7 FROM y""", "lvl x chg7 smart_dumb smart_dumb_chg7", digits=5)
 def ratio_signals(spark, folder):
     s = sequence(panel(spark, folder), ["symbol"], ["day"], back=62, bound=DAYS)
@@ -279,7 +279,7 @@ def ratio_signals(spark, folder):
                     (centred_rank("ratio2", "day") - centred_rank("ratio", "day")).alias("smart_dumb"), (centred_rank("p7", "day") - centred_rank("q7", "day")).alias("smart_dumb_chg7"))
 
 
-@query("interaction_signals", "I9 I15", f"""WITH {_MKT}, y AS (SELECT *, oi / lag(oi, 7) OVER {_SYM} - 1 AS g7, {_Z60('fund')} AS zf, {_Z60('oi')} AS zo FROM x)
+@query("interaction_signals", "I9", f"""WITH {_MKT}, y AS (SELECT *, oi / lag(oi, 7) OVER {_SYM} - 1 AS g7, {_Z60('fund')} AS zf, {_Z60('oi')} AS zo FROM x)
 SELECT day, symbol, -({_XR('fund')} * {_XR('g7')}) AS crowding, CASE WHEN zf IS NOT NULL AND zo IS NOT NULL THEN -(least(greatest(zf, -3), 3) * least(greatest(zo, -3), 3)) END AS crowding_z FROM y""", "crowding crowding_z", digits=5)
 def interaction_signals(spark, folder):
     s = market_panel(spark, folder, 62)
@@ -297,7 +297,7 @@ def basis_signals(spark, folder):
     return d.select("day", "symbol", centred_rank("b", "day").alias("rank_b"), "z60", "chg5", "annual", "disagreement")
 
 
-@query("forecast_combine", "I22 I23", f"""WITH {PANEL}, z AS (SELECT day, symbol, [round({_Z60('fund')}, 7), round(-{_Z60('oi')}, 7), round({_Z60('ratio')}, 7)] AS zs FROM panel), f AS (SELECT day, symbol, list_filter(zs, lambda q: q IS NOT NULL) AS h FROM z)
+@query("forecast_combine", "I22", f"""WITH {PANEL}, z AS (SELECT day, symbol, [round({_Z60('fund')}, 7), round(-{_Z60('oi')}, 7), round({_Z60('ratio')}, 7)] AS zs FROM panel), f AS (SELECT day, symbol, list_filter(zs, lambda q: q IS NOT NULL) AS h FROM z)
 SELECT day, symbol, list_avg(h) AS score, CASE WHEN list_avg(h) > 0.5 THEN 'UP' WHEN list_avg(h) < -0.5 THEN 'DOWN' ELSE 'FLAT' END AS direction, len(list_filter(h, lambda q: sign(q) = sign(list_avg(h)))) / len(h)::DOUBLE AS agreement FROM f WHERE len(h) > 0""", "score agreement", digits=5)
 def forecast_combine(spark, folder):
     s = sequence(panel(spark, folder), ["symbol"], ["day"], back=60, bound=DAYS)
@@ -359,7 +359,7 @@ def symbol_cost_model(spark, folder):
     return d.select("day", "symbol", P.liquidity_cost(8.0, F.col("adv"), over(["day"], F.percentile("adv", F.lit(0.5)))).alias("cost_bps"))
 
 
-@query("capped_weights", "O5 O6 O9")
+@query("capped_weights", "O5 O6")
 def capped_weights(spark, folder):
     d = panel(spark, folder).select("day", "symbol", F.col("qv").alias("raw"))
     return P.capped_weights(d, group=["day"], name="symbol", raw="raw", cap=0.2, out="weight").select("day", "symbol", "raw", "weight")

@@ -187,7 +187,7 @@ def sequence_features(spark, folder):
     return X.candle_sequences(bars(spark, folder), ["symbol"], "bar", 60 * DAY_US, bound=HOURS)
 
 
-@query("asymmetric_features", "H37 H38 H39 H40 H42", f"""WITH {_BASE}, y AS (SELECT *, CASE WHEN lr > 0 THEN v ELSE 0 END AS uv, CASE WHEN lr < 0 THEN v ELSE 0 END AS dnv, avg(v) OVER {_R(20)} AS v20 FROM f1) SELECT symbol, bar, (sum(uv) OVER {_R(12)} - sum(dnv) OVER {_R(12)}) / nullif(sum(v) OVER {_R(12)}, 0) AS volume_delta,
+@query("asymmetric_features", "H37 H38 H39", f"""WITH {_BASE}, y AS (SELECT *, CASE WHEN lr > 0 THEN v ELSE 0 END AS uv, CASE WHEN lr < 0 THEN v ELSE 0 END AS dnv, avg(v) OVER {_R(20)} AS v20 FROM f1) SELECT symbol, bar, (sum(uv) OVER {_R(12)} - sum(dnv) OVER {_R(12)}) / nullif(sum(v) OVER {_R(12)}, 0) AS volume_delta,
  sum(CASE WHEN v > 2 * v20 AND lr < 0 THEN 1.0 ELSE 0 END) OVER {_R(12)} AS long_flush, sum(CASE WHEN v > 2 * v20 AND lr > 0 THEN 1.0 ELSE 0 END) OVER {_R(12)} AS short_squeeze, c / min(l) OVER {_R(12)} - 1 AS rebound, c / max(h) OVER {_R(12)} - 1 AS fade FROM y""", "volume_delta long_flush short_squeeze rebound fade", digits=5)
 def asymmetric_features(spark, folder):
     from tidemark.functions.scalars import div, flag, ind

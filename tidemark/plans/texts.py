@@ -17,7 +17,7 @@ _SNAP = """a AS (SELECT p_partkey AS k, p_brand AS brand, p_size AS size, p_type
 b AS (SELECT p_partkey AS k, p_brand AS brand, p_size + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END AS size, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_type END AS kind FROM part WHERE p_partkey % 10 <> 5)"""
 
 
-@query("snapshot_diff", "L1 L3 S13", f"""WITH {_SNAP}, j AS (SELECT coalesce(a.k, b.k) AS k, a.k AS ak, b.k AS bk, a.brand AS ab, b.brand AS bb, a.size AS az, b.size AS bz, a.kind AS kold, b.kind AS knew FROM a FULL JOIN b ON a.k = b.k)
+@query("snapshot_diff", "L1 L3", f"""WITH {_SNAP}, j AS (SELECT coalesce(a.k, b.k) AS k, a.k AS ak, b.k AS bk, a.brand AS ab, b.brand AS bb, a.size AS az, b.size AS bz, a.kind AS kold, b.kind AS knew FROM a FULL JOIN b ON a.k = b.k)
 SELECT k, 'added' AS change, '' AS field, NULL AS old, NULL AS new FROM j WHERE ak IS NULL UNION ALL SELECT k, 'removed', '', NULL, NULL FROM j WHERE bk IS NULL
 UNION ALL SELECT k, 'changed', 'size', CAST(az AS VARCHAR), CAST(bz AS VARCHAR) FROM j WHERE ak IS NOT NULL AND bk IS NOT NULL AND az IS DISTINCT FROM bz UNION ALL SELECT k, 'changed', 'kind', kold, knew FROM j WHERE ak IS NOT NULL AND bk IS NOT NULL AND kold IS DISTINCT FROM knew""")
 def snapshot_diff(spark, folder):

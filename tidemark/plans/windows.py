@@ -217,7 +217,7 @@ def trailing_liquidity(spark, folder):
                   "n_valid": F.count("il").over(s.rows(-20, -1))}).result("day", "symbol", "ret20", "liq", "amihud", "n_valid")
 
 
-@query("volatility_regime", "E41 F18", f"""WITH {_RET}, y AS (SELECT *, CASE WHEN count(r) OVER v >= 8 THEN stddev_samp(r) OVER v END AS vol FROM x WINDOW v AS {_W(23)}), z AS (SELECT symbol, bar, vol, list(vol) OVER {_W(99)} AS h FROM y),
+@query("volatility_regime", "E41", f"""WITH {_RET}, y AS (SELECT *, CASE WHEN count(r) OVER v >= 8 THEN stddev_samp(r) OVER v END AS vol FROM x WINDOW v AS {_W(23)}), z AS (SELECT symbol, bar, vol, list(vol) OVER {_W(99)} AS h FROM y),
 p AS (SELECT symbol, bar, vol, 100 * len(list_filter(h, lambda q: q <= vol)) / len(list_filter(h, lambda q: q IS NOT NULL))::DOUBLE AS pct FROM z WHERE vol IS NOT NULL)
 SELECT symbol, bar, pct, CASE WHEN pct < 33 THEN 'low' WHEN pct < 66 THEN 'mid' ELSE 'high' END AS regime FROM p""", "pct")
 def volatility_regime(spark, folder):
@@ -289,7 +289,7 @@ _DM = f"""{BARS}, x0 AS (SELECT symbol, bar, high, low, close, high - lag(high)
 x AS (SELECT symbol, bar, i, CASE WHEN up > dn AND up > 0 THEN up ELSE 0 END AS p, CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0 END AS m, greatest(high - low, coalesce(abs(high - pc), 0), coalesce(abs(low - pc), 0)) AS tr FROM x0)"""
 
 
-@query("directional_index", "F7 F11", f"""WITH RECURSIVE {_DM}, e AS (SELECT symbol, bar, i, p, m, tr FROM x WHERE i = 1
+@query("directional_index", "F7", f"""WITH RECURSIVE {_DM}, e AS (SELECT symbol, bar, i, p, m, tr FROM x WHERE i = 1
  UNION ALL SELECT x.symbol, x.bar, x.i, e.p + (x.p - e.p) / 14.0, e.m + (x.m - e.m) / 14.0, e.tr + (x.tr - e.tr) / 14.0 FROM e JOIN x ON x.symbol = e.symbol AND x.i = e.i + 1),
 f AS (SELECT symbol, bar, i, 100 * p / (tr + 1e-12) AS plus_di, 100 * m / (tr + 1e-12) AS minus_di FROM e), g AS (SELECT *, 100 * abs(plus_di - minus_di) / (plus_di + minus_di + 1e-12) AS dx FROM f),
 h AS (SELECT symbol, bar, i, dx AS adx FROM g WHERE i = 1 UNION ALL SELECT g.symbol, g.bar, g.i, h.adx + (g.dx - h.adx) / 14.0 FROM h JOIN g ON g.symbol = h.symbol AND g.i = h.i + 1)
@@ -318,7 +318,7 @@ def volume_indices(spark, folder):
     return d.select("symbol", "bar", F.col("a").alias("log_nvi"), F.col("b").alias("log_pvi"))
 
 
-@query("true_runs", "F12 F14 K37", f"""WITH {_RET}, y AS (SELECT symbol, bar, close, i, coalesce(r > 0, false) AS up, close < max(close) OVER {_ORD} AS under FROM x)
+@query("true_runs", "F12 F14", f"""WITH {_RET}, y AS (SELECT symbol, bar, close, i, coalesce(r > 0, false) AS up, close < max(close) OVER {_ORD} AS under FROM x)
 SELECT symbol, bar, i - coalesce(max(CASE WHEN NOT up THEN i END) OVER {_ORD}, 0) AS up_run, i - coalesce(max(CASE WHEN NOT under THEN i END) OVER {_ORD}, 0) AS under_run FROM y""")
 def true_runs(spark, folder):
     from tidemark.operators.recurrence import running_peak
