@@ -4,7 +4,7 @@ Words (runs without ASCII white space) are split and counted over all documents.
 them are encoded once into a table of bounded size, which every task gets; the ids come back to each word's place by
 a look-up of the word. Words outside the table, which are rare, are encoded once in each task that meets them.
 Normalisation and splitting of this kind of tokenizer never reach across white space, and special strings hold none,
-so the ids of the words in order are the ids of the text. Decoding joins the ids to the table of pieces.
+so the ids of the words in order are the ids of the text. Decoding looks each id up in an array of all pieces.
 
 A null or empty text has no ids and decodes to the empty text. Repeated rows are encoded one by one; an empty table
 gives no rows; other columns play no part, whatever they are called.
@@ -48,8 +48,7 @@ def frequent_words(docs: DataFrame, text: str = "text", most: int = TABLE_WORDS,
             for part in pieces(pa.Table.from_batches([batch]), "text", 4 * BATCH_BYTES):
                 _, code, words = coded_words(part.column("text").combine_chunks())
                 n = np.bincount(code, minlength=len(words))
-                some = np.flatnonzero(n > 1)  # words met once in 32 MB are not among the frequent
-                yield pa.RecordBatch.from_arrays([words.take(pa.array(some)).cast(pa.string()), pa.array(n[some])], names=["word", "n"])
+                yield pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(n)], names=["word", "n"])
 
     rows = docs.select(F.col(text).alias("text")).mapInArrow(count, "word string, n bigint").where(f"word <> '' AND octet_length(word) <= {longest}")
     return rows.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
@@ -88,7 +87,7 @@ class Encoder:
 
 
 def id_pieces(path: str):
-    """The piece of each id, as an Arrow array: the table that decoding joins."""
+    """The piece of each id, as an Arrow array in which decoding looks ids up."""
     import pyarrow as pa
 
     model = tokenizer(path)
