@@ -164,13 +164,26 @@ def _screen(spark, folder):
     return oi_scores(spark, folder).withColumns({"long_flag": hi, "short_flag": lo & ~hi})
 
 
-@query("screen_applied", "K22 K23", f"""WITH {_SCREEN}, a AS (SELECT DISTINCT symbol FROM f WHERE long_flag AND day BETWEEN 11600 AND 11630) SELECT p.symbol, p.day, CASE WHEN a.symbol IS NOT NULL AND p.fund > 0 THEN 0 ELSE p.fund END AS fraction FROM panel p LEFT JOIN a ON a.symbol = p.symbol""", "fraction")
+@query("screen_applied", "", f"""WITH {_SCREEN}, a AS (SELECT DISTINCT symbol FROM f WHERE long_flag AND day BETWEEN 11600 AND 11630) SELECT p.symbol, p.day, CASE WHEN a.symbol IS NOT NULL AND p.fund > 0 THEN 0 ELSE p.fund END AS fraction FROM panel p LEFT JOIN a ON a.symbol = p.symbol""", "fraction")
 def screen_applied(spark, folder):
+    """The flags of one month applied to all days; ``screen_as_of`` takes each day's own look-back."""
     active = _screen(spark, folder).where("long_flag and day between 11600 and 11630").select("symbol").distinct().withColumn("hit", F.lit(True))
     d = panel(spark, folder).join(active, "symbol", "left")
     return d.select("symbol", "day", F.when(F.col("hit") & (F.col("fund") > 0), 0.0).otherwise(F.col("fund")).alias("fraction"))
 
 
+SCREEN_DAYS = 30
+
+
+@query("screen_as_of", "K22 K23", f"""WITH {_SCREEN} SELECT symbol, p.day, CASE WHEN p.fund > 0 AND EXISTS (SELECT 1 FROM f WHERE f.symbol = p.symbol AND f.long_flag AND f.day >= p.day - {SCREEN_DAYS} AND f.day < p.day) THEN 0 ELSE p.fund END AS fraction FROM panel p""", "fraction")
+def screen_as_of(spark, folder):
+    d = _screen(spark, folder).select("symbol", "day", "fund", "long_flag")
+    s = sequence(d, ["symbol"], ["day"], back=SCREEN_DAYS, bound=DAYS)
+    before = F.max(F.when(F.col("long_flag"), F.col("day"))).over(s.rows(-SCREEN_DAYS, -1))  # one row a day: no earlier row lies in the look-back
+    s = s.add({"hit": F.coalesce(before >= F.col("day") - SCREEN_DAYS, F.lit(False))})
+    return s.result("symbol", "day", F.when(F.col("hit") & (F.col("fund") > 0), 0.0).otherwise(F.col("fund")).alias("fraction"))
+
+
 @query("eligibility_predicates", "K24 K25", f"""WITH {_OIZ}, w AS (SELECT *, min(CASE WHEN fund > 0 THEN day END) OVER (PARTITION BY symbol) AS first_paid FROM z) SELECT symbol, day, zd IS NOT NULL AND zt IS NOT NULL AND r IS NOT NULL AND day - first_paid >= 90 AS eligible FROM w""")
 def eligibility_predicates(spark, folder):
     d = oi_scores(spark, folder)
