@@ -182,7 +182,7 @@ SELECT symbol, bar, {_RUN('c > o')} AS consecutive_green_candles, {_RUN('c < o')
  {', '.join(f"avg(lr) OVER {_R(n)} AS last_returns_mean_{n}, stddev_samp(lr) OVER {_R(n)} AS last_returns_std_{n}, avg(rg) OVER {_R(n)} AS last_ranges_mean_{n}, avg(v) OVER {_R(n)} AS last_volumes_mean_{n}, sum(g) OVER {_R(n)} AS last_candle_directions_sum_{n}, {_entropy_sql(n)} AS sequence_entropy_{n}, sum(g) OVER {_R(n)} / ({n} + 1e-12) AS pattern_embedding_{n}, {_SD(f'c - c{n}', f'c{n}')} AS nbar_return_path_{n}, {_PAD('coalesce(lr, 0)', n)} AS seq_last_returns_{n}, {_PAD('g::DOUBLE', n)} AS seq_last_candle_directions_{n}, {_PAD(f"[{_SD('o', 'c')} - 1, {_SD('h', 'c')} - 1, {_SD('l', 'c')} - 1, c * 0, v{n}]", n, '[0.0::DOUBLE, 0, 0, 0, 0]')} AS seq_last_candles_norm_{n}" for n in X.SEQUENCES)} FROM g"""
 
 
-@query("sequence_features", "H29", _SQ, " ".join(f"{k}_{n}" for n in X.SEQUENCES for k in ("last_returns_mean", "last_returns_std", "last_ranges_mean", "last_volumes_mean", "last_candle_directions_sum", "sequence_entropy", "pattern_embedding", "nbar_return_path")))
+@query("sequence_features", "H29", _SQ, " ".join(f"{k}_{n}" for n in X.SEQUENCES for k in ("last_returns_mean", "last_returns_std", "last_ranges_mean", "last_volumes_mean", "last_candle_directions_sum", "sequence_entropy", "pattern_embedding", "nbar_return_path")), arrays=" ".join(f"seq_last_returns_{n}" for n in X.SEQUENCES))
 def sequence_features(spark, folder):
     return X.candle_sequences(bars(spark, folder), ["symbol"], "bar", 60 * DAY_US, bound=HOURS)
 

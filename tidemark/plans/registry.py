@@ -25,23 +25,27 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
-def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    return df.select(*[
-        F.round(F.col(f.name) * NUDGE, digits).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
-        for f in df.schema.fields])
+def rounded(df: DataFrame, digits: int = DIGITS, arrays: tuple[str, ...] = ()) -> DataFrame:
+    """Doubles rounded to ``digits``; in the columns ``arrays`` the elements too, at any depth."""
+    def fixed(x, kind):
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            return F.round(x * NUDGE, digits)
+        return F.transform(x, lambda e: fixed(e, kind.elementType)) if isinstance(kind, T.ArrayType) else x
 
+    return df.select(*[fixed(F.col(f.name), f.dataType).alias(f.name) if f.name in arrays or not isinstance(f.dataType, T.ArrayType) else F.col(f.name) for f in df.schema.fields])
 
-def query(name: str, covers: str, sql: str | None = None, doubles: str = "", digits: int = DIGITS):
-    """Register the decorated ``fn(spark, folder)``; ``doubles`` names the columns the SQL rounds."""
+
+def query(name: str, covers: str, sql: str | None = None, doubles: str = "", digits: int = DIGITS, arrays: str = ""):
+    """Register the decorated ``fn(spark, folder)``; ``doubles`` names the columns the SQL rounds, ``arrays`` the lists of doubles."""
     def add(fn):
         text = sql
-        if sql is not None and doubles:
-            fixes = ", ".join(f"round({d} * {NUDGE:.17f}::DOUBLE, {digits}) + 0.0 AS {d}" for d in doubles.split())
-            head, body = ("", sql)
-            text = f"SELECT * REPLACE ({fixes}) FROM ({body})"
+        if sql is not None and (doubles or arrays):
+            fixes = [f"round({d} * {NUDGE:.17f}::DOUBLE, {digits}) + 0.0 AS {d}" for d in doubles.split()]
+            fixes += [f"list_transform({d}, lambda q: round(q * {NUDGE:.17f}::DOUBLE, {digits}) + 0.0) AS {d}" for d in arrays.split()]
+            text = f"SELECT * REPLACE ({', '.join(fixes)}) FROM ({sql})"
         if name in REGISTRY:
             raise ValueError(f"query {name} is registered twice")
-        REGISTRY[name] = Query(name, tuple(covers.split()), lambda spark, folder: rounded(fn(spark, folder), digits), text)
+        REGISTRY[name] = Query(name, tuple(covers.split()), lambda spark, folder: rounded(fn(spark, folder), digits, tuple(arrays.split())), text)
         return fn
 
     return add
