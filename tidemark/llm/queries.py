@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bitsliced, bpe, graph_search, language, mixing, ngram_join, prefix_trie, sharding, substrings, tokens, toxicity, url_filters
+from tidemark.llm import alignment, bitsliced, bpe, graph_search, language, mixing, ngram_join, prefix_trie, sharding, substrings, tokens, toxicity, url_filters
 from tidemark.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -96,6 +96,11 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(table(spark, sf_dir, "documents"), words=3, threshold=90)
 
 
+@query()
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 @query()
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"), block=20, most=4)
