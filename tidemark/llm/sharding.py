@@ -149,6 +149,8 @@ def plan(groups: DataFrame, shards: int):
         stop = len(cell) if j == len(rest) - 1 else max(at, bisect_right(ends.tolist(), wanted))
         pieces += [(int(size[i]), int(count[i]), int(cell[i]) << width, 64 - width, False) for i in range(at, stop)]
         at = stop
+    if not pieces:
+        return place, [(LOW, 0)]
     line = Line(*[np.array(x, t) for x, t in zip(zip(*pieces, strict=True), (np.int64, np.int64, np.int64, np.int64, bool), strict=True)])
 
     shards = len(rest)
