@@ -143,3 +143,26 @@ def wallet_scores(trades: DataFrame, prices: DataFrame, *, by: str, wallet: str,
 def capacity(policy: Column, oi: Column, top: Column, volume_24h: Column, hours: float, oi_share: float, participation: float) -> Column:
     """Notional a trade may take under its policy; missing where the input is not measured."""
     return F.when(policy == "oi", oi * oi_share).when(policy == "top", top).when(policy == "volume", volume_24h * hours / 24.0 * participation)
+
+
+def band_metrics(bids: str, asks: str, bands: Sequence[int]) -> dict[str, Column]:
+    """Mid, spread, notional within each band, the widest band the levels reach on both sides, and the imbalance of the first.
+
+    Bids stand highest first, asks lowest first, as (price, qty). A band beyond the levels given is missing, not guessed.
+    """
+    b, a = c(bids), c(asks)
+    best_bid, best_ask = F.element_at(b, 1)["price"], F.element_at(a, 1)["price"]
+    mid = (best_bid + best_ask) / 2.0
+    low, high = F.element_at(b, -1)["price"], F.element_at(a, -1)["price"]
+    covered = F.lit(0)
+    for x in sorted(bands):
+        covered = F.when((low <= mid * (1 - x / 1e4)) & (high >= mid * (1 + x / 1e4)), F.lit(x)).otherwise(covered)
+    out = {"mid": mid, "bid": best_bid, "ask": best_ask, "spread_bps": (best_ask - best_bid) / mid * 1e4}
+    notional = lambda levels, keep: total(F.filter(levels, keep), lambda v: v["price"] * v["qty"])
+    at_least, at_most = (lambda p: lambda v: v["price"] >= p), (lambda p: lambda v: v["price"] <= p)
+    for x in bands:
+        out[f"bid_{x}"] = F.when(covered >= x, notional(b, at_least(mid * (1 - x / 1e4))))
+        out[f"ask_{x}"] = F.when(covered >= x, notional(a, at_most(mid * (1 + x / 1e4))))
+    first = min(bands)
+    gap, both = out[f"bid_{first}"] - out[f"ask_{first}"], out[f"bid_{first}"] + out[f"ask_{first}"]
+    return out | {"covered_bps": covered, f"imbalance_{first}": div(gap, both)}

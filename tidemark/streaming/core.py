@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -204,3 +204,49 @@ def drift_monitor(stream: DataFrame, key: str, clock: str, ident: str, hit: str,
 
     kt = stream.schema[key].dataType.simpleString()
     return stateful(stream.select(key, ident, clock, hit), key, [clock, ident], f"{key} {kt}, {ident} bigint, {clock} bigint, rate double", "rate double", step)
+
+
+def versioned_changes(stream: DataFrame, poll: str, key: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """Changes between successive full listings of a stream: names added and removed, and each field that differs.
+
+    ``poll`` numbers the listings; a listing comes whole in one batch, and one batch may hold several. The first listing
+    is the baseline. Each batch reads the newest listing that an earlier batch left and writes its changes and its own
+    newest listing under its number, so a batch that is repeated replaces its own rows and changes nothing else.
+    """
+    spark, key = stream.sparkSession, list(key)
+    base, state = scratch(spark, "listings"), scratch(spark, "stream-state")
+    kept = T.StructType([f for f in stream.schema.fields])
+    rows = T.StructType([*[stream.schema[k] for k in key], T.StructField(poll, stream.schema[poll].dataType), *[T.StructField(x, T.StringType()) for x in ("change", "field", "old", "new")]])
+    # a folder with a schema from the start, also for a stream without any change
+    for path, kind in ((f"{base}/changes/batch=-1", rows), (f"{base}/latest/batch=-1", kept)):
+        spark.createDataFrame([], kind).write.parquet(path)
+
+    def step(df: DataFrame, number: int) -> None:
+        df = df.sparkSession.createDataFrame([], kept) if df.isEmpty() else pin(df.select(*kept.names))
+        left = spark.read.schema(T.StructType([*kept.fields, T.StructField("batch", T.LongType())])).parquet(f"{base}/latest").where(F.col("batch") < number)
+        newest = left.agg(F.max("batch")).first()[0]
+        both = df.unionByName(left.where(F.col("batch") == newest).drop("batch")) if newest is not None else df
+        polls = pin(both.select(poll).distinct())
+        order = Window.orderBy(poll)  # as many rows as listings in one batch
+        before = both.join(polls.withColumn("next_", F.lead(poll).over(order)).where("next_ IS NOT NULL"), poll).drop(poll).withColumnRenamed("next_", poll)
+        after = both.join(polls.withColumn("prev_", F.lag(poll).over(order)).where("prev_ IS NOT NULL").drop("prev_"), poll, "left_semi")
+        snapshot_changes(before, after, [*key, poll], fields).write.mode("overwrite").parquet(f"{base}/changes/batch={number}")
+        top = polls.agg(F.max(poll)).first()[0]
+        if top is not None:
+            both.where(F.col(poll) == top).write.mode("overwrite").parquet(f"{base}/latest/batch={number}")
+
+    stream.writeStream.foreachBatch(step).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(T.StructType([*rows.fields, T.StructField("batch", T.LongType())])).parquet(f"{base}/changes").drop("batch")
+
+
+def snapshot_changes(before: DataFrame, after: DataFrame, key: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """(key, change, field, old, new) between two sides of any number of listings."""
+    key = list(key)
+    old = before.select(*key, F.lit(True).alias("_a"), *[c(f).cast("string").alias(f"a_{f}") for f in fields])
+    new = after.select(*key, F.lit(True).alias("_b"), *[c(f).cast("string").alias(f"b_{f}") for f in fields])
+    none = F.lit(None).cast("string")
+    row = lambda kind, f, o, n: F.struct(F.lit(kind).alias("change"), F.lit(f).alias("field"), o.alias("old"), n.alias("new"))
+    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    found = [F.when(F.col("_a").isNull(), row("symbol_added", "", none, none)), F.when(F.col("_b").isNull(), row("symbol_removed", "", none, none))]
+    found += [F.when(both & ~F.col(f"a_{f}").eqNullSafe(F.col(f"b_{f}")), row(f"{f}_changed", f, F.col(f"a_{f}"), F.col(f"b_{f}"))) for f in fields]
+    return old.join(new, key, "full").select(*key, F.explode(F.array_compact(F.array(*found))).alias("r")).select(*key, "r.*")
