@@ -20,6 +20,7 @@ count. A null id stays null. Empty tables give no rows. Other columns play no pa
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,7 +30,7 @@ from tidemark.llm.common import grouped, mix, pieces, ranges, stash
 from tidemark.llm.tokens import SAFE, UNSAFE, encoded, tokenizer
 
 #: Bytes of text in one batch, pieces that are held, new pieces handled at once.
-BATCH_BYTES, KEPT, CHUNK = 4 << 20, 1 << 17, 4096
+BATCH_BYTES, KEPT, CHUNK = 4 << 20, 1 << 19, 4096
 #: Slots a key of the perfect hash, slices in which vectors travel, and vectors that one step of the tree adds up.
 ROOM, SLICES, FAN = 2, 8, 32
 RESULT = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
@@ -121,7 +122,12 @@ class Aligner:
             self.forget()
             new = words
         if new:
-            found = [self.align(new[at:at + CHUNK]) for at in range(0, len(new), CHUNK)]
+            # pieces that neither begin nor end with white space are encoded side by side, in one text
+            plain = [w for w in new if w and w == w.strip() and "▁" not in w]
+            if len(plain) < len(new):
+                own = set(plain)
+                new = plain + [w for w in new if w not in own]
+            found = [self.align(new[at:min(at + CHUNK, stop)], joined) for begin, stop, joined in ((0, len(plain), True), (len(plain), len(new), False)) for at in range(begin, stop, CHUNK)]
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
             self.counts = np.concatenate([self.counts, *[f[0] for f in found]])
             self.good = np.concatenate([self.good, *[f[1] for f in found]])
@@ -129,37 +135,48 @@ class Aligner:
             self.text += [t for f in found for t in f[3]]
         return np.array([self.place[w] for w in words], np.int64)
 
-    def align(self, words: list[str]):
+    def encodings(self, words: list[str], joined: bool, stop: np.ndarray):
+        """Ids of both tokenizers, and the piece of each. ``joined``: the first gets one text; None if its tokens do not end where pieces do."""
+        def each(listed):
+            n = np.fromiter(map(len, listed), np.int64, len(listed))
+            return np.fromiter(chain.from_iterable(listed), np.int64, int(n.sum())), np.repeat(np.arange(len(words)), n)
+
+        second = each(self.b.encode(words, num_threads=1))
+        if not joined:
+            return each([e.ids for e in encoded(self.a, [" " + w for w in words])]), second
+        ids = np.array(self.a.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, np.int64)
+        here = np.cumsum(self.vocabularies[0].size[ids])
+        if here[-1] != stop[-1] or (here[np.searchsorted(here, stop)] != stop).any():
+            return None
+        return (ids, np.searchsorted(stop, here)), second
+
+    def align(self, words: list[str], joined: bool):
         """Of each piece (with a space in front): counts, whether both tokenizers give it back, pairs in order, groups as text."""
         raw = [(" " + w).encode() for w in words]
         size = np.array([len(r) for r in raw], np.int64)
         base = np.cumsum(size) - size
         data = np.frombuffer(b"".join(raw), np.uint8)
-        sides = []
-        for listed, v in (([e.ids for e in encoded(self.a, [" " + w for w in words])], self.vocabularies[0]), (self.b.encode(words, num_threads=1), self.vocabularies[1])):
-            n = np.array([len(x) for x in listed], np.int64)
-            ids = np.fromiter((i for x in listed for i in x), np.int64, int(n.sum()))
-            sides.append((ids, np.repeat(np.arange(len(words)), n), n, v))
+        sides = self.encodings(words, joined, base + size)
+        if sides is None:
+            return self.align(words, False)
         good = np.ones(len(words), bool)
-        for ids, word, _, v in sides:
+        for (ids, word), v in zip(sides, self.vocabularies, strict=True):
             total = np.bincount(word, weights=v.size[ids], minlength=len(words)).astype(np.int64)
-            good &= total == size
-            fit = (total == size)[word]
-            got = v.data[ranges(v.start[ids[fit]], v.size[ids[fit]])]
-            whole = np.flatnonzero(total == size)
-            wrong = got != data[ranges(base[whole], size[whole])]
-            good[np.repeat(whole, size[whole])[wrong]] = False
+            fit = total == size
+            good &= fit
+            whole = np.flatnonzero(fit)
+            ids = ids[fit[word]]
+            got, want = v.data[ranges(v.start[ids], v.size[ids])], data if fit.all() else data[ranges(base[whole], size[whole])]
+            if not np.array_equal(got, want):
+                good[np.repeat(whole, size[whole])[got != want]] = False
+        if joined and not good.all():
+            return self.align(words, False)
         ends = []
-        for k, (ids, word, _, v) in enumerate(sides):
+        # offsets among the good pieces
+        for (ids, word), v in zip(sides, self.vocabularies, strict=True):
             keep = good[word]
             ids, word = ids[keep], word[keep]
-            here = np.cumsum(v.size[ids])
-            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
-            shift = np.zeros(len(ids), np.int64)
-            shift[first] = base[word[first]] - (here[first] - v.size[ids[first]])
-            run = np.cumsum(np.concatenate([[0], np.diff(shift[first])])) + (shift[first][0] if len(first) else 0)
-            here = here + np.repeat(run, np.diff(np.concatenate([first, [len(ids)]])))
-            ends.append((ids, word, here))
+            ends.append((ids, word, np.cumsum(v.size[ids])))
         (ia, wa, ea), (ib, wb, eb) = ends
         at = np.minimum(np.searchsorted(eb, ea), max(len(eb) - 1, 0))
         both = eb[at] == ea if len(eb) else np.zeros(len(ea), bool)
