@@ -459,29 +459,6 @@ def ridge_walk_forward(spark, folder):
     return S.ridge_walk_forward(d, RIDGE).select("fold", "n_test", F.col("b_x").alias("b_r"), F.col("b_z").alias("b_past"), "ic")
 
 
-@query("har_regression", "N75")
-def har_regression(spark, folder):
-    return walk_forward_scores(spark, folder)
-
-
-def walk_forward_scores(spark, folder):
-    """Ridge on the lagged returns, trained on every earlier segment, scored on the next; one model per fold."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    d = _features(spark, folder).where("f1 is not null and r is not null and past is not null")
-    d = d.withColumn("seg", F.floor(F.col("bar") / (6 * DAY_US)))
-    d = VectorAssembler(inputCols=["r", "past"], outputCol="x").transform(d)
-    span = d.agg(F.min("seg").alias("a"), F.max("seg").alias("b")).first()
-    out = None
-    for k in range(span["a"] + 1, span["b"] + 1):
-        model = LinearRegression(featuresCol="x", labelCol="f1", regParam=0.1).fit(d.where(F.col("seg") < k))
-        one = model.transform(d.where(F.col("seg") == k)).agg(
-            F.lit(int(k - span["a"])).cast("bigint").alias("fold"), F.count(F.lit(1)).alias("n_test"), F.corr("prediction", "f1").alias("ic"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 @query("sleeve_admission", "N77", None)
 def sleeve_admission(spark, folder):
     d = market_panel(spark, folder, 0).result("day", "symbol", "r").where("r is not null")

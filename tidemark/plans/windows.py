@@ -244,7 +244,7 @@ def ema_family(spark, folder):
                              "trix": (K.trix(12), ["close"])}).result("symbol", "bar", "ema", "dema", "tema", "trix")
 
 
-@query("ewma_volatility", "F11 N76", f"""WITH RECURSIVE {BARS}, x AS (SELECT symbol, bar, power(ln(close / lag(close) OVER {_ORD}), 2) AS q, row_number() OVER {_ORD} AS i FROM bars),
+@query("ewma_volatility", "F11", f"""WITH RECURSIVE {BARS}, x AS (SELECT symbol, bar, power(ln(close / lag(close) OVER {_ORD}), 2) AS q, row_number() OVER {_ORD} AS i FROM bars),
 e AS (SELECT symbol, bar, i, q AS e FROM x WHERE i = 2 UNION ALL SELECT x.symbol, x.bar, x.i, e.e + (x.q - e.e) * 2 / 61.0 FROM e JOIN x ON x.symbol = e.symbol AND x.i = e.i + 1)
 SELECT x.symbol, x.bar, sqrt(e.e * {24 * 365}) AS vol FROM x LEFT JOIN e ON e.symbol = x.symbol AND e.i = x.i""", "vol")
 def ewma_volatility(spark, folder):
