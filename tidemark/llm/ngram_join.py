@@ -7,7 +7,11 @@
    are confirmed on the exact sets of shingles.
 3. Members of a group that still lie in different components meet in signature trees: nodes hold the OR of their
    documents' token bitmaps, their range of sizes and components, and a dual traversal drops pairs of nodes whose
-   largest possible overlap is too small, or which are one component. What is left is confirmed on the exact sets.
+   largest possible overlap is too small, or which are one component. A first traversal finds the few documents that
+   have a candidate at all; a second one, over these and with the other keys of each, gives every pair once, in the
+   group of the smallest key that both have. Pairs that pass finer counts of their shingles are confirmed on the exact
+   sets. Groups of the same members are one group; a large group is cut by size into blocks, and blocks whose sizes
+   lie too far apart never meet.
 
 A null text, or one without words, has no shingles and links with nothing; a text with fewer words than a shingle is
 one shingle. Rows that share an id are one document, linked by any of their texts. Rows without id take no part; their
@@ -18,7 +22,7 @@ component is null. Empty tables give no rows. Other columns play no part in ``co
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
+from math import ceil, log
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,8 +34,8 @@ from tidemark.llm.common import BASES, BROADCAST_IDS, Words, dealt, grouped, mix
 COUNTERS, SLICES, BITS, FAN = 1 << 20, 16, 2048, 8
 #: Documents of a block in a large group, bytes of text handled at once, and bytes of text whose keys one bucket gets.
 BLOCK, BATCH_BYTES, BUCKET_BYTES = 1024, 4 << 20, 256 << 20
-#: Buckets at least.
-BUCKETS = 64
+#: Buckets at least; partners of a document that are checked together.
+BUCKETS, PARTNERS = 64, 256
 ROWS = "bucket int, kind int, doc binary, size binary, keys binary"
 PAIRS = "kind int, key bigint, a bigint, b bigint"
 
@@ -185,7 +189,10 @@ def candidate_pairs(rows: DataFrame, buckets: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """The pairs (a, b; distinct, stashed) whose sets reach the threshold: 100 * intersection >= threshold * union."""
+    """The pairs (a, b; distinct, stashed) whose sets reach the threshold: 100 * intersection >= threshold * union.
+
+    The partners of one document are dealt to parts of about PARTNERS, each of which gets the document's text.
+    """
 
     def check(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -195,10 +202,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, threshold: int) -> Data
             owner, hashes = distinct_sets(*shingles(part.column("text").combine_chunks(), k))
             ends = np.searchsorted(owner, np.arange(part.num_rows + 1))
             good: tuple[list, list] = ([], [])
-            for i, (a, doc) in enumerate(zip(part.column("a").to_pylist(), part.column("doc").to_pylist(), strict=True)):
+            for i, (a, share, doc) in enumerate(zip(*[part.column(c).to_pylist() for c in ("a", "share", "doc")], strict=True)):
                 mine = hashes[ends[i]:ends[i + 1]]
-                if a != centre:
-                    centre, sets = a, []
+                if (a, share) != centre:
+                    centre, sets = (a, share), []
                 if doc == a:
                     sets.append(mine)
                     continue
@@ -216,9 +223,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, threshold: int) -> Data
 
     ids = stash(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct())
     texts = only_ids(docs, "doc", ids)
-    members = texts.join(pairs.select("a", F.col("b").alias("doc")), "doc").select("a", "doc", "text")
-    centres = texts.join(pairs.select(F.col("a").alias("doc")).distinct(), "doc", "left_semi").select(F.col("doc").alias("a"), "doc", "text")
-    rows = members.unionByName(centres).repartition(tasks(docs.sparkSession), "a").sortWithinPartitions("a", F.col("doc") != F.col("a"))
+    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("shares"))
+    dealt_out = pairs.join(shares, "a").select("a", F.col("b").alias("doc"), F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"))
+    members = texts.join(dealt_out, "doc").select("a", "share", "doc", "text")
+    centres = texts.join(shares.withColumnRenamed("a", "doc"), "doc").select(F.col("doc").alias("a"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "doc", "text")
+    rows = members.unionByName(centres).repartition(tasks(docs.sparkSession), "a", "share").sortWithinPartitions("a", "share", F.col("doc") != F.col("a"))
     return rows.mapInArrow(check, "a bigint, b bigint").distinct()
 
 
@@ -273,7 +282,59 @@ def plausible(pairs: DataFrame, signed: DataFrame, threshold: int) -> DataFrame:
             keep = pa.array((100 + threshold) * overlap >= threshold * (n[0] + n[1]))
             yield pa.RecordBatch.from_arrays([batch.column(s).filter(keep) for s in "ab"], names=["a", "b"])
 
+    size = lambda s: signed.select(F.col("doc").alias(s), F.col("n").alias(f"n_{s}"))
+    near = F.col("n_a") * 100 >= threshold * F.col("n_b")
+    sized = pairs.join(size("a"), "a").join(size("b"), "b").where(near & (F.col("n_b") * 100 >= threshold * F.col("n_a")))
     side = lambda s: signed.select(F.col("doc").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
+    return sized.join(side("a"), ["a", "n_a"]).join(side("b"), ["b", "n_b"]).mapInArrow(match, "a bigint, b bigint").distinct()
+
+
+def counters(docs: DataFrame, k: int) -> DataFrame:
+    """doc, n and counts: how many of its shingles fall into each of about n buckets (4 bits each; what exceeds them is left out)."""
+
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for part in text_slices(batches):
+            owner, hashes = distinct_sets(*shingles(part.column("text").combine_chunks(), k))
+            n = np.bincount(owner, minlength=part.num_rows)
+            ends, packed = np.concatenate([[0], np.cumsum(n)]), []
+            for i in range(part.num_rows):
+                width = max(8, 1 << int(max(n[i] - 1, 1)).bit_length())
+                c = np.minimum(np.bincount((hashes[ends[i]:ends[i + 1]] >> np.uint64(20)).astype(np.int64) & (width - 1), minlength=width), 15).astype(np.uint8)
+                packed.append((c[::2] | (c[1::2] << 4)).tobytes())
+            yield pa.RecordBatch.from_arrays([part.column("doc").combine_chunks(), pa.array(n), pa.array(packed, pa.binary())], names=["doc", "n", "counts"])
+
+    return docs.mapInArrow(count, "doc bigint, n bigint, counts binary")
+
+
+def unpacked(counts: bytes, width: int) -> np.ndarray:
+    """Counts folded to ``width`` buckets."""
+    raw = np.frombuffer(counts, np.uint8)
+    c = np.empty(2 * len(raw), np.int64)
+    c[::2], c[1::2] = raw & 15, raw >> 4
+    return c.reshape(-1, width).sum(axis=0)
+
+
+def closer(pairs: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
+    """The pairs (a, b; distinct, stashed) whose counts leave room for the threshold: a bucket holds at most as many common shingles as either side has."""
+
+    def match(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*[batch.column(c).to_pylist() for c in ("n_a", "n_b", "c_a", "c_b")], strict=True):
+                width = 2 * min(len(x), len(y))
+                x, y = unpacked(x, width), unpacked(y, width)
+                overlap = min(int(np.minimum(x, y).sum()) + min(n - int(x.sum()), m - int(y.sum())), n, m)
+                keep.append((100 + threshold) * overlap >= threshold * (n + m))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(s).filter(keep) for s in "ab"], names=["a", "b"])
+
+    ids = stash(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct())
+    counted = stash(counters(only_ids(docs, "doc", ids), k))
+    side = lambda s: counted.select(F.col("doc").alias(s), F.col("n").alias(f"n_{s}"), F.col("counts").alias(f"c_{s}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(match, "a bigint, b bigint").distinct()
 
 
@@ -331,38 +392,74 @@ def dual_traversal(x: Tree, y: Tree, threshold: int) -> tuple[np.ndarray, np.nda
     return x.order[i], y.order[j]
 
 
-def tree_pairs(members: DataFrame, threshold: int) -> DataFrame:
-    """a and b (a < b): documents of one group, in different components, that may link. members: key, doc, component, n, bits.
+def cells(members: DataFrame, threshold: int) -> DataFrame:
+    """Members (key, doc, n, ...) with ``cell`` and ``block``: the blocks of a group, two at a time.
 
-    A group is cut into blocks; each pair of blocks is a cell with a tree for each block, so a large group spreads out.
+    A group of more than BLOCK members is cut into bands of sizes and these, where large, into parts by id. Documents
+    that can link lie in one band or in two neighbours, so other blocks never meet.
     """
-    blocks = members.groupBy("key").count().select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    own = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    rows = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("cell", F.xxhash64("key", low, high)).select("cell", "block", "doc", "component", "n", "bits")
+    band = F.floor(F.log("n") / (log(100 / threshold) * (1 + 1e-9))).cast("long")
+    sized = members.withColumn("band", band)
+    runs = sized.groupBy("key", "band").agg(F.count("*").alias("rows"))
+    runs = runs.join(runs.groupBy("key").agg(F.sum("rows").alias("whole")), "key")
+    small = F.col("whole") <= BLOCK
+    parts = stash(runs.groupBy("key", F.when(small, 0).otherwise(F.col("band")).alias("band"), small.alias("small")).agg(F.ceil(F.sum("rows") / BLOCK).cast("long").alias("parts")))
+    beside = lambda name, step: parts.where("NOT small").select("key", (F.col("band") + step).alias("band"), F.col("parts").alias(name))
+    parts = parts.join(beside("lower", 1), ["key", "band"], "left").join(beside("upper", -1), ["key", "band"], "left")
+    one = sized.join(parts.where("small").select("key", "parts"), "key", "left")
+    large = one.where("parts IS NULL").drop("parts").join(parts.where("NOT small").drop("small"), ["key", "band"])
+    first = F.col("band") * (1 << 20)
+    blocks = lambda n, start: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), lambda i: start + i)).otherwise(F.array().cast("array<bigint>"))
+    large = large.withColumn("block", first + F.pmod(F.xxhash64("doc"), F.col("parts")))
+    large = large.withColumn("other", F.explode(F.concat(blocks("parts", first), blocks("lower", first - (1 << 20)), blocks("upper", first + (1 << 20)))))
+    large = large.withColumn("cell", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
+    one = one.where("parts IS NOT NULL").withColumn("block", F.lit(0).cast("long")).withColumn("cell", F.xxhash64("key"))
+    return one.select("cell", "block", *members.columns).unionByName(large.select("cell", "block", *members.columns))
+
+
+def met(members: DataFrame, signed: DataFrame, threshold: int, pairs: bool) -> DataFrame:
+    """Documents of one group, in different components, that may link.
+
+    members: key, doc, component, n. Without ``pairs``: key and doc of those with any candidate. With ``pairs``: a and b
+    (a < b), each in the group of the smallest key that both have (``keys``, sorted).
+    """
+    rows = cells(members, threshold).join(signed.select("doc", "n", "bits"), ["doc", "n"])
 
     def match(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for _, found in grouped(batches, "cell"):
-            trees, docs, components = [], [], []
             held: dict[int, list] = {}
             for r in found:
-                held.setdefault(r["block"], []).append((r["doc"], r["component"], r["n"], r["bits"]))
-            for rows_ in held.values():
-                doc, component, n = (np.array([x[i] for x in rows_], np.int64) for i in range(3))
-                docs.append(doc)
-                components.append(component)
-                trees.append(Tree(n, np.frombuffer(b"".join(x[3] for x in rows_), np.uint64).reshape(len(rows_), -1), component))
+                held.setdefault(r["block"], []).append(r)
+            sides = [([r["doc"] for r in own], [r["component"] for r in own], [r["n"] for r in own], own) for own in held.values()]
+            docs, parts = ([np.array(s[i], np.int64) for s in sides] for i in (0, 1))
+            trees = [Tree(np.array(s[2], np.int64), np.frombuffer(b"".join(r["bits"] for r in s[3]), np.uint64).reshape(len(s[3]), -1), c) for s, c in zip(sides, parts, strict=True)]
             x, y = 0, len(trees) - 1
             i, j = dual_traversal(trees[x], trees[y], threshold)
             a, b = docs[x][i], docs[y][j]
-            apart = (components[x][i] != components[y][j]) & (a != b)
-            a, b = a[apart], b[apart]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            apart = (parts[x][i] != parts[y][j]) & (a != b)
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            if not len(a):
+                continue
+            key = sides[0][3][0]["key"]
+            if not pairs:
+                out = np.unique(np.concatenate([a, b]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), key)), pa.array(out)], names=["key", "doc"])
+                continue
+            first = first_shared([r["keys"] for r in sides[x][3]], [r["keys"] for r in sides[y][3]], i, j, key)
+            a, b = a[first], b[first]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    dealt_out = rows.repartition(tasks(members.sparkSession), "cell").sortWithinPartitions("cell", "block")
+    return dealt_out.mapInArrow(match, "a bigint, b bigint" if pairs else "key bigint, doc bigint").distinct()
+
 
-    return rows.repartition(tasks(members.sparkSession), "cell").sortWithinPartitions("cell", "block").mapInArrow(match, "a bigint, b bigint").distinct()
+def first_shared(left: list, right: list, i: np.ndarray, j: np.ndarray, key: int) -> np.ndarray:
+    """Whether left[i] and right[j] (sorted keys) have none below ``key`` in common."""
+    low = [np.array([k for k in x if k < key], np.int64) for x in left]
+    other = low if right is left else [np.array([k for k in x if k < key], np.int64) for x in right]
+    return np.array([not len(np.intersect1d(low[p], other[q], assume_unique=True)) for p, q in zip(i.tolist(), j.tolist(), strict=True)], bool)
 
 
 def components(docs: DataFrame, words: int = 3, threshold: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -389,9 +486,15 @@ def components(docs: DataFrame, words: int = 3, threshold: int = 90, doc_id: str
     apart = groups.join(split, ["a", "b"], "left_semi").select("key").distinct()
     large = groups.join(stash(apart), "key", "left_semi").select("key", F.explode(F.array("a", "b")).alias("doc")).distinct()
     large = stash(large)
-    several = large.groupBy("key").count().where("count > 2").select("key")
-    members = stash(large.join(several, "key", "left_semi").join(whole, "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component")))
-    more = stash(tree_pairs(members.join(signed, "doc"), threshold).join(tried, ["a", "b"], "left_anti"))
+    # groups of three or more, and of those with the same members one
+    several = large.groupBy("key").agg(F.count("*").alias("rows"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("who")).where("rows > 2").groupBy("rows", "who").agg(F.min("key").alias("key")).select("key")
+    members = large.join(several, "key", "left_semi").join(whole, "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
+    members = stash(members.join(signed.select("doc", "n"), "doc"))
+    near = stash(met(members, signed, threshold, pairs=False))
+    lists = near.groupBy("doc").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # rare keys of one document
+    few = stash(members.join(near, ["key", "doc"], "left_semi").join(lists, "doc"))
+    more = stash(met(few, signed, threshold, pairs=True).join(tried, ["a", "b"], "left_anti"))
+    more = stash(closer(more, base, words, threshold)) if not more.isEmpty() else more
     new = stash(confirmed(more, base, words, threshold)) if not more.isEmpty() else more
     if not new.isEmpty():  # the components that the new links join, by their smallest documents
         merged = new.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("c_a", "a").alias("x"), F.coalesce("c_b", "b").alias("y")).where("x <> y")
