@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from tidemark.session import shared_folder
 from tidemark.sources import normalise as N
-from tidemark.sources import readers, sinks
+from tidemark.sources import archives, readers, sinks
 
 
 def test_upsert_keeps_newest_and_other_partitions(spark):
@@ -21,24 +21,50 @@ def test_upsert_keeps_newest_and_other_partitions(spark):
 
 
 def test_zipped_klines(spark, tmp_path):
-    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
-        z.writestr("a.csv", "open_time,open,high,low,close,volume,close_time,qv,n,tb,tq,i\n1700000000000,1,2,0.5,1.5,10,1700000059999,15,3,4,6,0\n")
-    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
-        z.writestr("b.csv", "1700000060000,1,2,0.5,1.5,10,1700000119999,15,3,4,6,0\n")
-    d = readers.zipped_klines(spark, str(tmp_path)).orderBy("open_time").collect()
-    assert [r["open_time"] for r in d] == [1700000000000000, 1700000060000000] and d[0]["taker_buy_base"] == 4.0
+    line = "{},1,2,0.5,1.5,10,{},15,3,4,6,0\n"
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.csv", "open_time,open,high,low,close,volume,close_time,qv,n,tb,tq,i\n" + line.format(1700000000000, 1700000059999))
+        z.writestr("more.csv", "".join(line.format(1700000060000 + 60000 * i, 1700000119999 + 60000 * i) for i in range(3000)))
+        z.writestr("readme.txt", "no bars")
+        z.writestr("empty.csv", "")
+    (tmp_path / "deep").mkdir()
+    with zipfile.ZipFile(tmp_path / "deep" / "b.zip", "w") as z:
+        z.writestr("b.csv", line.format(1700180060000000, 1700180119999000))
+    d = archives.archived_klines(spark, str(tmp_path))
+    assert d.rdd.getNumPartitions() == 3  # one for each member that holds bars
+    got = d.orderBy("open_time").collect()
+    assert [r["open_time"] for r in got] == [1700000000000000 + 60000000 * i for i in range(3001)] + [1700180060000000] and got[0]["taker_buy_base"] == 4.0
+    empty = tmp_path / "none"
+    empty.mkdir()
+    assert archives.archived_klines(spark, str(empty)).count() == 0
 
 
-def test_broken_lines_and_manifest(spark):
+def test_broken_lines(spark):
     path = sinks.scratch(spark, "lines")
     spark.createDataFrame([('{"a": 1}',), ('{"a": 2',)], "value string").coalesce(1).write.text(path)
     schema = T.StructType([T.StructField("a", T.LongType())])
     assert [r["a"] for r in readers.events(spark, path, schema).collect()] == [1]
-    before = readers.fingerprints(spark, path)
-    rows = before.collect()
-    assert readers.changed_files(before, before).count() == 0
-    fake = spark.createDataFrame([(r["path"], r["size"], "0") for r in rows], before.schema)
-    assert readers.changed_files(fake, before).count() == len(rows)
+
+
+def test_manifest_names_changed_ranges_however_files_are_split(spark, tmp_path):
+    body = bytearray(bytes(range(256)) * 4000 + b"tail without a feed")
+    for name in ("same", "changed", "lost"):
+        (tmp_path / name).write_bytes(bytes(body))
+    manifest = archives.range_digests(spark, str(tmp_path), 100_000).collect()
+    files = archives.file_digests(spark.createDataFrame(manifest)).collect()
+    assert {r["size"] for r in files} == {len(body)} and len({r["digest"] for r in files}) == 1 and len(manifest) == 3 * 11
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        assert sorted(archives.range_digests(spark, str(tmp_path), 100_000).collect()) == sorted(manifest)
+        body[250_005] ^= 1
+        body[-1] ^= 1
+        (tmp_path / "changed").write_bytes(bytes(body))
+        (tmp_path / "new").write_bytes(b"x\n")
+        (tmp_path / "lost").unlink()
+        got = archives.verify_manifest(spark.createDataFrame(manifest), archives.range_digests(spark, str(tmp_path), 100_000)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r["path"].rsplit("/", 1)[1]: (r["status"], r["ranges"]) for r in got} == {"changed": ("changed", [2, 10]), "lost": ("missing", list(range(11))), "new": ("unknown", [0])}
 
 
 def test_standard_bars_never_make_up_taker_flow(spark):

@@ -10,7 +10,7 @@ from tidemark.operators.resample import HOUR_US
 from tidemark.plans.registry import query
 from tidemark.plans.tables import BARS, DAY_US, TICKS, bars, read, ticks
 from tidemark.sources import normalise as N
-from tidemark.sources import readers, sinks
+from tidemark.sources import archives, readers, sinks
 from tidemark.streaming import core as S
 
 _SYM = "'S' || lpad(CAST(user_id % 16 AS VARCHAR), 2, '0')"
@@ -89,9 +89,59 @@ def part_manifest(spark, folder):
 
 @query("file_fingerprints", "A23")
 def file_fingerprints(spark, folder):
-    f = readers.fingerprints(spark, folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    return f.select(name.alias("file"), "size", "digest")
+    """Size and digest of every file of the tables, read by ranges."""
+    f = archives.file_digests(archives.range_digests(spark, folder))
+    return f.select(F.element_at(F.split("path", "/"), -1).alias("file"), "size", "digest")
+
+
+MANIFEST_RANGE = 2000
+_LINE = "event_id || ',' || ts_us || ',' || qty"
+_VER = f"""{TICKS}, l AS (SELECT symbol, event_id, {_LINE} AS line FROM ticks), w AS (SELECT *, CASE WHEN event_id % 97 = 5 AND symbol < 'S08' THEN line || '!' ELSE line END AS line2 FROM l),
+o AS (SELECT *, sum(length(line) + 1) OVER x - length(line) - 1 AS at1, sum(length(line2) + 1) OVER x - length(line2) - 1 AS at2 FROM w WINDOW x AS (PARTITION BY symbol ORDER BY event_id)),
+p AS (SELECT symbol, at1 // {MANIFEST_RANGE} AS range, string_agg(at1 || ':' || line, ';' ORDER BY event_id) AS h FROM o WHERE symbol <> 'S05' GROUP BY 1, 2), q AS (SELECT symbol, at2 // {MANIFEST_RANGE} AS range, string_agg(at2 || ':' || line2, ';' ORDER BY event_id) AS h FROM o WHERE symbol <> 'S11' GROUP BY 1, 2),
+j AS (SELECT coalesce(p.symbol, q.symbol) AS symbol, coalesce(p.range, q.range) AS range, p.h AS a, q.h AS b FROM p FULL JOIN q ON p.symbol = q.symbol AND p.range = q.range)"""
+
+
+@query("manifest_verification", "A24", f"""WITH {_VER} SELECT symbol, CASE WHEN count(b) = 0 THEN 'missing' WHEN count(a) = 0 THEN 'unknown' ELSE 'changed' END AS status, count(*) FILTER (a IS DISTINCT FROM b) AS n_ranges, min(range) FILTER (a IS DISTINCT FROM b) AS first_range
+ FROM j GROUP BY 1 HAVING count(*) FILTER (a IS DISTINCT FROM b) > 0""")
+def manifest_verification(spark, folder):
+    """A tree of one file a symbol against its manifest, after some lines changed, a file was lost and another came."""
+    t = ticks(spark, folder)
+    line = F.concat_ws(",", "event_id", "ts_us", "qty")
+    found = []
+    for k, keep, text in (("manifest", "symbol <> 'S05'", line), ("now", "symbol <> 'S11'", F.when((F.col("event_id") % 97 == 5) & (F.col("symbol") < "S08"), F.concat(line, F.lit("!"))).otherwise(line))):
+        path = sinks.scratch(spark, k)
+        t.where(keep).select("symbol", "event_id", text.alias("value")).repartition("symbol").sortWithinPartitions("symbol", "event_id").select("symbol", "value").write.partitionBy("symbol").text(path)
+        d = archives.range_digests(spark, path, MANIFEST_RANGE)
+        found.append(d.withColumn("path", F.regexp_extract("path", "symbol=([^/]+)", 1)))
+    d = archives.verify_manifest(*found)
+    return d.select(F.col("path").alias("symbol"), "status", F.size("ranges").cast("bigint").alias("n_ranges"), F.array_min("ranges").alias("first_range"))
+
+
+@query("archived_klines", "A11", f"""WITH {BARS} SELECT symbol, bar AS open_time, bar + {HOUR_US} - 1000 AS close_time, open, high, low, close, volume, quote_volume, trades, taker_buy_base, taker_buy_quote FROM bars""", "open high low close volume quote_volume trades taker_buy_base taker_buy_quote")
+def archived_klines(spark, folder):
+    """Hourly bars written as one archive a symbol, two members and more each, and read back member by member."""
+    text = lambda x: F.col(x).cast("string")
+    ms = lambda x: F.floor(x / 1000).cast("string")
+    cols = [ms(F.col("bar")), text("open"), text("high"), text("low"), text("close"), text("volume"), ms(F.col("bar") + HOUR_US - 1000), text("quote_volume"), text("trades"), text("taker_buy_base"), text("taker_buy_quote"), F.lit("0")]
+    b = bars(spark, folder).select("symbol", *[x.alias(k) for x, k in zip(cols, N.KLINE, strict=True)])
+    path = sinks.scratch(spark, "archives")
+    archives.write_archives(b, path, "symbol", list(N.KLINE), per_member=50)
+    d = archives.archived_klines(spark, path)
+    return d.select(F.regexp_extract("member", "^(S[0-9]+)-", 1).alias("symbol"), "open_time", "close_time", "open", "high", "low", "close", "volume", "quote_volume", "trades", "taker_buy_base", "taker_buy_quote")
+
+
+@query("document_upsert", "A18", """WITH a AS (SELECT doc_id, lang, source, n_chars AS payload, 1 AS v FROM documents WHERE doc_id % 3 < 2 UNION ALL SELECT doc_id, lang, source, n_chars + 1, 2 FROM documents WHERE doc_id % 3 > 0 UNION ALL SELECT doc_id, lang, source, n_chars + 1, 2 FROM documents WHERE doc_id % 3 > 0)
+SELECT sha256(concat_ws('|', coalesce(source, 'null'), coalesce(CAST(doc_id AS VARCHAR), 'null'))) AS doc_key, any_value(lang) AS lang, arg_max(payload, v) AS payload, max(v) AS version FROM a GROUP BY 1""")
+def document_upsert(spark, folder):
+    """Two batches, the second one sent twice: each document once, by the digest of its content, in its newest form."""
+    d = read(spark, folder, "documents").select("doc_id", "lang", "source", F.col("n_chars").alias("payload"))
+    path = sinks.scratch(spark, "documents")
+    first = d.where("doc_id % 3 < 2").withColumn("version", F.lit(1))
+    second = d.where("doc_id % 3 > 0").withColumns({"payload": F.col("payload") + 1, "version": F.lit(2)})
+    for batch in (first, second, second):
+        sinks.upsert_documents(batch, path, ["source", "doc_id"], ["lang"], ["version"])
+    return readers.tree(spark, path).select("doc_key", "lang", "payload", "version")
 
 
 @query("dataset_registry", "A26", f"WITH {TICKS} SELECT 'ticks' AS dataset, count(*) AS n_rows, min(ts_us) AS first, max(ts_us) AS last FROM ticks UNION ALL SELECT 'orders', count(*), min(epoch_us(o_orderdate)), max(epoch_us(o_orderdate)) FROM orders")

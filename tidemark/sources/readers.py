@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.scalars import c
-from tidemark.sources.normalise import KLINE, to_us
 
 CORRUPT = "_corrupt_record"
 
@@ -42,28 +36,6 @@ def lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
 
 
-def zipped_klines(spark: SparkSession, path: str) -> DataFrame:
-    """12-column kline CSVs inside ZIP files, with or without a header; one row per bar plus its file."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
-    schema = "file string, " + ", ".join(f"{k} string" for k in KLINE)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for file, blob in zip(b["path"], b["content"]):
-                with zipfile.ZipFile(io.BytesIO(blob)) as z:
-                    for member in z.namelist():
-                        with z.open(member) as f:
-                            for part in pd.read_csv(f, header=None, names=list(KLINE), dtype=str, chunksize=100_000):
-                                part = part[part["open_time"].str.fullmatch(r"\d+", na=False)]
-                                part.insert(0, "file", file)
-                                yield part
-
-    d = files.mapInPandas(run, schema)
-    nums = [k for k in KLINE if k not in ("open_time", "close_time", "ignore")]
-    return d.select("file", to_us(c("open_time").try_cast("bigint")).alias("open_time"), to_us(c("close_time").try_cast("bigint")).alias("close_time"),
-                    *[c(k).try_cast("double").alias(k) for k in nums])
-
-
 def quote_grid(quotes: DataFrame, keys: list[str], clock: str, step: int, bid: str, ask: str, received: str) -> DataFrame:
     """Last quote per grid cell with mid, spread and latency; empty cells stay absent."""
     d = quotes.groupBy(*keys, (c(clock) - F.pmod(c(clock), F.lit(step))).alias("cell")).agg(
@@ -74,20 +46,6 @@ def quote_grid(quotes: DataFrame, keys: list[str], clock: str, step: int, bid: s
                     ((c(f"q.{received}") - c(f"q.{clock}")) / 1000.0).alias("latency_ms"))
 
 
-def fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, digest) of every file below ``path``."""
-    d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return d.select("path", c("length").alias("size"), F.sha2("content", 256).alias("digest"))
-
-
-def changed_files(manifest: DataFrame, now: DataFrame) -> DataFrame:
-    """Files whose digest differs from the manifest, or that are on one side only."""
-    a = manifest.select("path", c("digest").alias("was"))
-    b = now.select("path", c("digest").alias("is"))
-    d = a.join(b, "path", "full")
-    return d.where(~c("was").eqNullSafe(c("is")))
-
-
 def registry_row(df: DataFrame, name: str, clock: Column) -> DataFrame:
     """One row about a dataset: rows, span and schema digest."""
     text = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in sorted(df.schema.fields, key=lambda f: f.name))
