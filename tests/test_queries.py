@@ -15,7 +15,8 @@ SAMPLE = ["event_study", "asof_context", "asof_forward", "mutual_match", "other_
           "event_path_labels", "centred_rank", "overlapping_portfolio", "episode_metrics", "placebo_time_shuffle", "bootstrap_lower_bound", "global_spearman", "bh_qvalues", "oi_cascade",
           "pit_audit", "html_to_text", "lexicon_sentiment", "series_coverage", "order_book_replay", "wallet_flow", "partitioned_upsert", "stream_sessions", "stream_suppressed_triggers", "volume_family",
           "cscv_overfitting", "cluster_robust", "forced_flow_reversal", "spearman_matrix", "ridge_walk_forward", "har_components", "ewma_volatility", "volume_accumulators", "next_price_move", "stream_event_clusters",
-          "screen_applied", "capacity_policy"]
+          "screen_applied", "capacity_policy", "sequence_features", "state_tape", "stream_state_tape", "stream_snapshot_alignment", "stream_capture_windows", "stream_book_metrics", "stream_listing_changes", "manifest_verification",
+          "archived_klines", "document_upsert", "live_validation", "rank_duplicates", "har_regression"]
 
 
 @pytest.fixture(scope="module")

@@ -213,16 +213,24 @@ def versioned_changes(stream: DataFrame, poll: str, key: Sequence[str], fields:
     is the baseline. Each batch reads the newest listing that an earlier batch left and writes its changes and its own
     newest listing under its number, so a batch that is repeated replaces its own rows and changes nothing else.
     """
-    spark, key = stream.sparkSession, list(key)
+    spark = stream.sparkSession
     base, state = scratch(spark, "listings"), scratch(spark, "stream-state")
-    kept = T.StructType([f for f in stream.schema.fields])
+    step, rows = listing_step(stream, base, poll, key, fields)
+    stream.writeStream.foreachBatch(step).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(T.StructType([*rows.fields, T.StructField("batch", T.LongType())])).parquet(f"{base}/changes").drop("batch")
+
+
+def listing_step(stream: DataFrame, base: str, poll: str, key: Sequence[str], fields: Sequence[str]) -> tuple[Callable, T.StructType]:
+    """What one batch does, and the schema of the changes below ``base``."""
+    spark, key = stream.sparkSession, list(key)
+    kept = T.StructType(list(stream.schema.fields))
     rows = T.StructType([*[stream.schema[k] for k in key], T.StructField(poll, stream.schema[poll].dataType), *[T.StructField(x, T.StringType()) for x in ("change", "field", "old", "new")]])
-    # a folder with a schema from the start, also for a stream without any change
+    # folders with a schema from the start, also for a stream without any change
     for path, kind in ((f"{base}/changes/batch=-1", rows), (f"{base}/latest/batch=-1", kept)):
         spark.createDataFrame([], kind).write.parquet(path)
 
     def step(df: DataFrame, number: int) -> None:
-        df = df.sparkSession.createDataFrame([], kept) if df.isEmpty() else pin(df.select(*kept.names))
+        df = pin(df.select(*kept.names))
         left = spark.read.schema(T.StructType([*kept.fields, T.StructField("batch", T.LongType())])).parquet(f"{base}/latest").where(F.col("batch") < number)
         newest = left.agg(F.max("batch")).first()[0]
         both = df.unionByName(left.where(F.col("batch") == newest).drop("batch")) if newest is not None else df
@@ -235,8 +243,7 @@ def versioned_changes(stream: DataFrame, poll: str, key: Sequence[str], fields:
         if top is not None:
             both.where(F.col(poll) == top).write.mode("overwrite").parquet(f"{base}/latest/batch={number}")
 
-    stream.writeStream.foreachBatch(step).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(T.StructType([*rows.fields, T.StructField("batch", T.LongType())])).parquet(f"{base}/changes").drop("batch")
+    return step, rows
 
 
 def snapshot_changes(before: DataFrame, after: DataFrame, key: Sequence[str], fields: Sequence[str]) -> DataFrame:
