@@ -154,22 +154,32 @@ def test_text(spark):
     assert d.select(T.tag_names("x")).first()[0] == ["BTCUSDT"]
 
 
-def test_kama_is_the_same_in_blocks(spark):
+def test_smoothers_carry_their_state_between_blocks(spark):
+    """Missing stretches longer than the rows copied in front of a block, at its edges and inside."""
     import numpy as np
 
-    from tidemark.operators import features as X
     from tidemark.operators import recurrence as K
     from tidemark.operators.blocks import sequence
 
     dice = np.random.default_rng(3)
-    x = 100 + dice.normal(0, 0.5, 26_000).cumsum() * 0.01 + np.where(np.arange(26_000) > 9_000, 40.0, 0.0)
-    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "k string, t bigint, close double")
-    back = X.look_back([10], True)
-    assert back >= K.KAMA_WARMUP
-    run = lambda size: {r.t: r.kama for r in K.kernel_pass(sequence(df, ["k"], ["t"], back=back, size=size), {"kama": (K.kama(10), ["close"])}).result("t", "kama").collect()}
-    whole, cut = run(250_000), run(4_000)
-    assert len(whole) == len(cut) == 26_000
-    assert max(abs(whole[t] - cut[t]) for t in whole if whole[t] is not None) < 1e-9
+    n, size = 26_000, 4_000
+    x = 100 + dice.normal(0, 0.5, n).cumsum() * 0.01 + np.where(np.arange(n) > 9_000, 40.0, 0.0)
+    gone = np.zeros(n, bool)
+    for a, b in ((3_500, 8_200), (11_900, 12_100), (15_000, 15_001), (19_000, 25_000)):
+        gone[a:b] = True
+    gone |= dice.random(n) < 0.05
+    rows = [(k, i, None if gone[i] or k == "none" else float(v), None if gone[i] else float(v) + 1, float(v) - 1) for k in ("a", "none") for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "k string, t bigint, close double, high double, low double").repartition(3)
+    hlc = ["high", "low", "close"]
+    outs = {"ema": (K.ema(12), ["close"]), "tema": (K.tema(12), ["close"]), "trix": (K.trix(9), ["close"]), "rsi": (K.rsi(14), ["close"]), "kama": (K.kama(10), ["close"]), "atr": (K.atr(14), hlc), "adx": (K.directional(14, "adx"), hlc),
+            "tsi": (K.tsi(10), ["close"]), "adjusted": (K.ewm_adjusted(20), ["close"]), "vol": (K.ewma_vol(60, 8760), ["close"]), "slow": (K.ema(400), ["close"])}
+    run = lambda size: {(r.k, r.t): r for r in K.kernel_pass(sequence(df, ["k"], ["t"], back=60, size=size), outs).result("k", "t", *outs).collect()}
+    whole, parts = run(250_000), run(size)
+    assert len(whole) == len(parts) == 2 * n
+    for name in outs:
+        got, want = (np.array([np.nan if d[key][name] is None else d[key][name] for key in sorted(whole)]) for d in (parts, whole))
+        assert np.array_equal(np.isnan(got), np.isnan(want)), name
+        assert np.nanmax(np.abs(got - want)) < 1e-8, name
 
 
 def test_deflated_sharpe_is_below_the_plain_one(spark, sf):

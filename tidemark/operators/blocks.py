@@ -17,7 +17,7 @@ skipped and the plan is a single shuffle on the key.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -39,6 +39,8 @@ class Seq:
     keys: tuple[str, ...]
     order: tuple[str, ...]
     single: bool = False
+    size: int = 0
+    back: int = 0
 
     def by(self) -> WindowSpec:
         return Window.partitionBy(*self.keys, BLK).orderBy(*self.order)
@@ -47,7 +49,7 @@ class Seq:
         return self.by().rowsBetween(lo, hi)
 
     def add(self, cols: dict[str, Column]) -> Seq:
-        return Seq(self.df.withColumns(cols), self.keys, self.order, self.single)
+        return replace(self, df=self.df.withColumns(cols))
 
     def result(self, *cols: str) -> DataFrame:
         out = self.df.where(F.col(CORE)).drop(BLK, CORE, RN)
@@ -122,7 +124,7 @@ def sequence(df: DataFrame, keys: Sequence[str], order: Sequence[str], back: int
     ))
     d = d.withColumn("_home", home).withColumn(BLK, F.explode(copies))
     d = d.withColumn(CORE, F.col(BLK) == F.col("_home")).drop("_home")
-    return Seq(d, tuple(keys), tuple(order))
+    return Seq(d, tuple(keys), tuple(order), size=size, back=back)
 
 
 def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column],

@@ -28,7 +28,7 @@ def bar_columns() -> tuple[Column, ...]:
 
 def look_back(horizons: Sequence[int], recursive: bool) -> int:
     n = max(horizons)
-    return max(8 * n + 40, K.warmup(2 * n, 3), K.KAMA_WARMUP) if recursive else 8 * n + 40
+    return max(8 * n + 40, K.warmup(2 * n, 3)) if recursive else 8 * n + 40
 
 
 def recursive_columns(horizons: Sequence[int]) -> dict:

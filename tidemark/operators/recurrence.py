@@ -1,14 +1,15 @@
 """Values that depend on the value before: smoothing, runs, state machines.
 
-Smoothers forget: after ``warmup`` rows the weight of an older value is below 1e-17,
-under the rounding of a double. A block with that many copied rows in front therefore
-gives the same numbers as one scan of the whole key, whatever the key's size.
+A smoother's step is affine in its state, so a block of rows is an affine map too: where a key has several blocks, each
+reports its map, the maps are folded in order, and every block then starts from the state that one scan of the whole key
+has there, after however many missing values. A smoother of a smoother takes one such pass more for each level.
 Runs and states use gaps-and-islands over windows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -19,37 +20,184 @@ from pyspark.sql import types as T
 from tidemark.functions.scalars import c, clean
 from tidemark.operators.asof import asof_join
 from tidemark.operators.blocks import BLK, BLOCK_ROWS, RN, TB, Seq, carried, cut, number_rows, running_total, sequence
+from tidemark.session import pin
 
 EPS = 1e-12
 
 
-#: Rows after which an adaptive average has forgotten even at its slowest rate, (2 / 31) ** 2.
-KAMA_WARMUP = 10_000
-
-
 def warmup(span: float, depth: int = 1) -> int:
-    """Rows after which a smoother of this span (nested ``depth`` times) has forgotten."""
+    """Rows copied in front of a block for kernels of this span: twice what their bounded windows look at."""
     return int(20 * (span + 1) * (1 + 0.35 * (depth - 1))) + 10
 
 
+class Carry:
+    """The smoothers of one block in the order in which they are called: their states at the start, and their maps.
+
+    ``start`` to ``stop`` are the rows whose map is reported; outputs begin at ``start``. A state is (value, rows since,
+    weight, count), a map (kind, rate, rows, first, value there, rate there, end, factor, rows since, sum, weight, count).
+    """
+
+    now: Carry | None = None
+
+    def __init__(self, start: int, stop: int, states: np.ndarray):
+        self.start, self.stop, self.states, self.maps = start, stop, states, []
+
+    def state(self) -> np.ndarray:
+        k = len(self.maps)
+        return self.states[k] if k < len(self.states) else np.array([np.nan, 0.0, 0.0, 0.0])
+
+    def placed(self, x: pd.Series, values: np.ndarray) -> pd.Series:
+        out = np.full(len(x), np.nan)
+        out[self.start:] = values
+        return pd.Series(out, index=x.index)
+
+    def ewm(self, x: pd.Series, alpha: float) -> pd.Series:
+        value, since, _, _ = self.state()
+        v = x.to_numpy(dtype="float64")[self.start:]
+        part = v[:self.stop - self.start]
+        have = np.flatnonzero(~np.isnan(part))
+        if len(have):
+            own = pd.Series(part[have[0]:]).ewm(alpha=alpha, adjust=False).mean().to_numpy()
+            w = (1.0 - alpha) ** np.diff(have).astype("float64")
+            self.maps.append([0, alpha, len(part), have[0], part[have[0]], alpha, own[-1], np.prod(w / (w + alpha)), len(part) - 1 - have[-1], 0, 0, 0])
+        else:
+            self.maps.append([0, alpha, len(part), -1, 0, 0, 0, 0, 0, 0, 0, 0])
+        if np.isnan(value):
+            return self.placed(x, pd.Series(v).ewm(alpha=alpha, adjust=False).mean().to_numpy())
+        gap = int(min(since, 750 / alpha))  # beyond that the weight is 0
+        led = np.concatenate([[value], np.full(gap, np.nan), v])
+        return self.placed(x, pd.Series(led).ewm(alpha=alpha, adjust=False).mean().to_numpy()[1 + gap:])
+
+    def adjusted(self, x: pd.Series, alpha: float, least: int) -> pd.Series:
+        total, _, weight, count = self.state()
+        total = 0.0 if np.isnan(total) else total
+        v = x.to_numpy(dtype="float64")[self.start:]
+        have = ~np.isnan(v)
+        fade = (1.0 - alpha) ** np.arange(1, len(v) + 1)
+        mean = pd.Series(v).ewm(alpha=alpha).mean().fillna(0.0).to_numpy()
+        w = pd.Series(have.astype("float64")).ewm(alpha=alpha).mean().to_numpy() * (1.0 - fade) / alpha if len(v) else np.zeros(0)
+        k = self.stop - self.start
+        self.maps.append([2, alpha, k, -1, 0, 0, 0, 0, 0, mean[k - 1] * w[k - 1] if k else 0, w[k - 1] if k else 0, have[:k].sum()])
+        all_w = w + fade * weight
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out = np.where(have.cumsum() + count >= least, (mean * w + fade * total) / all_w, np.nan)
+        return self.placed(x, out)
+
+    def adaptive(self, x: pd.Series, rates: np.ndarray) -> pd.Series:
+        value = self.state()[0]
+        v, r = x.to_numpy(dtype="float64")[self.start:], rates[self.start:]
+        k = self.stop - self.start
+        have = np.flatnonzero(~np.isnan(v[:k]))
+        if len(have):
+            f = have[0]
+            self.maps.append([1, 0, k, f, v[f], r[f], follow(v[f:k], r[f:k], np.nan)[-1], np.prod(1.0 - r[have[1:]]), 0, 0, 0, 0])
+        else:
+            self.maps.append([1, 0, k, -1, 0, 0, 0, 0, 0, 0, 0, 0])
+        return self.placed(x, follow(v, r, value))
+
+
+def carried_states(maps: list[np.ndarray]) -> list[np.ndarray]:
+    """The states at the start of each block, from the blocks' maps in order."""
+    state = np.tile([np.nan, 0.0, 0.0, 0.0], (len(maps[0]), 1))
+    out = []
+    for block in maps:
+        out.append(state)
+        state = state.copy()
+        for s, (kind, rate, rows, first, x, r, end, factor, since, total, weight, count) in zip(state, block, strict=True):
+            if kind == 2:
+                fade = (1.0 - rate) ** rows
+                s[:] = (0.0 if np.isnan(s[0]) else s[0]) * fade + total, 0.0, s[2] * fade + weight, s[3] + count
+            elif first < 0:
+                s[1] += rows
+            else:
+                w = (1.0 - rate) ** (s[1] + first + 1) if kind == 0 else 1.0 - r
+                begin = x if np.isnan(s[0]) else (w * s[0] + r * x) / (w + r)
+                s[0], s[1] = end + factor * (begin - x), since
+    return out
+
+
+def follow(values: np.ndarray, rates: np.ndarray, last: float) -> np.ndarray:
+    """last + rate * (value - last), step by step over the values that are there."""
+    out = np.empty(len(values))
+    for i in range(len(values)):
+        v = values[i]
+        if v == v:
+            last = v if last != last else last + rates[i] * (v - last)
+        out[i] = last
+    return out
+
+
+def ewm(x: pd.Series, alpha: float) -> pd.Series:
+    return Carry.now.ewm(x, alpha) if Carry.now else x.ewm(alpha=alpha, adjust=False).mean()
+
+
+def levels(depth: int):
+    """Marks a kernel with how many smoothers feed one another in it."""
+    def mark(fn):
+        fn.depth = depth
+        return fn
+
+    return mark
+
+
 def kernel_pass(s: Seq, outputs: dict[str, tuple[Callable, Sequence[str]]]) -> Seq:
     """Add one double column per entry: ``fn(*columns)`` on the block's ordered values.
 
-    All recurrences of a feature set go through one Arrow pass; a group is one block.
+    All recurrences of a feature set go through one Arrow pass; a group is one block. Where keys have several blocks,
+    the states of the smoothers are carried between them first, one pass for each level. A kernel's bounded windows may
+    look at half of the rows copied in front of a block.
     """
     keep = s.df.columns
     schema = T.StructType(list(s.df.schema.fields) + [T.StructField(k, T.DoubleType()) for k in outputs])
-    order = list(s.order)
+    order, keys, size, half = list(s.order), list(s.keys), s.size, s.back // 2
     work = dict(outputs)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def kernels(pdf: pd.DataFrame, states: np.ndarray | None):
         pdf = pdf.sort_values(order, kind="stable")
-        for name, (fn, cols) in work.items():
-            pdf[name] = np.asarray(fn(*[pdf[x].astype("float64") for x in cols]), dtype="float64")
-        return pdf
+        if states is not None:
+            block = int(pdf[BLK].iloc[0])
+            start, stop = np.searchsorted(pdf[RN].to_numpy(), [max(0, block * size - half), (block + 1) * size - half])
+            Carry.now = Carry(int(start), int(stop), states)
+        try:
+            found = {name: np.asarray(fn(*[pdf[x].astype("float64") for x in cols]), dtype="float64") for name, (fn, cols) in work.items()}
+            return pdf.assign(**found), Carry.now
+        finally:
+            Carry.now = None
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return kernels(pdf, None)[0]
+
+    passes = 0 if s.single else max(getattr(fn, "depth", 0) for fn, _ in work.values())
+    if not passes:
+        out = s.df.groupBy(*keys, BLK).applyInPandas(run, schema)
+        return replace(s, df=out.select(*keep, *[clean(k).alias(k) for k in outputs]))
+
+    rows = pin(s.df)
+    ids = T.StructType([rows.schema[k] for k in (*keys, BLK)])
+    small = T.StructType([*ids.fields, T.StructField("carry_", T.BinaryType())])
+    unpack = lambda b: np.frombuffer(b, dtype="float64")
+
+    def report(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        maps = kernels(pdf, unpack(known["carry_"].iloc[0]).reshape(-1, 4))[1].maps
+        return pdf[[*keys, BLK]].head(1).assign(carry_=[np.array(maps, dtype="float64").tobytes()])
 
-    out = s.df.groupBy(*s.keys, BLK).applyInPandas(run, schema)
-    return Seq(out.select(*keep, *[clean(k).alias(k) for k in outputs]), s.keys, s.order, s.single)
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(BLK)
+        return pdf.assign(carry_=[x.tobytes() for x in carried_states([unpack(b).reshape(-1, 12) for b in pdf["carry_"]])])
+
+    def finish(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        return kernels(pdf, unpack(known["carry_"].iloc[0]).reshape(-1, 4))[0]
+
+    both = lambda states: rows.groupBy(*keys, BLK).cogroup(states.groupBy(*keys, BLK))
+    states = rows.select(*keys, BLK).distinct().withColumn("carry_", F.lit(b""))
+    for _ in range(passes):
+        maps = both(states).applyInPandas(report, small)
+        if keys:
+            states = pin(maps.groupBy(*keys).applyInPandas(fold, small))  # one row for each block of a key
+        else:
+            states = pin(maps.groupBy(F.lit(0)).applyInPandas(fold, small))
+    out = both(states).applyInPandas(finish, schema)
+    return replace(s, df=out.select(*keep, *[clean(k).alias(k) for k in outputs]))
 
 
 def smooth(df: DataFrame, keys, order, outputs, back: int, size: int = 250_000) -> DataFrame:
@@ -60,25 +208,30 @@ def smooth(df: DataFrame, keys, order, outputs, back: int, size: int = 250_000)
 # --- kernels: pandas series in, array out ---------------------------------------------------
 
 def ema(span: float):
-    return lambda x: x.ewm(span=max(span, 1), adjust=False).mean()
+    return levels(1)(lambda x: ewm(x, 2.0 / (max(span, 1) + 1)))
 
 
 def ewm_com(com: float):
-    return lambda x: x.ewm(com=com, adjust=False).mean()
+    return levels(1)(lambda x: ewm(x, 1.0 / (1.0 + com)))
 
 
 def ewm_alpha(alpha: float):
-    return lambda x: x.ewm(alpha=alpha, adjust=False).mean()
+    return levels(1)(lambda x: ewm(x, alpha))
 
 
 def ewm_adjusted(span: int):
     """Weighted mean normalised by the weights so far; missing until ``span`` values."""
-    return lambda x: x.ewm(span=span, min_periods=span).mean()
+    return levels(1)(lambda x: Carry.now.adjusted(x, 2.0 / (span + 1), span) if Carry.now else x.ewm(span=span, min_periods=span).mean())
 
 
 def dema(span: int):
     e = ema(span)
-    return lambda x: 2 * e(x) - e(e(x))
+
+    def fn(x):
+        a = e(x)
+        return 2 * a - e(a)
+
+    return levels(2)(fn)
 
 
 def tema(span: int):
@@ -89,7 +242,7 @@ def tema(span: int):
         b = e(a)
         return 3 * a - 3 * b + e(b)
 
-    return fn
+    return levels(3)(fn)
 
 
 def rsi(n: int, eps: float = EPS):
@@ -100,7 +253,7 @@ def rsi(n: int, eps: float = EPS):
         ratio = (s(d.clip(lower=0)) / (s(-d.clip(upper=0)) + eps)).fillna(0.0)
         return 100.0 - 100.0 / (1.0 + ratio)
 
-    return fn
+    return levels(1)(fn)
 
 
 def kama(n: int, fast: int = 2, slow: int = 30):
@@ -110,16 +263,9 @@ def kama(n: int, fast: int = 2, slow: int = 30):
         move = (x - x.shift(n)).abs()
         path = x.diff().abs().rolling(n, min_periods=1).sum()
         rate = ((move / (path + EPS)).fillna(0.0) * (quick - lazy) + lazy) ** 2
-        values, rates = x.to_numpy(), rate.to_numpy()
-        out, last = np.empty(len(values)), np.nan
-        for i in range(len(values)):
-            v = values[i]
-            if v == v:
-                last = v if last != last else last + rates[i] * (v - last)
-            out[i] = last
-        return out
+        return Carry.now.adaptive(x, rate.to_numpy()) if Carry.now else follow(x.to_numpy(), rate.to_numpy(), np.nan)
 
-    return fn
+    return levels(1)(fn)
 
 
 def true_range(h, l, cl):
@@ -128,7 +274,7 @@ def true_range(h, l, cl):
 
 
 def atr(span: int):
-    return lambda h, l, cl: ema(span)(true_range(h, l, cl))
+    return levels(1)(lambda h, l, cl: ema(span)(true_range(h, l, cl)))
 
 
 def directional(n: int, part: str):
@@ -146,7 +292,7 @@ def directional(n: int, part: str):
             return minus
         return s(100 * ((plus - minus).abs() / (plus + minus + EPS)).fillna(0.0))
 
-    return fn
+    return levels(2)(fn)
 
 
 def tsi(n: int):
@@ -156,12 +302,12 @@ def tsi(n: int):
         m = x.diff()
         return 100 * (fast(slow(m)) / (fast(slow(m.abs())) + EPS)).fillna(0.0)
 
-    return fn
+    return levels(2)(fn)
 
 
 def trix(n: int):
     e = ema(n)
-    return lambda x: e(e(e(x))).pct_change(fill_method=None) * 100.0
+    return levels(3)(lambda x: e(e(e(x))).pct_change(fill_method=None) * 100.0)
 
 
 def ewma_vol(span: int, per_year: float):
@@ -169,7 +315,7 @@ def ewma_vol(span: int, per_year: float):
         r = np.log(x / x.shift(1))
         return np.sqrt(ema(span)(r ** 2) * per_year)
 
-    return fn
+    return levels(1)(fn)
 
 
 def prior_rank(n: int, minp: int):
