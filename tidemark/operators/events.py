@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -155,4 +156,4 @@ def forced_flow(s: Seq, signed_volume: str, oi_change: str, residual: str, windo
     s = s.add({"flow_rank": place, "_sd": R.prior(s, F.stddev_samp, residual, window)})
     hit = (F.col("flow_rank") >= rank) & (F.col(oi_change) <= drop) & (F.abs(residual) >= shock * F.col("_sd"))
     s = s.add({out: F.coalesce(hit, F.lit(False))})
-    return Seq(s.df.drop("_sd", *cols), s.keys, s.order, s.single)
+    return replace(s, df=s.df.drop("_sd", *cols))

@@ -373,7 +373,7 @@ def threshold_sweep(spark, folder):
     return d.groupBy("th").agg(F.count(F.when(ok, 1)).alias("n"), F.sum(ind(ok, F.col("ret") - 0.1)).alias("pnl"))
 
 
-@query("rolling_selection", "N65 K15 K16", f"""WITH {_DAILY} SELECT symbol, day, p, CASE WHEN count(p) OVER w >= 10 THEN greatest(quantile_cont(p, 0.8) OVER w, 0, 20) END AS threshold, CASE WHEN count(p) OVER w >= 10 THEN p > 0 AND p >= greatest(quantile_cont(p, 0.8) OVER w, 0, 20) END AS kept
+@query("rolling_selection", "N65", f"""WITH {_DAILY} SELECT symbol, day, p, CASE WHEN count(p) OVER w >= 10 THEN greatest(quantile_cont(p, 0.8) OVER w, 0, 20) END AS threshold, CASE WHEN count(p) OVER w >= 10 THEN p > 0 AND p >= greatest(quantile_cont(p, 0.8) OVER w, 0, 20) END AS kept
  FROM dy WINDOW w AS (PARTITION BY symbol ORDER BY day RANGE BETWEEN 180 PRECEDING AND 1 PRECEDING)""", "p threshold")
 def rolling_selection(spark, folder):
     # One row per symbol and day, so a 180-day frame holds at most 180 rows.

@@ -132,7 +132,7 @@ def prevailing_quote(spark, folder):
         F.avg(F.when(gap <= F.col("q_qty"), 1.0).otherwise(0.0)).alias("at_touch"))
 
 
-@query("trailing_event_counts", "C13 K12", f"""WITH {TICKS}, e AS (SELECT * FROM ticks WHERE kind = 'error')
+@query("trailing_event_counts", "C13", f"""WITH {TICKS}, e AS (SELECT * FROM ticks WHERE kind = 'error')
 SELECT event_id, symbol, CAST(count(*) OVER (ORDER BY ts_us RANGE BETWEEN 1800000000 PRECEDING AND 1 PRECEDING) AS BIGINT) AS n_all_30m,
  CAST(count(*) OVER (PARTITION BY symbol ORDER BY ts_us RANGE BETWEEN {DAY_US} PRECEDING AND 1 PRECEDING) AS BIGINT) AS n_own_24h FROM e""")
 def trailing_event_counts(spark, folder):
@@ -142,7 +142,7 @@ def trailing_event_counts(spark, folder):
     return d.select("event_id", "symbol", F.col("n_all_30m").cast("bigint").alias("n_all_30m"), F.col("n_own_24h").cast("bigint").alias("n_own_24h"))
 
 
-@query("other_symbol_density", "C14 K14", f"""WITH {TICKS}, e AS (SELECT * FROM ticks WHERE kind = 'error')
+@query("other_symbol_density", "C14", f"""WITH {TICKS}, e AS (SELECT * FROM ticks WHERE kind = 'error')
 SELECT a.event_id, a.symbol, count(DISTINCT b.symbol) AS density FROM e a LEFT JOIN e b ON b.symbol <> a.symbol AND b.ts_us < a.ts_us AND b.ts_us > a.ts_us - {HOUR_US}
 GROUP BY a.event_id, a.symbol""")
 def other_symbol_density(spark, folder):

@@ -73,7 +73,7 @@ def universe_deviation(spark, folder):
     return panel(spark, folder).select("day", "symbol", (-div(F.col("ratio") - mid, F.stddev_samp("ratio").over(w))).alias("dev"))
 
 
-@query("relative_value_dislocation", "G9 K4", f"""WITH {_MKT}, y AS (SELECT day, symbol, r - m AS resid, close / spot - 1 AS basis, 2 * tbq / qv - 1 AS flow FROM x), z AS (SELECT *, (basis - median(basis) OVER d) AS bz, (flow - avg(flow) OVER d) / nullif(stddev_samp(flow) OVER d, 0) AS fz,
+@query("relative_value_dislocation", "", f"""WITH {_MKT}, y AS (SELECT day, symbol, r - m AS resid, close / spot - 1 AS basis, 2 * tbq / qv - 1 AS flow FROM x), z AS (SELECT *, (basis - median(basis) OVER d) AS bz, (flow - avg(flow) OVER d) / nullif(stddev_samp(flow) OVER d, 0) AS fz,
  CASE WHEN count(resid) OVER p = 30 THEN stddev_samp(resid) OVER p END AS sd FROM y WINDOW d AS (PARTITION BY day), p AS {_PW(30, '1 PRECEDING')})
 SELECT day, symbol, bz, fz, sd, bz > 0.1 AND fz > 0.5 AND resid > 0.5 * sd AS hit FROM z WHERE sd IS NOT NULL AND bz IS NOT NULL AND fz IS NOT NULL AND resid IS NOT NULL""", "bz fz sd")
 def relative_value_dislocation(spark, folder):
