@@ -166,3 +166,67 @@ def band_metrics(bids: str, asks: str, bands: Sequence[int]) -> dict[str, Column
     first = min(bands)
     gap, both = out[f"bid_{first}"] - out[f"ask_{first}"], out[f"bid_{first}"] + out[f"ask_{first}"]
     return out | {"covered_bps": covered, f"imbalance_{first}": div(gap, both)}
+
+
+# --- what a launch book supports -----------------------------------------------------------------
+
+#: Requested bands (bps), order sizes, and limits of the status.
+LAUNCH_BANDS, NOTIONALS, WIDE_BPS, THIN_USD = (10, 25, 50), (100.0, 500.0, 1000.0), 50.0, 1000.0
+
+
+def native_within(side: Column, bps: float) -> tuple[Column, Column]:
+    """(cumulative notional, band) of the largest native band not beyond ``bps``; missing below the first band, never interpolated.
+
+    ``side`` is a sorted array of (bps, cum).
+    """
+    last = F.try_element_at(F.filter(side, lambda b: b["bps"] <= bps), F.lit(-1))
+    return last["cum"], last["bps"]
+
+
+def band_imbalance(bids: Column, asks: Column, bps: float) -> Column:
+    b, a = native_within(bids, bps)[0], native_within(asks, bps)[0]
+    return F.when(b + a > 0, (b - a) / (b + a))
+
+
+def at_band(side: Column, bps: int) -> Column:
+    return F.try_element_at(F.filter(side, lambda b: b["bps"] == bps), F.lit(1))["cum"]
+
+
+def launch_depth(bids: str, asks: str, ok: Column) -> dict[str, Column]:
+    """Depths within the requested bands and whether they are lower bounds, native depths, slippage of orders with its upper bound, imbalances; all missing where the book is not ``ok``."""
+    out: dict[str, Column] = {"resolution_bps": F.when(ok, F.least(F.element_at(bids, 1)["bps"], F.element_at(asks, 1)["bps"]))}
+    for name, side, act in (("bid", c(bids), "sell"), ("ask", c(asks), "buy")):
+        for b in LAUNCH_BANDS:
+            v, used = native_within(side, b)
+            out[f"{name}_depth_{b}"], out[f"{name}_depth_{b}_is_bound"] = F.when(ok, v), F.when(ok & v.isNotNull(), used < b)
+        for b in (20, 100):
+            out[f"{name}_native_{b}"] = F.when(ok, at_band(side, b))
+        for n in NOTIONALS:
+            reach = F.try_element_at(filled(side, n), F.lit(1))
+            out[f"{act}_slippage_{int(n)}"], out[f"{act}_slippage_{int(n)}_bound"] = F.when(ok, slippage(side, n)), F.when(ok, reach["bps"])
+    return out | {f"imbalance_{b}": F.when(ok, band_imbalance(c(bids), c(asks), b)) for b in (10, 20, 25)}
+
+
+def filled(side: Column, notional: float) -> Column:
+    return F.filter(side, lambda x: x["cum"] >= notional)
+
+
+def capacity_status(ok: str, error: str, resolution: str, bid20: str, ask20: str, bid100: str, ask100: str, spread: str) -> tuple[Column, Column]:
+    """(status, score): what the book was seen to support; a score of 50 for depth and 50 for the spread."""
+    fine = c(resolution) == 20
+    thin = F.when(fine, F.least(F.coalesce(bid20, F.lit(0.0)), F.coalesce(ask20, F.lit(0.0)))).otherwise(F.least(F.coalesce(bid100, F.lit(0.0)), F.coalesce(ask100, F.lit(0.0))))
+    depth = 50.0 * clip((F.log10(F.greatest(thin, F.lit(1.0))) - 2.0) / 2.0, 0.0, 1.0) * F.when(fine, 1.0).otherwise(0.5)
+    near = F.when(c(spread).isNotNull(), 50.0 * F.greatest(F.lit(0.0), 1.0 - c(spread) / WIDE_BPS)).otherwise(0.0)
+    status = (F.when(~c(ok) & c(error).isNotNull(), "BAD_BOOK").when(~c(ok), "NO_DEPTH").when(thin < THIN_USD, "DEPTH_TOO_THIN").when(c(spread) > WIDE_BPS, "SPREAD_TOO_WIDE")
+              .when(c(spread).isNull() | ~fine, "UNKNOWN").otherwise("CAPACITY_OK"))
+    return status, F.when(c(ok), depth + near).otherwise(0.0)
+
+
+def fragmentation(bids: str, asks: str, top: int = 10) -> dict[str, Column]:
+    """Order counts of the best ``top`` levels (price, qty, orders) of each side, quantity per order, and the imbalance of counts; missing where a side has no counts."""
+    out: dict[str, Column] = {}
+    for name, side in (("bid", c(bids)), ("ask", c(asks))):
+        best = F.filter(F.slice(side, 1, top), lambda v: v["orders"].isNotNull())
+        orders = F.when(F.size(best) > 0, F.aggregate(F.transform(best, lambda v: v["orders"].cast("double")), F.lit(0.0), lambda a, v: a + v))
+        out[f"{name}_orders"], out[f"{name}_qty_per_order"] = orders, div(total(best, lambda v: v["qty"]), orders)
+    return out | {"order_imbalance": div(out["bid_orders"] - out["ask_orders"], out["bid_orders"] + out["ask_orders"])}
