@@ -155,6 +155,20 @@ def pieces(table, column: str, limit: int):
         to = max(at + 1, int(np.searchsorted(size, base + limit, side="right")))
         yield table.slice(at, to - at)
         at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Hands memory that is free in this Python worker back to the machine: a worker lives on and would keep what its largest batch took."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 ID_LAST = (1 << 63) - 1
@@ -185,8 +199,12 @@ def grouped(batches, column: str):
     """Consecutive rows of one value of ``column``, as (value, iterator of row dictionaries)."""
     from itertools import groupby
 
-    rows = (r for batch in batches for r in batch.to_pylist())
-    return groupby(rows, key=lambda r: r[column])
+    def rows():
+        for batch in batches:
+            yield from batch.to_pylist()
+        give_back()
+
+    return groupby(rows(), key=lambda r: r[column])
 
 
 def columns_of(df: DataFrame) -> str:
