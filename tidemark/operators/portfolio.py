@@ -110,3 +110,17 @@ def reconcile(ours: DataFrame, theirs: DataFrame, key: Sequence[str], fields: di
                               F.lit(tol).alias("tol")) for f, tol in fields.items()])
     d = d.select(*key, F.explode(rows).alias("r")).select(*key, "r.*")
     return d.where(F.coalesce(F.abs(F.col("ours") - F.col("theirs")) > F.col("tol"), F.lit(True))).drop("tol")
+
+
+def crowd_decisions(df: DataFrame, *, at: str, name: str, crowd: str, liquidity: str, ret_bps: str, top: int, every: int, least: int, basket: int) -> DataFrame:
+    """(at, name, crowd, side, gross_bps): on every ``every``-th instant the names with the smallest crowd are bought, those with the largest sold.
+
+    ``liquidity`` and ``crowd`` must be known before the instant. Only the ``top`` most liquid names take part; instants
+    with fewer than ``least`` of them are left out.
+    """
+    d = df.where(c(liquidity).isNotNull()).withColumn("_liq", F.row_number().over(Window.partitionBy(at).orderBy(c(liquidity).desc(), name))).where((F.col("_liq") <= top) & c(crowd).isNotNull())
+    steps = d.select(at).distinct().withColumn("_step", F.row_number().over(Window.orderBy(at)) - 1)  # one row an instant
+    d = d.join(steps.where(F.col("_step") % every == 0).select(at), at)
+    d = d.withColumns({"_n": F.count(F.lit(1)).over(Window.partitionBy(at)), "_up": F.row_number().over(Window.partitionBy(at).orderBy(crowd, name)), "_dn": F.row_number().over(Window.partitionBy(at).orderBy(c(crowd).desc(), name))})
+    side = F.when(F.col("_up") <= basket, 1).when(F.col("_dn") <= basket, -1)
+    return d.where(F.col("_n") >= least).withColumn("side", side).where("side IS NOT NULL").select(at, name, crowd, "side", (F.col("side") * c(ret_bps)).alias("gross_bps"))
