@@ -116,7 +116,7 @@ def match_offsets(spark, folder):
     d = _matches(spark, folder).where("status = 'matched'").select((F.abs("offset") / 1e6).alias("x"))
     q = exact_quantiles(d.withColumn("g", F.lit(0)), ["g"], "x", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
     m = d.agg(F.count(F.lit(1)).alias("n"), F.max("x").alias("worst")).withColumn("g", F.lit(0))
-    return m.join(q, "g").drop("g")
+    return m.join(q, "g", "left").drop("g")  # without a match there are no quantiles, but still a count
 
 
 @query("prevailing_quote", "C12 J25", f"""WITH {_SIDES}, j AS (SELECT l.event_id, l.symbol, l.price, r.price AS q, r.qty AS k FROM l ASOF JOIN r ON l.symbol = r.symbol AND l.ts_us >= r.ts_us)
