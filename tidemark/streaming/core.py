@@ -20,26 +20,39 @@ from tidemark.session import pin
 from tidemark.sources.sinks import scratch
 
 
-def replay(df: DataFrame, clock: str, disorder_us: int = 0, flush: dict | None = None, rows: int = 5_000_000) -> DataFrame:
-    """A table as a stream of at least four files in order of ``clock`` (microseconds), one file a batch.
+#: Rows a replayed file holds at least, once a batch has more than one.
+FILE_ROWS = 50_000
+
+
+def replay(df: DataFrame, clock: str, disorder_us: int = 0, flush: dict | None = None, rows: int = 5_000_000, files: int = 32) -> DataFrame:
+    """A table as a stream of about four batches or more, in order of ``clock`` (microseconds).
 
     ``disorder_us``: rows come up to so much late, after rows with a later clock. ``flush``: columns of a last row, which
-    moves the watermark past everything before it. A file holds about ``rows`` rows.
+    moves the watermark past everything before it. A batch holds about ``rows`` rows, dealt evenly to the same number of
+    files (``files`` at most), so that many tasks write and read it; a trigger takes just one batch.
     """
     spark = df.sparkSession
-    path = scratch(spark, "replay")
-    d = pin(df)
-    m = d.agg(F.min(clock).alias("a"), F.max(clock).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    files = max(4, -(-m.n // rows))
-    width = ((m.b or 0) + disorder_us - (m.a or 0)) // files + 1
+    path, stage = scratch(spark, "replay"), scratch(spark, "replay-stage")
     late = F.pmod(F.xxhash64(*df.columns), F.lit(disorder_us + 1)) if disorder_us else F.lit(0)
-    arrives = F.floor((c(clock) + late - F.lit(m.a or 0)) / width)
-    for k in range(files):
-        d.where(arrives == k).coalesce(1).write.mode("append").parquet(path)
+    d = pin(df.withColumn("arrives_", c(clock) + late))
+    n = d.count()
+    count = max(4, -(-n // rows))
+    cuts = d.agg(F.percentile_approx("arrives_", F.array(*[F.lit(k / count) for k in range(1, count)]), F.lit(100 * count))).first()[0] or []
+    edges = F.array(*[F.lit(x).cast("bigint") for x in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
+    d = d.withColumn("batch_", F.size(F.filter(edges, lambda e: e <= F.col("arrives_"))))
+    d.drop("arrives_").write.partitionBy("batch_").parquet(stage)
+    # a batch without rows has no files, the others have equally many: a batch without enough rows to deal lowers them all
+    sizes = {r.batch_: r.n for r in d.groupBy("batch_").agg(F.count(F.lit(1)).alias("n")).collect()}
+    each = max(1, min([files, *[size // FILE_ROWS for size in sizes.values()]]))
+    for k in sorted(sizes):
+        part = spark.read.schema(df.schema).parquet(f"{stage}/batch_={k}")
+        (part.repartition(each) if each > 1 else part.coalesce(1)).write.mode("append").parquet(path)
+    if not sizes:
+        spark.createDataFrame([], df.schema).coalesce(1).write.parquet(path)
     if flush is not None:
         last = d.select(*[F.lit(flush[x]).cast(f.dataType).alias(x) if x in flush else c(x) for x, f in zip(df.columns, df.schema.fields, strict=True)]).limit(1)
         last.write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", each).parquet(path)
 
 
 def drain(stream: DataFrame, mode: str = "append", parts: Sequence[str] = ()) -> DataFrame:
