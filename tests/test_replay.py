@@ -21,3 +21,16 @@ def test_batches_hold_equally_many_files_in_order(spark, monkeypatch):
     assert sum(g[1] for g in got) == 8000 and len(got) >= 4
     assert {g[3] for g in got} == {5}
     assert all(a[2][1] < b[2][0] for a, b in zip(got, got[1:]))
+
+
+def test_captures_meet_events_of_their_slots_only(spark):
+    dice = random.Random(3)
+    tr = [(i, dice.choice("xy"), s, s + dice.randint(-50, 400)) for i, s in enumerate(dice.choices(range(5000), k=60))]
+    ev = [(i, dice.choice("xy"), dice.randrange(5500)) for i in range(400)]
+    t = spark.createDataFrame(tr, "trigger bigint, k string, start bigint, finish bigint")
+    e = spark.createDataFrame(ev, "event bigint, k string, at bigint")
+    d = M.captured(t, e, "k", "at", 240, "1 second")
+    want = sorted((a[0], b[0]) for a in tr for b in ev if a[1] == b[1] and a[2] <= b[2] <= min(a[3], a[2] + 240))
+    assert sorted(tuple(r) for r in d.select("trigger", "event").collect()) == want
+    assert d.columns == ["trigger", "start", "finish", "event", "k", "at"]
+    assert "slot_" in d._jdf.queryExecution().optimizedPlan().toString()
