@@ -34,3 +34,56 @@ def test_captures_meet_events_of_their_slots_only(spark):
     assert sorted(tuple(r) for r in d.select("trigger", "event").collect()) == want
     assert d.columns == ["trigger", "start", "finish", "event", "k", "at"]
     assert "slot_" in d._jdf.queryExecution().optimizedPlan().toString()
+
+
+def bridge_rows(n):
+    rows = [(t, t, "delta", 10 * t, 10 * t + 9, 10 * t - 1) for t in range(n)]
+    return rows + [(t, n + t, "snapshot", 0, 10 * t, M.NO_LONG) for t in range(5, n, 10)]
+
+
+class States:
+    """Stand-ins for the states of one key."""
+
+    def __init__(self):
+        self.states, self.timers, self.data = {}, [], None
+
+    def getListState(self, name, *_):
+        return self.states.setdefault(name, States())
+
+    getValueState = getMapState = getListState
+    exists = lambda self: self.data is not None
+    get = lambda self: self.data if self.data is not None else []
+    getCurrentWatermarkInMs = lambda self: 10
+
+    def put(self, x):
+        self.data = x
+
+    update = put
+
+    def clear(self):
+        self.data = None
+
+    def appendValue(self, x):
+        self.data = [*self.get(), x]
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_rows_are_held_as_packed_frames_and_outcomes_handed_on_in_parts(monkeypatch):
+    monkeypatch.setattr(M, "FRAME_ROWS", 50)
+    machine, handle = M.Bridge("k", 40), States()
+    machine.init(handle)
+    rows = bridge_rows(120)
+    random.Random(1).shuffle(rows)
+    frame = pd.DataFrame(rows, columns=machine.names)
+    list(machine.handleInputRows(("a",), iter([frame.iloc[:70], frame.iloc[70:]]), handle))
+    held = handle.states["pending"].get()
+    assert len(held) == 2 and all(isinstance(pickle.loads(r[0])["recv"], np.ndarray) for r in held) and handle.timers == [11]
+    parts = list(machine.handleExpiredTimer(("a",), handle, None))
+    assert len(parts) > 5 and all(len(p) <= 50 + 120 for p in parts)
+    whole = M.Bridge("k", 40)
+    whole.init(States())
+    want, *_ = whole.advance(sorted(rows), 10_000)
+    assert [(*r[1:-1], M.OUTCOMES[r[-1]]) for p in parts for r in p.itertuples(index=False, name=None)] == want
+    assert handle.states["pending"].data is None
