@@ -174,6 +174,28 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, bounded: bool =
     return d.withColumn("ic", F.when((F.col("n") >= min_n) & ~F.isnan("ic"), F.col("ic")))
 
 
+def partial_rank_correlation(df: DataFrame, x: str, y: str, control: str, listed: int = 100_000) -> DataFrame:
+    """(n, ic, partial_ic): rank correlation of ``x`` and ``y`` over all rows, and without what ``control`` explains.
+
+    No row meets the ranks of ``y``: rows add up by their value of ``y`` first, and sums meet ranks once a value. The
+    ranks of ``x`` and ``control`` are broadcast where they are at most ``listed``. Ranks are taken from their middle, so
+    that the sums do not cancel.
+    """
+    d = df.select(c(x).cast("double").alias("x"), c(y).cast("double").alias("y"), c(control).cast("double").alias("z"))
+    mid = (d.count() + 1) / 2.0
+    ranks = {k: pin(distinct_ranks(d.select(k), [], k).select(k, (F.col("below") + (F.col("n") + 1) / 2.0 - mid).alias(f"r{k}"))) for k in "xyz"}
+    few = lambda r: F.broadcast(r) if r.count() <= listed else r
+    d = d.join(few(ranks["x"]), "x").join(few(ranks["z"]), "z")
+    product = lambda a, b: F.sum(F.col(f"r{a}") * F.col(f"r{b}"))
+    g = d.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum("rx").alias("x"), F.sum("rz").alias("z"), *[product(*k).alias(k) for k in ("xx", "zz", "xz")]).join(ranks["y"], "y")
+    g = g.agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in ("x", "z", "xx", "zz", "xz")], F.sum(F.col("n") * F.col("ry")).alias("y"),
+              F.sum(F.col("n") * F.col("ry") * F.col("ry")).alias("yy"), F.sum(F.col("x") * F.col("ry")).alias("xy"), F.sum(F.col("z") * F.col("ry")).alias("yz"))
+    part = lambda a, b: F.col(a + b) - F.col(a) * F.col(b) / F.col("n")
+    corr = lambda a, b: part(a, b) / F.sqrt(part(a, a) * part(b, b))
+    xy, xz, yz = corr("x", "y"), corr("x", "z"), corr("y", "z")
+    return g.select("n", xy.alias("ic"), ((xy - xz * yz) / F.sqrt((1 - xz * xz) * (1 - yz * yz))).alias("partial_ic"))
+
+
 def lead_lag(df: DataFrame, keys: Sequence[str], at: str, member: str, value: str, members: Sequence, max_lag: int) -> DataFrame:
     """(keys, leader, follower, lag, r): for each ordered pair the lag with the largest absolute correlation.
 

@@ -11,7 +11,7 @@ from tidemark.functions.scalars import clip, div, draw, ind
 from tidemark.operators import rolling as R
 from tidemark.operators import stats as S
 from tidemark.operators.blocks import DAYS, RN, number_rows, sequence
-from tidemark.operators.crosssection import average_rank, distinct_ranks, exact_quantiles, spearman
+from tidemark.operators.crosssection import average_rank, exact_quantiles, partial_rank_correlation, spearman
 from tidemark.operators.events import fixed_window_ids, greedy_anchors, session_ids
 from tidemark.plans.registry import query
 from tidemark.plans.tables import BARS, DAY_US, DECISIONS, PANEL, TICKS, bars, decisions, panel, read, ticks
@@ -105,16 +105,7 @@ def placebo_symbol_shuffle(spark, folder):
  rank() OVER (ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_discount) - 1) / 2.0 AS c FROM lineitem), r AS (SELECT corr(a, b) AS xy, corr(a, c) AS xz, corr(b, c) AS yz, count(*) AS n FROM k)
 SELECT n, xy AS ic, (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) AS partial_ic FROM r""", "ic partial_ic")
 def global_spearman(spark, folder):
-    d = read(spark, folder, "lineitem").select("l_quantity", "l_extendedprice", "l_discount")
-    columns = {"l_quantity": "a", "l_extendedprice": "b", "l_discount": "c"}
-    # one pass ranks the distinct values of all columns; rows then look up their three ranks
-    u = d.select(F.explode(F.array(*[F.struct(F.lit(r).alias("of"), F.col(x).cast("double").alias("x")) for x, r in columns.items()])).alias("u")).select("u.of", "u.x")
-    ranks = pin(distinct_ranks(u, ["of"], "x").select("of", "x", (F.col("below") + (F.col("n") + 1) / 2.0).alias("rank")))
-    for x, r in columns.items():
-        d = d.join(ranks.where(F.col("of") == r).select(F.col("x").alias(x), F.col("rank").alias(r)), x)
-    r = d.agg(F.corr("a", "b").alias("xy"), F.corr("a", "c").alias("xz"), F.corr("b", "c").alias("yz"), F.count(F.lit(1)).alias("n"))
-    xy, xz, yz = F.col("xy"), F.col("xz"), F.col("yz")
-    return r.select("n", xy.alias("ic"), ((xy - xz * yz) / F.sqrt((1 - xz * xz) * (1 - yz * yz))).alias("partial_ic"))
+    return partial_rank_correlation(read(spark, folder, "lineitem"), "l_quantity", "l_extendedprice", "l_discount")
 
 
 _FEAT = f"""{_RET}, y AS (SELECT symbol, bar, i, r, volume, lead(r, 1) OVER {_ORD} AS f1, lead(r, 4) OVER {_ORD} AS f4, lag(r) OVER {_ORD} AS past, lead(volume, 1) OVER {_ORD} AS nv FROM x)"""
