@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import c, draw, ind
 from tidemark.operators.blocks import RN, number_rows
-from tidemark.operators.stats import replicates
 from tidemark.session import pin
 
 # Multipliers and modulus of the counter-based shuffle keys (both engines compute them in whole numbers).
@@ -125,13 +124,75 @@ def grid_placebo(df: DataFrame, *, at: str, place: str, ret: str, cost: str, wei
 # --- path bootstraps -----------------------------------------------------------------------------
 
 
+#: Trades whose draws are packed together, and the numbers of one packed block of trades.
+PACK_ROWS, PACK_BLOCK = 50_000, 1 << 15
+
+
+def packed(df: DataFrame, key: str, deal: Callable[[pd.DataFrame], tuple[np.ndarray, dict[str, np.ndarray]]], names: Sequence[str]) -> DataFrame:
+    """(key, cell, names as packed arrays): many draws of a row go to the shuffle as a few bytes each.
+
+    ``deal`` gives from a frame the cells, a row for each row and a column for each draw, and what goes there.
+    """
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        cell, cols = deal(frame)
+        code, labels = pd.factorize(frame[key])
+        owner, cell = np.repeat(code, cell.shape[1]), cell.ravel()
+        order = np.lexsort((cell, owner))
+        owner, cell = owner[order], cell[order]
+        start = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (cell[1:] != cell[:-1]))))
+        out = {key: np.asarray(labels)[owner[start]], "cell": cell[start]}
+        for k in names:
+            flat = cols[k].ravel()[order]
+            out[k] = [x.tobytes() for x in np.split(flat, start[1:])]
+        return pd.DataFrame(out)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for f in frames:
+            held.append(f)
+            size += len(f)
+            if size >= PACK_ROWS:
+                yield one(pd.concat(held, ignore_index=True))
+                held, size = [], 0
+        if size:
+            yield one(pd.concat(held, ignore_index=True))
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.where(c(key).isNotNull()).mapInPandas(run, f"{key} {kind}, cell bigint, {', '.join(f'{k} binary' for k in names)}")
+
+
+def _draws(seed: int, n: int, *cols: str) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda rep: draw(seed, rep, *cols))
+
+
 def prob_profit_factor(trades: DataFrame, key: str, order: Sequence[str], x: str, above: float, n: int, seed: int, width: int, least: int = 5) -> DataFrame:
-    """(key, n, prob_pf): share of resamples (with replacement) whose profit factor is above ``above``; 0 below ``least`` trades."""
-    p = number_rows(trades.select(key, *order, c(x).alias("_x")), [key], order, width)
+    """(key, n, prob_pf): share of resamples (with replacement) whose profit factor is above ``above``; 0 below ``least`` trades.
+
+    Draws meet trades by blocks of ``PACK_BLOCK`` numbers, packed to a place and a replicate each.
+    """
+    p = pin(number_rows(trades.select(key, *order, c(x).alias("_x")), [key], order, width).select(key, RN, "_x"))
     size = p.groupBy(key).agg((F.max(RN) + 1).alias("_size"))
-    d = replicates(p.select(key, F.col(RN).alias("_i")).join(size, key), n)
-    d = d.withColumn(RN, F.pmod(draw(seed, "rep", key, "_i"), F.col("_size"))).join(p.select(key, RN, "_x"), [key, RN])
-    g = d.groupBy(key, "rep").agg(F.sum(ind(F.col("_x") > 0, F.col("_x"))).alias("up"), F.sum(ind(F.col("_x") < 0, -F.col("_x"))).alias("down"))
+    d = p.select(key, F.col(RN).alias("_i")).join(size, key).select(key, "_size", _draws(seed, n, key, "_i").alias("_draws"))
+
+    def deal(f: pd.DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        to = np.stack(f["_draws"].to_numpy()) % f["_size"].to_numpy("int64")[:, None]
+        return to // PACK_BLOCK, {"place": (to % PACK_BLOCK).astype("uint16"), "rep": np.broadcast_to(np.arange(n, dtype="uint16"), to.shape)}
+
+    def meet(draws: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        names = [key, "rep", "up", "down"]
+        if not len(draws) or not len(own):
+            return pd.DataFrame({k: [] for k in names})
+        value = np.zeros(PACK_BLOCK)
+        value[own[RN].to_numpy("int64") % PACK_BLOCK] = own["_x"].fillna(0.0)
+        rep = np.concatenate([np.frombuffer(b, "uint16") for b in draws["rep"]])
+        got = value[np.concatenate([np.frombuffer(b, "uint16") for b in draws["place"]])]
+        sums = [np.bincount(rep, np.maximum(v, 0.0), n) for v in (got, -got)]
+        return pd.DataFrame({key: own[key].iloc[0], "rep": np.arange(n), "up": sums[0], "down": sums[1]})[np.bincount(rep, minlength=n) > 0]
+
+    kind = trades.schema[key].dataType.simpleString()
+    own = p.withColumn("cell", F.floor(F.col(RN) / PACK_BLOCK)).groupBy(key, "cell")
+    d = packed(d, key, deal, ["place", "rep"]).groupBy(key, "cell").cogroup(own).applyInPandas(meet, f"{key} {kind}, rep int, up double, down double")
+    g = d.groupBy(key, "rep").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
     hit = F.when(F.col("down") <= 1e-12, F.col("up") > 0).otherwise(F.col("up") / F.col("down") > above)
     out = size.join(g.groupBy(key).agg(F.avg(ind(hit)).alias("p")), key, "left")
     return out.select(key, F.col("_size").alias("n"), F.when(F.col("_size") < least, 0.0).otherwise(F.col("p")).alias("prob_pf"))
@@ -140,18 +201,29 @@ def prob_profit_factor(trades: DataFrame, key: str, order: Sequence[str], x: str
 def prob_drawdown(trades: DataFrame, key: str, unit: str, x: str, below: float, n: int, seed: int, target: int = 100_000, least: int = 5) -> DataFrame:
     """(key, prob_dd): share of random orders of the trades whose largest fall of compounded equity stays under ``below``.
 
-    An order is by digest; ranges of digests are blocks of about ``target`` trades. A block keeps its sum of logarithms,
-    its highest and lowest point and its deepest fall, and blocks combine in order: the deepest fall is one inside a
-    block or from the highest point before it to its lowest. The first trade's equity is the first peak.
+    An order is by digest, then by the whole number ``unit``; ranges of digests are blocks of about ``target`` trades, to
+    which trades go packed. A block keeps its sum of logarithms, its highest and lowest point and its deepest fall, and
+    blocks combine in order: the deepest fall is one inside a block or from the highest point before it to its lowest. The
+    first trade's equity is the first peak.
     """
     size = trades.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     top = size.agg(F.max("_n")).first()[0] or 0
     parts = max(1, -(-top // target))
-    d = replicates(trades.select(key, unit, F.log1p(c(x)).alias("_l")), n)
-    d = d.withColumn("_d", draw(seed, "rep", unit)).withColumn("_b", F.floor(F.col("_d") * parts / (1 << 32)))
-    own = Window.partitionBy(key, "rep", "_b").orderBy("_d", unit).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_at", F.sum("_l").over(own)).withColumn("_fall", F.col("_at") - F.max("_at").over(own))
-    b = d.groupBy(key, "rep", "_b").agg(F.sum("_l").alias("sum"), F.max("_at").alias("high"), F.min("_at").alias("low"), F.min("_fall").alias("fall"))
+    d = trades.select(key, c(unit).cast("bigint").alias("_u"), F.log1p(c(x)).alias("_l"), _draws(seed, n, unit).alias("_draws")).where("_l IS NOT NULL")
+
+    def deal(f: pd.DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        at = np.stack(f["_draws"].to_numpy())
+        wide = lambda v: np.broadcast_to(v[:, None], at.shape)
+        return np.arange(n) * parts + (at * parts >> 32), {"at": at.astype("uint32"), "unit": wide(f["_u"].to_numpy("int64")), "log": wide(f["_l"].to_numpy("float64"))}
+
+    def block(f: pd.DataFrame) -> pd.DataFrame:
+        at, unit, log = (np.concatenate([np.frombuffer(b, t) for b in f[k]]) for k, t in (("at", "uint32"), ("unit", "int64"), ("log", "float64")))
+        path = np.cumsum(log[np.lexsort((unit, at))])
+        rep, b = divmod(int(f["cell"].iloc[0]), parts)
+        return pd.DataFrame({key: [f[key].iloc[0]], "rep": [rep], "_b": [b], "sum": [path[-1]], "high": [path.max()], "low": [path.min()], "fall": [(path - np.maximum.accumulate(path)).min()]})
+
+    kind = trades.schema[key].dataType.simpleString()
+    b = packed(d, key, deal, ["at", "unit", "log"]).groupBy(key, "cell").applyInPandas(block, f"{key} {kind}, rep int, _b bigint, sum double, high double, low double, fall double")
     before = Window.partitionBy(key, "rep").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block
     b = b.withColumn("start", F.coalesce(F.sum("sum").over(before), F.lit(0.0)))
     b = b.withColumn("peak", F.max(F.col("start") + F.col("high")).over(before))
