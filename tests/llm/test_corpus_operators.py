@@ -90,6 +90,16 @@ def test_ngram_join_chain_of_near_copies(spark):
     assert {i: got[i] for i, _ in rows} == want and got[None] is None
 
 
+def test_ngram_join_groups_leave_out_who_cannot_link(spark):
+    # families of near copies; the firsts of all families share a shingle rarer than the others, in sets whose sizes are too far apart
+    body = lambda i: [f"w{i}x{j}" for j in range(12 * (i + 1))]
+    rows = [(100 * i + c, " ".join(([] if c else ["one", "two", "three"]) + body(i))) for i in range(6) for c in range(8)]
+    docs = spark.createDataFrame(rows, "doc bigint, text string")
+    sketch = spark.sparkContext.broadcast(ngram_join.summed_sketch(ngram_join.sizes_and_sketch(docs, 3)))
+    found = ngram_join.candidate_pairs(ngram_join.keyed(docs, 3, 90, sketch, 4), 4).select("a", "b").distinct().collect()
+    assert found and all(a // 100 == b // 100 for a, b in found)
+
+
 def test_one_of_each_and_empty(docs, nothing):
     kept = ngram_join.one_of_each(docs, 5, 80)
     assert kept.columns == docs.columns and {1, 2}.isdisjoint({r.doc_id for r in kept.collect()})

@@ -119,3 +119,12 @@ def test_temperature_and_grams():
     assert language.temperature(margins, np.array([0, 1, 1, 0])) > language.temperature(margins, np.array([0, 1, 0, 1]))
     found = list(language.grams(["abc", None, "a", "abcabc"]))
     assert [int(n.sum()) for _, n in found] == [6, 0, 1, 15]
+
+
+def test_ngram_join_in_reach():
+    draw = np.random.default_rng(5)
+    keys, n = draw.integers(0, 12, 300).astype(np.uint64), draw.integers(1, 40, 300)
+    reach = (n * draw.uniform(0.8, 1.2, 300)).astype(np.int64)
+    want = [any(i != j and keys[i] == keys[j] and n[i] <= reach[j] and n[j] <= reach[i] for j in range(300)) for i in range(300)]
+    assert ngram_join.in_reach(keys, n, reach).tolist() == want and 0 < sum(want) < 300
+    assert ngram_join.in_reach(keys[:0], n[:0], reach[:0]).tolist() == []

@@ -179,20 +179,20 @@ def id_key(column) -> F.Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(ID_LAST))
 
 
-def dealt(buckets: np.ndarray, owner: np.ndarray, keys: np.ndarray):
-    """Keys by bucket: (bucket, owners, how many keys each owner has, keys) for each bucket with any. owner does not fall."""
+def dealt(buckets: np.ndarray, owner: np.ndarray, *keys: np.ndarray):
+    """Keys by bucket: (bucket, owners, how many keys each owner has, keys) for each bucket with any. An owner's keys stand side by side."""
     order = np.argsort(buckets, kind="stable")
-    buckets, owner, keys = buckets[order], owner[order], keys[order]
+    buckets, owner, keys = buckets[order], owner[order], [x[order] for x in keys]
     if not len(buckets):
         return
     edge = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))
     run = np.flatnonzero(np.concatenate([[True], (buckets[1:] != buckets[:-1]) | (owner[1:] != owner[:-1])]))
-    size = np.diff(np.concatenate([run, [len(keys)]]))
-    at = np.searchsorted(run, np.concatenate([edge, [len(keys)]]))
-    ends = np.concatenate([edge, [len(keys)]])
+    size = np.diff(np.concatenate([run, [len(buckets)]]))
+    ends = np.concatenate([edge, [len(buckets)]])
+    at = np.searchsorted(run, ends)
     for i, b in enumerate(buckets[edge].tolist()):
         mine = slice(at[i], at[i + 1])
-        yield b, owner[run[mine]], size[mine], keys[ends[i]:ends[i + 1]]
+        yield b, owner[run[mine]], size[mine], *[x[ends[i]:ends[i + 1]] for x in keys]
 
 
 def grouped(batches, column: str):

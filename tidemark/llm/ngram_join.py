@@ -1,7 +1,9 @@
 """N-gram Jaccard join: signature trees over documents that share a rare shingle, and the components of the links.
 
 1. Documents that can link share a shingle among the rarest of each (rarest by a counting sketch over all documents,
-   of fixed size; any order is lossless). Such a shingle is the key of a group. Equal sets link at once.
+   of fixed size; any order is lossless). Such a shingle is the key of a group. Equal sets link at once. The first
+   shingle that two documents share in that order has at most as many common ones behind it as either has left, so its
+   place bounds the partner's size; who finds no such partner in a group leaves it.
 2. Within a group everyone is first held against its smallest member, so a group of copies costs as many checks as it
    has members, never their square. Pairs whose sizes or token bitmaps leave no room for a link are dropped; the others
    are confirmed on the exact sets of shingles.
@@ -36,7 +38,7 @@ COUNTERS, SLICES, BITS, FAN = 1 << 20, 16, 2048, 8
 BLOCK, BATCH_BYTES, BUCKET_BYTES = 1024, 4 << 20, 256 << 20
 #: Buckets at least; partners of a document that are checked together.
 BUCKETS, PARTNERS = 64, 256
-ROWS = "bucket int, kind int, doc binary, size binary, keys binary"
+ROWS = "bucket int, kind int, doc binary, size binary, keys binary, n binary, reach binary"
 PAIRS = "kind int, key bigint, a bigint, b bigint"
 
 
@@ -110,8 +112,9 @@ def summed_sketch(rows: DataFrame) -> np.ndarray:
 
 
 def keyed(docs: DataFrame, k: int, threshold: int, sketch, buckets: int) -> DataFrame:
-    """Packed rows by bucket. Kinds: 0 the rare shingles of documents, 1 digests of whole sets, 2 and 3 pairs found
-    within the batch (doc: first, second, first, ...; keys) for either.
+    """Packed rows by bucket. Kinds: 0 the rare shingles of documents, with the size of each set and how large a partner
+    may be at most that shares this shingle as its first; 1 digests of whole sets; 3 pairs of equal sets within the batch
+    (doc: first, second, first, ...).
     """
 
     def cut(batches: Iterator) -> Iterator:
@@ -128,18 +131,20 @@ def keyed(docs: DataFrame, k: int, threshold: int, sketch, buckets: int) -> Data
                 continue
             digest = mix(np.add.reduceat(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), first[have]) + n[have].astype(np.uint64))
             found = []
-            lead, digest = settle(found, digest, ids[have], have, 1, buckets)
+            lead = settle(found, digest, ids[have], have, buckets)
             # the others have their leader's set
             size = n[lead] - -(-threshold * n[lead] // 100) + 1
-            keys = hashes[ranges(first[lead], size)]
-            settle(found, keys, np.repeat(ids[lead], size), None, 0, buckets)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "kind", "doc", "size", "keys"])
+            at, owner = ranges(first[lead], size), np.repeat(lead, size)
+            reach = (100 * n[owner] - (100 + threshold) * (at - first[owner])) // threshold
+            for b, who, count, keys, far in dealt((hashes[at] % np.uint64(buckets)).astype(np.uint32), owner, hashes[at], reach):
+                found.append((b, 0, *[x.astype(t).tobytes() for x, t in ((ids[who], "<i8"), (count, "<u4"), (keys, "<u8"), (n[who], "<u4"), (far, "<u4"))]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int32() if i < 2 else pa.binary()) for i in range(7)], names=["bucket", "kind", "doc", "size", "keys", "n", "reach"])
 
     return docs.mapInArrow(cut, ROWS)
 
 
-def settle(found: list, keys: np.ndarray, docs: np.ndarray, place, kind: int, buckets: int):
-    """Of the documents of a batch that share a key the smallest goes on; pairs with it are kept. Returns who goes on."""
+def settle(found: list, keys: np.ndarray, docs: np.ndarray, place: np.ndarray, buckets: int) -> np.ndarray:
+    """Of the documents of a batch that have one digest the smallest goes on; pairs with it are kept. Returns who goes on."""
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
     lead = np.ones(len(keys), bool)
@@ -148,11 +153,35 @@ def settle(found: list, keys: np.ndarray, docs: np.ndarray, place, kind: int, bu
     rest = np.flatnonzero(~lead & (docs != docs[head]))
     if len(rest):
         pair = np.stack([docs[head[rest]], docs[rest]], axis=1).ravel()
-        found.append((int(docs[head[rest[0]]] % buckets), kind + 2, pair.astype("<i8").tobytes(), b"", keys[rest].tobytes()))
+        found.append((int(docs[head[rest[0]]] % buckets), 3, pair.astype("<i8").tobytes(), b"", keys[rest].tobytes(), b"", b""))
     k, d = keys[lead], docs[lead]
     by_doc = np.argsort(d, kind="stable")
-    found += [(b, kind, o.astype("<i8").tobytes(), s.astype("<u4").tobytes(), x.tobytes()) for b, o, s, x in dealt((k[by_doc] % np.uint64(buckets)).astype(np.uint32), d[by_doc], k[by_doc])]
-    return (None if place is None else place[order[lead]]), k
+    found += [(b, 1, o.astype("<i8").tobytes(), s.astype("<u4").tobytes(), x.tobytes(), b"", b"") for b, o, s, x in dealt((k[by_doc] % np.uint64(buckets)).astype(np.uint32), d[by_doc], k[by_doc])]
+    return place[order[lead]]
+
+
+def range_max(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Largest of values[low:high] for each range; -1 for an empty one."""
+    out = np.full(len(low), -1, np.int64)
+    length = high - low
+    level = np.where(length > 0, np.frexp(np.maximum(length, 1))[1] - 1, -1)
+    for i in range(int(level.max(initial=-1)) + 1):
+        own = np.flatnonzero(level == i)
+        out[own] = np.maximum(values[low[own]], values[high[own] - (1 << i)])
+        values = np.maximum(values[:-(1 << i)], values[1 << i:])  # of twice as many from here on
+    return out
+
+
+def in_reach(keys: np.ndarray, n: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Whether each row has another of its key such that neither's n is above the other's reach."""
+    order = np.lexsort((n, keys))
+    keys, n, reach = keys[order], n[order], reach[order]
+    group = np.cumsum(np.concatenate([[True], keys[1:] != keys[:-1]])[:len(keys)]).astype(np.int64) << 32
+    first, here = np.searchsorted(group, group), np.arange(len(keys))
+    end = np.searchsorted(group + n, group + reach, side="right")
+    out = np.zeros(len(keys), bool)
+    out[order] = np.maximum(range_max(reach, first, np.minimum(here, end)), range_max(reach, here + 1, end)) >= n
+    return out
 
 
 def candidate_pairs(rows: DataFrame, buckets: int) -> DataFrame:
@@ -171,11 +200,16 @@ def candidate_pairs(rows: DataFrame, buckets: int) -> DataFrame:
                 if r["kind"] >= 2:
                     yield send(r["kind"] - 2, keys, docs[::2], docs[1::2])
                 else:
-                    held[r["kind"]].append((keys, np.repeat(docs, np.frombuffer(r["size"], "<u4").astype(np.int64))))
+                    count = np.frombuffer(r["size"], "<u4").astype(np.int64)
+                    more = (np.repeat(np.frombuffer(r["n"], "<u4"), count), np.frombuffer(r["reach"], "<u4")) if r["kind"] == 0 else ()
+                    held[r["kind"]].append((keys, np.repeat(docs, count), *more))
             for kind, parts in held.items():
                 if not parts:
                     continue
-                keys, docs = (np.concatenate(x) for x in zip(*parts, strict=True))
+                keys, docs, *more = (np.concatenate(x) for x in zip(*parts, strict=True))
+                if more:
+                    near = in_reach(keys, *[x.astype(np.int64) for x in more])
+                    keys, docs = keys[near], docs[near]
                 order = np.lexsort((docs, keys))
                 keys, docs = keys[order], docs[order]
                 lead = np.ones(len(keys), bool)
