@@ -23,8 +23,8 @@ from tidemark.llm.tokens import encoded, tokenizer
 
 #: Words in the broadcast table at most, and the longest word (bytes) in it: both bound its size (16 MB and the ids).
 TABLE_WORDS, WORD_BYTES = 1 << 17, 128
-#: Bytes of text encoded at once.
-BATCH_BYTES = 4 << 20
+#: Words outside the table that a task keeps, and bytes of text encoded at once.
+OWN_WORDS, BATCH_BYTES = 1 << 16, 2 << 20
 
 
 def coded_words(texts):
@@ -45,7 +45,7 @@ def frequent_words(docs: DataFrame, text: str = "text", most: int = TABLE_WORDS,
         import pyarrow as pa
 
         for batch in batches:
-            for part in pieces(pa.Table.from_batches([batch]), "text", 4 * BATCH_BYTES):
+            for part in pieces(pa.Table.from_batches([batch]), "text", 8 * BATCH_BYTES):
                 _, code, words = coded_words(part.column("text").combine_chunks())
                 n = np.bincount(code, minlength=len(words))
                 yield pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(n)], names=["word", "n"])
@@ -72,20 +72,48 @@ def word_table(words: DataFrame, path: str) -> DataFrame:
 
 
 class Encoder:
-    """Ids for distinct words: from the broadcast table, else encoded once and kept while there is room."""
+    """Ids for distinct words: from those known, else encoded once and kept while there is room."""
 
     def __init__(self, path: str, known: dict):
         self.model, self.known, self.own = tokenizer(path), known, {}
 
     def __call__(self, words: list[str]) -> list[list[int]]:
         new = [w for w in words if w not in self.known and w not in self.own]
-        if len(self.own) + len(new) > 1 << 17:
+        if len(self.own) + len(new) > OWN_WORDS:
             self.own.clear()
             new = [w for w in words if w not in self.known]
         self.own.update(zip(new, (np.array(e.ids, np.uint32) for e in encoded(self.model, new)), strict=True))
         return [self.known[w] if w in self.known else self.own[w] for w in words]
 
 
+class Table:
+    """Words and their ids as three flat arrays: a dictionary of as many lists takes each worker many times the room."""
+
+    def __init__(self, words: list[str], ids: list[list[int]]):
+        import pyarrow as pa
+
+        self.words = pa.array(words, pa.large_string())
+        self.size = np.array([len(x) for x in ids], np.int64)
+        self.ids = np.array([i for x in ids for i in x], np.uint32)
+
+    def look_up(self, words, others: Encoder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where those of each word begin and how many they are; words outside the table go to ``others``."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        at = pc.index_in(words.cast(pa.large_string()), self.words)
+        missing = at.is_null()
+        rest = missing.to_numpy(zero_copy_only=False)
+        own = others(words.filter(missing).to_pylist())
+        size = np.zeros(len(words), np.int64)
+        begin = size.copy()
+        known = pc.fill_null(at, 0).to_numpy(zero_copy_only=False)[~rest]
+        size[~rest], begin[~rest] = self.size[known], (np.cumsum(self.size) - self.size)[known]
+        size[rest] = [len(x) for x in own]
+        begin[rest] = len(self.ids) + np.cumsum(size[rest]) - size[rest]
+        return np.concatenate([self.ids, *own]), begin, size
+
+
 def id_pieces(path: str):
     """The piece of each id, as an Arrow array in which decoding looks ids up."""
     import pyarrow as pa
@@ -99,7 +127,7 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     """doc_id, n_tokens, ids (array of int) and decoded text; with ``digests`` SHA-256 of both in place of them."""
     spark = small_batches(docs).sparkSession
     table = word_table(frequent_words(docs, text), path).collect()  # TABLE_WORDS rows at most
-    known = spark.sparkContext.broadcast({r.word: np.array(r.ids, np.uint32) for r in table})
+    known = spark.sparkContext.broadcast(Table([r.word for r in table], [r.ids for r in table]))
 
     def encode(batches: Iterator) -> Iterator:
         import hashlib
@@ -109,14 +137,11 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
         import pyarrow.compute as pc
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids_of, piece = Encoder(path, known.value), id_pieces(path)
+        others, piece = Encoder(path, {}), id_pieces(path)
         for batch in batches:
             for part in pieces(pa.Table.from_batches([batch]), "text", BATCH_BYTES):
                 first, code, words = coded_words(part.column("text").combine_chunks())
-                own = ids_of(words.to_pylist())
-                size = np.array([len(x) for x in own], np.int64)
-                flat = np.concatenate([*own, np.zeros(0, np.uint32)])
-                begin = np.cumsum(size) - size
+                flat, begin, size = known.value.look_up(words, others)
                 ids = flat[ranges(begin[code], size[code])]  # the ids, back at their words' places
                 ends = np.concatenate([[0], np.cumsum(size[code])])[first]
                 lists = pa.LargeListArray.from_arrays(pa.array(ends), piece.take(pa.array(ids.astype(np.int64))))
