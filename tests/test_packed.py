@@ -1,11 +1,13 @@
-"""Results that grow with a product are written as their parts: runs over blocks."""
+"""Results that grow with a product are written as their parts: runs over blocks, captures and events of a slot."""
 
 import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from test_replay import States, bridge_rows
+from tidemark.plans import REGISTRY
 from tidemark.streaming import core as S
 from tidemark.streaming import machines as M
 
@@ -71,3 +73,18 @@ def test_packed_runs_become_rows(spark):
     d = spark.createDataFrame([(r["k"], *[x.tolist() if hasattr(x, "tolist") else x for x in list(r.values())[1:]]) for r in out], M.PackedBridge("k", 40).out)
     got = M.bridge_rows(S.spread(d, "n_rows"), "k")
     assert sorted(tuple(r) for r in got.select("epoch_us", "snapshot_id", "recv_us", "last_id", "outcome").collect()) == sorted(unpacked(out))
+
+
+def test_slots_hold_each_row_once_and_no_missing_key_meets(spark):
+    t = spark.range(400).select(F.col("id").alias("trigger"), F.when(F.col("id") % 20 > 0, "x").alias("k"), F.lit(0).cast("bigint").alias("start"), F.lit(19).cast("bigint").alias("finish"))
+    e = spark.range(600).select(F.col("id").alias("event"), F.when(F.col("id") % 30 > 0, "x").alias("k"), (F.col("id") % 25).alias("at"))
+    slots = M.capture_slots(t, e, "k", "at", 240, "1 second")
+    held = slots.select(F.sum(F.size("captures_")), F.sum(F.size("events_"))).first()
+    assert tuple(held) == (380, 464)
+    pairs = M.captured_rows(slots, "k", "at", e.columns)
+    assert pairs.count() == pairs.distinct().count() == 380 * 464 and pairs.where("k is null or at > 19").count() == 0
+
+
+def test_values_are_rounded_before_they_meet(spark, sf):
+    q = REGISTRY["stream_capture_windows"].run(spark, sf)
+    assert "round(" not in q._jdf.queryExecution().optimizedPlan().toString()
